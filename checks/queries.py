@@ -36,7 +36,6 @@ from plumbline.operators.edges import (
     declared_edges,
     edge_summary,
     found_edges,
-    merge_edges,
     venn_report,
     with_band,
     with_nodes,
@@ -56,10 +55,10 @@ from plumbline.operators.name_match import (
     passing_cascade,
 )
 from plumbline.operators.normality import normality
-from plumbline.operators.overlap import value_overlap, with_direction
 from plumbline.operators.sampling import draw_sample, micro_sample, sample_fraction
 from plumbline.operators.shape import box_plots, shape_moments
 from plumbline.operators.stored_metrics import stored_metrics
+from plumbline.plans.discovery import DiscoveryOptions, discover
 from plumbline.plans.profile import distribution_request, judge_columns, profile
 from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
 from plumbline.sources.metrics_table import evolve_metrics
@@ -93,6 +92,12 @@ MEASURED = {
 }
 GATED = ("customer", "events", "documents", "pages")
 UTILITY_GLOBS = "*name, lab*, audit_*, *_tmp"
+SYNONYMS = {"conv": "doc", "item": "page"}
+DECLARED = [
+    ("main.orders", "o_custkey", "main.customer", "c_custkey"),
+    ("main.lineitem", "l_orderkey", "main.orders", "o_orderkey"),
+]
+ENDS_SCHEMA = "source_node string, source_col string, target_node string, target_col string"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,13 +135,13 @@ def profile_base(spark: SparkSession, folder: str) -> DataFrame:
     wide = base_scan(df, specs)
     kept = [c for c in wide.columns if not c.endswith("Pattern_Distinct_Count")]
     means = [c for c in kept if c.endswith("__Mean")]
-    return _rounded(wide.select(*[F.col(f"`{c}`") for c in kept]), *means)
+    return _rounded(wide.select(*[F.col(f"`{c}`") for c in kept]), *means, digits=4)
 
 
 def profile_metrics(spark: SparkSession, folder: str) -> DataFrame:
     df = _table(spark, folder, "lineitem")
     rows = base_metrics(df, specs_from_schema(df, force_exact_distinct=True), tier="COMPLIANCE")
-    return _rounded(rows, "mean_val").select(
+    return _rounded(rows, "mean_val", digits=4).select(
         "column_name",
         "total_count",
         "empty_count",
@@ -164,7 +169,7 @@ def stat_templates(spark: SparkSession, folder: str) -> DataFrame:
         for c in ("l_quantity", "l_discount")
     ]
     wide = base_scan(df, specs, load_templates(stat2sql))
-    return _rounded(wide, "l_quantity__Mean", "l_discount__Mean")
+    return _rounded(wide, "l_quantity__Mean", "l_discount__Mean", digits=4)
 
 
 def exact_distinct(spark: SparkSession, folder: str) -> DataFrame:
@@ -416,7 +421,7 @@ def power_sums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metrics_base(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(_stored(spark, folder), "mean_val", "stddev_val").select(
+    return _rounded(_stored(spark, folder), "mean_val", "stddev_val", digits=4).select(
         "column_name", "total_count", "null_count", "valid_count", "mean_val", "stddev_val"
     )
 
@@ -439,7 +444,7 @@ def null_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def mean_ci(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_mean_ci(_stored(spark, folder))
-    return _rounded(rows, "mean_ci_lower", "mean_ci_upper").select(
+    return _rounded(rows, "mean_ci_lower", "mean_ci_upper", digits=4).select(
         "column_name", "mean_ci_lower", "mean_ci_upper"
     )
 
@@ -447,7 +452,7 @@ def mean_ci(spark: SparkSession, folder: str) -> DataFrame:
 def stddev_ci(spark: SparkSession, folder: str) -> DataFrame:
     metrics = _stored(spark, folder)
     rows = with_stddev_ci(metrics, chi2_critical_values(metrics))
-    return _rounded(rows, "stddev_ci_lower", "stddev_ci_upper").select(
+    return _rounded(rows, "stddev_ci_lower", "stddev_ci_upper", digits=4).select(
         "column_name", "stddev_ci_lower", "stddev_ci_upper"
     )
 
@@ -468,16 +473,10 @@ def derived_shape_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def derived_view(spark: SparkSession, folder: str) -> DataFrame:
     view = create_derived_view(spark, _stored(spark, folder))
-    rounded = (
-        "mean_ci_lower",
-        "mean_ci_upper",
-        "stddev_ci_lower",
-        "stddev_ci_upper",
-        "skewness_derived",
-        "kurtosis_derived",
-    )
-    return _rounded(view, *rounded).select(
-        "column_name", "total_count", "valid_count", "null_rate", *rounded
+    ends = ("mean_ci_lower", "mean_ci_upper", "stddev_ci_lower", "stddev_ci_upper")
+    shape = ("skewness_derived", "kurtosis_derived")
+    return _rounded(_rounded(view, *ends, digits=4), *shape).select(
+        "column_name", "total_count", "valid_count", "null_rate", *ends, *shape
     )
 
 
@@ -529,7 +528,7 @@ def excluded_utility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_tags(spark: SparkSession, folder: str) -> DataFrame:
-    rows = column_catalog(_tables(spark, folder), measure=True)
+    rows = _measured(spark, folder)
     return rows.select("table_name", "column_name", "valid_count", "semantic_tag")
 
 
@@ -544,9 +543,13 @@ PAIR_COLUMNS = (
 )
 
 
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """The measured catalog, one row per column; kept, since pairing reads it several times."""
+    return column_catalog(_tables(spark, folder), measure=True).persist()
+
+
 def _pairs(spark: SparkSession, folder: str, threshold: float, **options) -> DataFrame:
-    measured = column_catalog(_tables(spark, folder), measure=True)
-    return candidate_pairs(measured, threshold, **options)
+    return candidate_pairs(_measured(spark, folder), threshold, **options)
 
 
 def _pair_report(pairs: DataFrame) -> DataFrame:
@@ -560,7 +563,7 @@ def name_similarity(spark: SparkSession, folder: str) -> DataFrame:
         60.0,
         strict_types=False,
         domain_clustering=False,
-        synonyms={"qty": "quantity", "cust": "customer", "price": "amount"},
+        synonyms=SYNONYMS,
     )
     return _pair_report(pairs)
 
@@ -590,8 +593,8 @@ def incremental_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _directed(spark: SparkSession, folder: str, cap: int | None = None) -> DataFrame:
-    pairs = _pairs(spark, folder, LIMITS.name_similarity)
-    return with_direction(value_overlap(_tables(spark, folder), pairs, cap))
+    options = DiscoveryOptions(sample_cap=cap)
+    return discover(_tables(spark, folder), options=options).overlaps
 
 
 def _overlap_report(directed: DataFrame) -> DataFrame:
@@ -615,25 +618,16 @@ def fk_overlap_sampled(spark: SparkSession, folder: str) -> DataFrame:
     return _overlap_report(_directed(spark, folder, 1000))
 
 
-def _declared(spark: SparkSession) -> DataFrame:
-    return declared_edges(
-        spark.createDataFrame(
-            [
-                ("main.orders", "o_custkey", "main.customer", "c_custkey"),
-                ("main.lineitem", "l_orderkey", "main.orders", "o_orderkey"),
-            ],
-            "source_node string, source_col string, target_node string, target_col string",
-        )
-    )
-
-
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return merge_edges(found_edges(_directed(spark, folder)), _declared(spark))
+    declared = spark.createDataFrame(DECLARED, ENDS_SCHEMA)
+    options = DiscoveryOptions(sample_cap=None)
+    return discover(_tables(spark, folder), options=options, declared=declared).edges
 
 
 def declared_fk_edges(spark: SparkSession, folder: str) -> DataFrame:
     nodes = table_nodes(column_catalog(_tables(spark, folder)))
-    return with_nodes(_declared(spark), nodes).select(
+    declared = declared_edges(spark.createDataFrame(DECLARED, ENDS_SCHEMA))
+    return with_nodes(declared, nodes).select(
         "id", "score", "heuristic", "status", "source_rows", "target_rows"
     )
 
@@ -657,17 +651,19 @@ def edges_with_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _decided(spark: SparkSession, folder: str) -> DataFrame:
     """Edges after a reviewer accepted every full score, undid some and rejected low ones."""
-    edges = _edges(spark, folder)
-    accepted = edges.where("score >= 100").select(
-        F.col("id").alias("edge_id"), F.lit(1).alias("seq"), F.lit("verified").alias("new_status")
-    )
-    undone = edges.where("source_col LIKE '%nationkey'").select(
-        F.col("id").alias("edge_id"), F.lit(2).alias("seq"), F.lit("suggested").alias("new_status")
-    )
-    rejected = edges.where("heuristic = 'Fuzzy Name Match'").select(
-        F.col("id").alias("edge_id"), F.lit(3).alias("seq"), F.lit("rejected").alias("new_status")
+    edges = _edges(spark, folder).persist()
+    verdicts = [
+        (1, "verified", F.col("score") >= 100),
+        (2, "suggested", F.col("source_col").like("%nationkey")),
+        (3, "rejected", F.col("heuristic") == "Fuzzy Name Match"),
+    ]
+    made = F.array(
+        *[
+            F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(status).alias("new_status")))
+            for seq, status, when in verdicts
+        ]
     )
-    decisions = accepted.unionByName(undone).unionByName(rejected)
+    decisions = edges.select(F.col("id").alias("edge_id"), F.inline(made)).where("seq IS NOT NULL")
     return apply_decisions(edges, decisions)
 
 
