@@ -27,6 +27,13 @@ SEMANTIC_PATTERNS = (
 SEMANTIC_SHARE = 0.8
 
 
+def char_pattern_sql(value: str) -> str:
+    """`char_pattern` as SQL text."""
+    letters, digits = string.ascii_letters, string.digits
+    shapes = "A" * len(letters) + "N" * len(digits)
+    return f"translate({value}, '{letters}{digits}', '{shapes}')"
+
+
 def char_pattern(value: Column) -> Column:
     """Every ASCII letter becomes A, every ASCII digit N; all else stays.
 

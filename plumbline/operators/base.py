@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.config import BASE_STATS, TIERS, ColumnSpec
-from plumbline.functions.text import char_pattern, is_id_literal
-from plumbline.sources.templates import DEFAULT_TEMPLATES, NULL_COUNT_TEMPLATE, expand, quoted
+from plumbline.functions.text import char_pattern, char_pattern_sql, is_id_literal
+from plumbline.sources.templates import (
+    DEFAULT_TEMPLATES,
+    NULL_COUNT_TEMPLATE,
+    expand_sql,
+    quoted,
+    sql_text,
+)
 
 TOTAL = "total_count"
 PATTERN_STAT = "Pattern_Distinct_Count"
@@ -50,22 +56,22 @@ def base_scan(
     Unknown statistics are skipped. Columns forced to exact distinct counts are left to
     `exact_distinct_counts`, which keeps this scan a plain partial aggregate.
     """
-    aggregates = [F.count(F.lit(1)).alias(TOTAL)]
+    aggregates = [f"count(1) AS {TOTAL}"]
     for spec in specs:
+        name = spec.column_name
         exact = wants_exact(spec, tier)
         for stat in spec.stats:
             template = _template_for(stat, spec, templates)
             if stat not in BASE_STATS or not template or (stat == "Distinct Count" and exact):
                 continue
-            aggregates.append(
-                expand(template, spec.column_name).alias(alias_of(spec.column_name, stat))
-            )
+            alias = quoted(alias_of(name, stat))
+            aggregates.append(f"{expand_sql(template, name)} AS {alias}")
         if wants_pattern_count(spec) and not exact:
-            pattern = char_pattern(F.col(quoted(spec.column_name)))
+            alias = quoted(alias_of(name, PATTERN_STAT))
             aggregates.append(
-                F.approx_count_distinct(pattern).alias(alias_of(spec.column_name, PATTERN_STAT))
+                f"approx_count_distinct({char_pattern_sql(quoted(name))}) AS {alias}"
             )
-    return df.agg(*aggregates)
+    return df.selectExpr(*aggregates)
 
 
 _LONG_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -155,33 +161,37 @@ def _long_rows(
     wide = base_scan(df, [s for _, s in placed], templates, tier)
     present = set(wide.columns)
 
-    def stat(spec: ColumnSpec, name: str, sql_type: str) -> Column:
+    def stat(spec: ColumnSpec, name: str, sql_type: str) -> str:
         alias = alias_of(spec.column_name, name)
-        value = F.col(quoted(alias)) if alias in present else F.lit(None)
-        return value.cast(sql_type)
-
-    def entry(position: int, spec: ColumnSpec) -> Column:
-        low = stat(spec, "Min", "double") if spec.is_numeric else F.lit(None).cast("double")
-        high = stat(spec, "Max", "double") if spec.is_numeric else F.lit(None).cast("double")
-        return F.struct(
-            F.lit(position).alias("position"),
-            F.lit(spec.column_name).alias("column_name"),
-            F.lit(spec.data_type).alias("data_type"),
-            F.array(*[F.lit(s) for s in spec.stats]).cast("array<string>").alias("stats"),
-            F.lit(spec.histogram_bins).cast("int").alias("histogram_bins"),
-            F.lit(spec.normality_test).alias("normality_test_wanted"),
-            F.col(TOTAL),
-            stat(spec, "Empty Count", "long").alias("empty_count"),
-            stat(spec, "Min", "string").alias("min"),
-            stat(spec, "Max", "string").alias("max"),
-            low.alias("min_number"),
-            high.alias("max_number"),
-            stat(spec, "Mean", "double").alias("mean_val"),
-            stat(spec, "Distinct Count", "long").alias("distinct_count"),
-            stat(spec, PATTERN_STAT, "long").alias("pattern_distinct_count"),
-        )
-
-    return wide.select(F.inline(F.array(*[entry(i, s) for i, s in placed])))
+        return f"CAST({quoted(alias) if alias in present else 'NULL'} AS {sql_type})"
+
+    def entry(position: int, spec: ColumnSpec) -> str:
+        low = high = "CAST(NULL AS DOUBLE)"
+        if spec.is_numeric:
+            low, high = stat(spec, "Min", "DOUBLE"), stat(spec, "Max", "DOUBLE")
+        stats = ", ".join(sql_text(s) for s in spec.stats)
+        bins = "NULL" if spec.histogram_bins is None else str(spec.histogram_bins)
+        fields = {
+            "position": str(position),
+            "column_name": sql_text(spec.column_name),
+            "data_type": sql_text(spec.data_type),
+            "stats": f"CAST(array({stats}) AS array<string>)",
+            "histogram_bins": f"CAST({bins} AS INT)",
+            "normality_test_wanted": str(spec.normality_test).lower(),
+            TOTAL: TOTAL,
+            "empty_count": stat(spec, "Empty Count", "BIGINT"),
+            "min": stat(spec, "Min", "STRING"),
+            "max": stat(spec, "Max", "STRING"),
+            "min_number": low,
+            "max_number": high,
+            "mean_val": stat(spec, "Mean", "DOUBLE"),
+            "distinct_count": stat(spec, "Distinct Count", "BIGINT"),
+            "pattern_distinct_count": stat(spec, PATTERN_STAT, "BIGINT"),
+        }
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    entries = ", ".join(entry(i, s) for i, s in placed)
+    return wide.selectExpr(f"inline(array({entries}))")
 
 
 def _with_exact_counts(

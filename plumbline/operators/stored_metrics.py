@@ -4,56 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from plumbline.sources.metrics_table import POWER_SUM_TYPES, evolve_metrics
-from plumbline.sources.templates import quoted
+from plumbline.sources.templates import quoted, sql_text
 
 # Raw sums are exact for values of at most this many decimals.
 VALUE_SCALE = 2
 _UNIT = 10**VALUE_SCALE
+_WIDE = "DECIMAL(38,0)"
 
 
-def _units(x: Column, data_type: T.DataType) -> tuple[Column, Column]:
-    """The value in hundredths as an exact integer, and whether nothing was rounded away."""
+def _unit_columns(name: str, data_type: T.DataType, i: int) -> list[str]:
+    """The value as a double, in hundredths as an exact integer, and whether that is lossless."""
+    x = quoted(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        d = x.cast("double")
-        unit = F.rint(d * _UNIT).try_cast("long")
-        return unit.cast("decimal(38,0)"), unit / F.lit(float(_UNIT)) == d
-    kept = x.try_cast("decimal(38,2)")
-    return F.try_multiply(kept, F.lit(_UNIT)).try_cast("decimal(38,0)"), kept == x
-
-
-def _power_sums(x: Column, data_type: T.DataType, i: int) -> list[Column]:
-    """Exact sums of the first four powers in scaled units, and what proves them exact.
-
-    A power that overflows 38 digits becomes NULL in its row; comparing its count with the
-    count of values keeps a partial sum from being reported as a whole one.
+        unit = f"try_cast(rint(CAST({x} AS DOUBLE) * {_UNIT}) AS BIGINT)"
+        exact = f"{unit} / {_UNIT}D = CAST({x} AS DOUBLE)"
+        unit = f"CAST({unit} AS {_WIDE})"
+    else:
+        kept = f"try_cast({x} AS DECIMAL(38,{VALUE_SCALE}))"
+        unit = f"try_cast(try_multiply({kept}, {_UNIT}) AS {_WIDE})"
+        exact = f"{kept} = {x}"
+    return [
+        f"CAST({x} AS DOUBLE) AS d{i}",
+        f"{unit} AS p1_{i}",
+        f"{x} IS NOT NULL AND NOT coalesce({exact}, false) AS lossy{i}",
+    ]
+
+
+def _aggregates(i: int) -> list[str]:
+    """Central moments, and sums of powers with the number of values in each.
+
+    A power that overflows 38 digits is NULL in its row; comparing the counts keeps a partial
+    sum from being reported as a whole one.
     """
-    unit, exact = _units(x, data_type)
-    powers = [unit]
-    for _ in range(3):
-        powers.append(F.try_multiply(powers[-1], unit).try_cast("decimal(38,0)"))
-    aggregates = []
-    for k, power in enumerate(powers, start=1):
-        aggregates.append(F.try_sum(power).alias(f"p{k}_{i}"))
-        aggregates.append(F.count(power).alias(f"c{k}_{i}"))
-    aggregates.append(
-        F.count_if(x.isNotNull() & ~F.coalesce(exact, F.lit(False))).alias(f"r{i}")
+    moments = {
+        "v": "count",
+        "m": "avg",
+        "sd": "stddev_samp",
+        "var": "var_pop",
+        "sk": "skewness",
+        "ku": "kurtosis",
+    }
+    sums = [f"try_sum(p{k}_{i}) AS p{k}_{i}" for k in range(1, 5)]
+    counts = [f"count(p{k}_{i}) AS c{k}_{i}" for k in range(1, 5)]
+    return [
+        *[f"{function}(d{i}) AS {short}{i}" for short, function in moments.items()],
+        *sums,
+        *counts,
+        f"count_if(lossy{i}) AS r{i}",
+    ]
+
+
+def _raw_sum(i: int, k: int) -> str:
+    """The exact sum of k-th powers: the point is moved in the text, which cannot round."""
+    text, places = f"CAST(abs(p{k}_{i}) AS STRING)", VALUE_SCALE * k
+    digits = f"lpad({text}, greatest(length({text}), {places + 1}), '0')"
+    moved = (
+        f"concat(if(p{k}_{i} < 0, '-', ''), left({digits}, length({digits}) - {places}), '.', "
+        f"right({digits}, {places}))"
     )
-    return aggregates
-
-
-def _move_point(units: Column, places: int) -> Column:
-    """Decimal text of an integer divided by 10**places, without arithmetic that could round."""
-    text = units.cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    bare = F.regexp_replace(text, "^-", "")
-    digits = F.lpad(bare, F.greatest(F.length(bare), F.lit(places + 1)), F.lit("0"))
-    whole = F.substring(digits, F.lit(1), F.length(digits) - places)
-    return F.concat(sign, whole, F.lit("."), F.right(digits, F.lit(places)))
+    sql_type = POWER_SUM_TYPES["sum_x" if k == 1 else f"sum_x{k}"]
+    whole = f"r{i} = 0 AND c{k}_{i} = v{i} AND v{i} > 0"
+    return f"try_cast(CASE WHEN {whole} THEN {moved} END AS {sql_type})"
+
+
+def _entry(run_id: str, name: str, i: int) -> str:
+    fourth_sum = _raw_sum(i, 4)
+    fields = {
+        "run_id": sql_text(run_id),
+        "column_name": sql_text(name),
+        "total_count": "n",
+        "null_count": f"n - v{i}",
+        "valid_count": f"v{i}",
+        "mean_val": f"m{i}",
+        "stddev_val": f"sd{i}",
+        "sum_x": _raw_sum(i, 1),
+        "sum_x2": _raw_sum(i, 2),
+        "sum_x3": _raw_sum(i, 3),
+        "sum_x4": fourth_sum,
+        "power_sum_note": (
+            f"CASE WHEN r{i} > 0 THEN 'Skipped: Values need more than {VALUE_SCALE} decimals.' "
+            f"WHEN v{i} > 0 AND {fourth_sum} IS NULL THEN 'Skipped: Sum exceeds 38 digits.' END"
+        ),
+        "shift_c": f"m{i}",
+        "s1": f"if(v{i} > 0, 0D, CAST(NULL AS DOUBLE))",
+        "s2": f"var{i} * v{i}",
+        "s3": f"if(v{i} > 0, coalesce(sk{i} * v{i} * power(var{i}, 1.5D), 0D), CAST(NULL AS DOUBLE))",
+        "s4": f"if(v{i} > 0, coalesce((ku{i} + 3) * v{i} * var{i} * var{i}, 0D), CAST(NULL AS DOUBLE))",
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
 def stored_metrics(df: DataFrame, columns: Sequence[str], run_id: str) -> DataFrame:
@@ -64,56 +106,17 @@ def stored_metrics(df: DataFrame, columns: Sequence[str], run_id: str) -> DataFr
     `shift_c`, the mean. Spark merges central moments stably, so they need no second scan, and
     skewness and kurtosis do not depend on the shift.
     """
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, name in enumerate(columns):
-        x = F.col(quoted(name))
-        d = x.cast("double")
-        aggregates += [
-            F.count(x).alias(f"v{i}"),
-            F.avg(d).alias(f"m{i}"),
-            F.stddev_samp(d).alias(f"sd{i}"),
-            F.var_pop(d).alias(f"var{i}"),
-            F.skewness(d).alias(f"sk{i}"),
-            F.kurtosis(d).alias(f"ku{i}"),
-            *_power_sums(x, df.schema[name].dataType, i),
-        ]
-
-    def entry(i: int, name: str) -> Column:
-        valid, var = F.col(f"v{i}"), F.col(f"var{i}")
-        whole = F.col(f"r{i}") == 0
-
-        def raw_sum(k: int) -> Column:
-            complete = whole & (F.col(f"c{k}_{i}") == valid) & (valid > 0)
-            text = _move_point(F.col(f"p{k}_{i}"), VALUE_SCALE * k)
-            sql_type = POWER_SUM_TYPES["sum_x" if k == 1 else f"sum_x{k}"]
-            return F.when(complete, text).try_cast(sql_type)
-
-        third = F.coalesce(F.col(f"sk{i}") * valid * F.pow(var, F.lit(1.5)), F.lit(0.0))
-        fourth = F.coalesce((F.col(f"ku{i}") + 3) * valid * var * var, F.lit(0.0))
-        some = valid > 0
-        return F.struct(
-            F.lit(run_id).alias("run_id"),
-            F.lit(name).alias("column_name"),
-            F.col("n").alias("total_count"),
-            (F.col("n") - valid).alias("null_count"),
-            valid.alias("valid_count"),
-            F.col(f"m{i}").alias("mean_val"),
-            F.col(f"sd{i}").alias("stddev_val"),
-            raw_sum(1).alias("sum_x"),
-            raw_sum(2).alias("sum_x2"),
-            raw_sum(3).alias("sum_x3"),
-            raw_sum(4).alias("sum_x4"),
-            F.when(~whole, F.lit(f"Skipped: Values need more than {VALUE_SCALE} decimals."))
-            .when((valid > 0) & raw_sum(4).isNull(), F.lit("Skipped: Sum exceeds 38 digits."))
-            .alias("power_sum_note"),
-            F.col(f"m{i}").alias("shift_c"),
-            F.when(some, F.lit(0.0)).alias("s1"),
-            F.when(some, var * valid).alias("s2"),
-            F.when(some, third).alias("s3"),
-            F.when(some, fourth).alias("s4"),
+    numbered = list(enumerate(columns))
+    units = [c for i, name in numbered for c in _unit_columns(name, df.schema[name].dataType, i)]
+    powers = df.selectExpr(*units)
+    for k in range(2, 5):  # each power is computed once, from the one below it
+        powers = powers.selectExpr(
+            "*",
+            *[
+                f"try_cast(try_multiply(p{k - 1}_{i}, p1_{i}) AS {_WIDE}) AS p{k}_{i}"
+                for i, _ in numbered
+            ],
         )
-
-    rows = df.agg(*aggregates).select(
-        F.inline(F.array(*[entry(i, name) for i, name in enumerate(columns)]))
-    )
-    return evolve_metrics(rows)
+    wide = powers.selectExpr("count(1) AS n", *[a for i, _ in numbered for a in _aggregates(i)])
+    entries = ", ".join(_entry(run_id, name, i) for i, name in numbered)
+    return evolve_metrics(wide.selectExpr(f"inline(array({entries}))"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.config import OTHER, STRING, type_family
 from plumbline.functions.text import (
@@ -17,55 +16,47 @@ from plumbline.functions.text import (
     matches_any_glob,
     short_count,
 )
-from plumbline.sources.templates import quoted
+from plumbline.sources.templates import quoted, sql_text
 
 
-def _tag_from_hits(hits: Sequence[Column], valid: Column) -> Column:
-    chosen = F.lit("NONE")
-    for (tag, _), matched in reversed(list(zip(SEMANTIC_PATTERNS, hits, strict=True))):
-        chosen = F.when(matched >= SEMANTIC_SHARE * valid, F.lit(tag)).otherwise(chosen)
-    return F.when(valid > 0, chosen).otherwise(F.lit("NONE"))
+def _tag_sql(i: int) -> str:
+    """First tag whose pattern fits at least the required share of the values."""
+    cases = " ".join(
+        f"WHEN t{i}_{k} >= {SEMANTIC_SHARE} * v{i} THEN {sql_text(tag)}"
+        for k, (tag, _) in enumerate(SEMANTIC_PATTERNS)
+    )
+    return f"CASE WHEN v{i} = 0 THEN 'NONE' {cases} ELSE 'NONE' END"
 
 
-def _table_rows(schema_name: str, table: str, df: DataFrame, measure: bool) -> DataFrame:
+def _table_rows(schema_name: str, table: str, df: DataFrame, measure: bool) -> DataFrame | None:
     fields = [f for f in df.schema.fields if type_family(f.dataType) != OTHER]
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, field in enumerate(fields if measure else []):
-        column = F.col(quoted(field.name))
-        aggregates.append(F.count(column).alias(f"v{i}"))
-        aggregates.append(F.approx_count_distinct(column).alias(f"d{i}"))
-        if type_family(field.dataType) == STRING:
-            for k, (_, pattern) in enumerate(SEMANTIC_PATTERNS):
-                aggregates.append(F.count_if(column.rlike(pattern)).alias(f"t{i}_{k}"))
-
-    def entry(i: int, field: T.StructField) -> Column:
-        family = type_family(field.dataType)
-        valid = F.col(f"v{i}") if measure else F.lit(None).cast("long")
-        distinct = F.col(f"d{i}") if measure else F.lit(None).cast("long")
-        if not measure:
-            tag = F.lit(None).cast("string")
-        elif family == STRING:
-            hits = [F.col(f"t{i}_{k}") for k in range(len(SEMANTIC_PATTERNS))]
-            tag = _tag_from_hits(hits, valid)
-        else:
-            tag = F.lit("NONE")
-        return F.struct(
-            F.lit(schema_name).alias("schema_name"),
-            F.lit(table).alias("table_name"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
-            F.lit(family).alias("type_family"),
-            F.col("n").alias("row_count"),
-            valid.alias("valid_count"),
-            distinct.alias("distinct_count"),
-            tag.alias("semantic_tag"),
-        )
-
     if not fields:
         return None
-    return df.agg(*aggregates).select(
-        F.inline(F.array(*[entry(i, f) for i, f in enumerate(fields)]))
-    )
+    aggregates = ["count(1) AS n"]
+    entries = []
+    for i, field in enumerate(fields):
+        family = type_family(field.dataType)
+        valid = distinct = "CAST(NULL AS BIGINT)"
+        tag = "CAST(NULL AS STRING)"
+        if measure:
+            column = quoted(field.name)
+            aggregates.append(f"count({column}) AS v{i}")
+            aggregates.append(f"approx_count_distinct({column}) AS d{i}")
+            valid, distinct, tag = f"v{i}", f"d{i}", "'NONE'"
+            if family == STRING:
+                aggregates += [
+                    f"count_if({column} RLIKE {sql_text(pattern)}) AS t{i}_{k}"
+                    for k, (_, pattern) in enumerate(SEMANTIC_PATTERNS)
+                ]
+                tag = _tag_sql(i)
+        entries.append(
+            f"named_struct('schema_name', {sql_text(schema_name)}, "
+            f"'table_name', {sql_text(table)}, 'column_name', {sql_text(field.name)}, "
+            f"'data_type', {sql_text(field.dataType.simpleString())}, "
+            f"'type_family', {sql_text(family)}, 'row_count', n, 'valid_count', {valid}, "
+            f"'distinct_count', {distinct}, 'semantic_tag', {tag})"
+        )
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def column_catalog(

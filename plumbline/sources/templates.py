@@ -27,9 +27,19 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def expand_sql(template: str, column: str) -> str:
+    """The template as SQL text over one column."""
+    return template.replace(PLACEHOLDER, quoted(column))
+
+
 def expand(template: str, column: str) -> Column:
     """The template as a Spark expression over one column."""
-    return F.expr(template.replace(PLACEHOLDER, quoted(column)))
+    return F.expr(expand_sql(template, column))
 
 
 def templates_frame(spark: SparkSession, templates: Mapping[str, str | None]) -> DataFrame:
