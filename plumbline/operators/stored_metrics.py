@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.sources.metrics_table import POWER_SUM_TYPES, evolve_metrics
@@ -15,30 +16,75 @@ VALUE_SCALE = 2
 _UNIT = 10**VALUE_SCALE
 _WIDE = "DECIMAL(38,0)"
 
+# Values of up to 31 bits in hundredths take the integer path; larger ones use wide decimals.
+_NARROW_LIMIT = 2**31 - 1
+_HALF_BITS = 31
+# Products are summed in pieces of 21 bits, which leaves a long room for 4 * 10**12 rows.
+_PIECE_BITS = 21
 
-def _unit_columns(name: str, data_type: T.DataType, i: int) -> list[str]:
-    """The value as a double, in hundredths as an exact integer, and whether that is lossless."""
+# Each power as products that fit a long, with the power of two that weighs each of them.
+# u is the value in hundredths, q its square, qh and ql the high and low 31 bits of q.
+_PRODUCTS = {
+    1: {"u": 0},
+    2: {"q": 0},
+    3: {"u * ql": 0, "u * qh": _HALF_BITS},
+    4: {"ql * ql": 0, "qh * ql": _HALF_BITS + 1, "qh * qh": 2 * _HALF_BITS},
+}
+
+
+def _value_struct(name: str, data_type: T.DataType, i: int) -> str:
+    """Column number, the value as a double, in hundredths, and whether that is lossless."""
     x = quoted(name)
+    wide = f"try_cast(try_multiply(try_cast({x} AS DECIMAL(38,{VALUE_SCALE})), {_UNIT}) AS {_WIDE})"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         unit = f"try_cast(rint(CAST({x} AS DOUBLE) * {_UNIT}) AS BIGINT)"
         exact = f"{unit} / {_UNIT}D = CAST({x} AS DOUBLE)"
-        unit = f"CAST({unit} AS {_WIDE})"
+        wide = f"CAST({unit} AS {_WIDE})"
+    elif isinstance(data_type, T.DecimalType):
+        unit = f"try_cast({wide} AS BIGINT)"
+        exact = f"try_cast({x} AS DECIMAL(38,{VALUE_SCALE})) = {x}"
     else:
-        kept = f"try_cast({x} AS DECIMAL(38,{VALUE_SCALE}))"
-        unit = f"try_cast(try_multiply({kept}, {_UNIT}) AS {_WIDE})"
-        exact = f"{kept} = {x}"
-    return [
-        f"CAST({x} AS DOUBLE) AS d{i}",
-        f"{unit} AS p1_{i}",
-        f"{x} IS NOT NULL AND NOT coalesce({exact}, false) AS lossy{i}",
+        unit = f"try_multiply(CAST({x} AS BIGINT), {_UNIT}L)"
+        exact = "true"
+    narrow = f"abs({unit}) <= {_NARROW_LIMIT}"
+    fields = {
+        "i": str(i),
+        "d": f"CAST({x} AS DOUBLE)",
+        "u": f"CASE WHEN {narrow} THEN {unit} END",
+        "w1": f"CASE WHEN {x} IS NOT NULL AND NOT coalesce({narrow}, false) THEN {wide} END",
+        "lossy": f"{x} IS NOT NULL AND NOT coalesce({exact}, false)",
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _stacked_powers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per value of each column, with the products its powers are made of."""
+    structs = [_value_struct(c, df.schema[c].dataType, i) for i, c in enumerate(columns)]
+    low = 2**_HALF_BITS - 1
+    products = [
+        f"{product} AS t{k}_{j}"
+        for k, terms in _PRODUCTS.items()
+        for j, product in enumerate(terms)
     ]
+    return (
+        df.selectExpr(f"inline(array({', '.join(structs)}))")
+        .selectExpr("*", "u * u AS q", f"try_cast(try_multiply(w1, w1) AS {_WIDE}) AS w2")
+        .selectExpr(
+            "*",
+            f"shiftright(q, {_HALF_BITS}) AS qh",
+            f"q & {low}L AS ql",
+            f"try_cast(try_multiply(w2, w1) AS {_WIDE}) AS w3",
+            f"try_cast(try_multiply(w2, w2) AS {_WIDE}) AS w4",
+        )
+        .selectExpr("i", "d", "u", "lossy", "w1", "w2", "w3", "w4", *products)
+    )
 
 
-def _aggregates(i: int) -> list[str]:
-    """Central moments, and sums of powers with the number of values in each.
+def _aggregates() -> list[str]:
+    """Central moments, and sums of powers piece by piece.
 
-    A power that overflows 38 digits is NULL in its row; comparing the counts keeps a partial
-    sum from being reported as a whole one.
+    A wide power that overflows 38 digits is NULL in its row; comparing the counts keeps a
+    partial sum from being reported as a whole one.
     """
     moments = {
         "v": "count",
@@ -48,75 +94,93 @@ def _aggregates(i: int) -> list[str]:
         "sk": "skewness",
         "ku": "kurtosis",
     }
-    sums = [f"try_sum(p{k}_{i}) AS p{k}_{i}" for k in range(1, 5)]
-    counts = [f"count(p{k}_{i}) AS c{k}_{i}" for k in range(1, 5)]
+    mask = 2**_PIECE_BITS - 1
+    pieces = []
+    for k, terms in _PRODUCTS.items():
+        for j in range(len(terms)):
+            t = f"t{k}_{j}"
+            pieces.append(f"sum({t} & {mask}L) AS {t}_0")
+            pieces.append(f"sum(shiftright({t}, {_PIECE_BITS}) & {mask}L) AS {t}_1")
+            pieces.append(f"sum(shiftright({t}, {2 * _PIECE_BITS})) AS {t}_2")
+    wide = [f"try_sum(w{k}) AS w{k}" for k in _PRODUCTS]
     return [
-        *[f"{function}(d{i}) AS {short}{i}" for short, function in moments.items()],
-        *sums,
-        *counts,
-        f"count_if(lossy{i}) AS r{i}",
+        "count(1) AS n",
+        *[f"{function}(d) AS {short}" for short, function in moments.items()],
+        *pieces,
+        *wide,
+        "count(u) AS narrow_rows",
+        *[f"count(w{k}) AS c{k}" for k in _PRODUCTS],
+        "count_if(lossy) AS r",
     ]
 
 
-def _raw_sum(i: int, k: int) -> str:
+def _power_sum(k: int) -> str:
+    """The k-th power sum in scaled units: pieces times their weights, plus the wide part."""
+    total = f"if(c1 = 0, CAST(0 AS {_WIDE}), w{k})"
+    for j, weight in enumerate(_PRODUCTS[k].values()):
+        for piece in range(3):
+            factor = f"CAST('{2 ** (weight + piece * _PIECE_BITS)}' AS {_WIDE})"
+            value = f"CAST(coalesce(t{k}_{j}_{piece}, 0) AS {_WIDE})"
+            term = f"try_cast(try_multiply({value}, {factor}) AS {_WIDE})"
+            total = f"try_cast(try_add({total}, {term}) AS {_WIDE})"
+    return total
+
+
+def _raw_sum(k: int) -> str:
     """The exact sum of k-th powers: the point is moved in the text, which cannot round."""
-    text, places = f"CAST(abs(p{k}_{i}) AS STRING)", VALUE_SCALE * k
+    text, places = f"CAST(abs(p{k}) AS STRING)", VALUE_SCALE * k
     digits = f"lpad({text}, greatest(length({text}), {places + 1}), '0')"
     moved = (
-        f"concat(if(p{k}_{i} < 0, '-', ''), left({digits}, length({digits}) - {places}), '.', "
+        f"concat(if(p{k} < 0, '-', ''), left({digits}, length({digits}) - {places}), '.', "
         f"right({digits}, {places}))"
     )
     sql_type = POWER_SUM_TYPES["sum_x" if k == 1 else f"sum_x{k}"]
-    whole = f"r{i} = 0 AND c{k}_{i} = v{i} AND v{i} > 0"
+    whole = f"r = 0 AND narrow_rows + c{k} = v AND v > 0"
     return f"try_cast(CASE WHEN {whole} THEN {moved} END AS {sql_type})"
 
 
-def _entry(run_id: str, name: str, i: int) -> str:
-    fourth_sum = _raw_sum(i, 4)
-    fields = {
-        "run_id": sql_text(run_id),
-        "column_name": sql_text(name),
-        "total_count": "n",
-        "null_count": f"n - v{i}",
-        "valid_count": f"v{i}",
-        "mean_val": f"m{i}",
-        "stddev_val": f"sd{i}",
-        "sum_x": _raw_sum(i, 1),
-        "sum_x2": _raw_sum(i, 2),
-        "sum_x3": _raw_sum(i, 3),
-        "sum_x4": fourth_sum,
-        "power_sum_note": (
-            f"CASE WHEN r{i} > 0 THEN 'Skipped: Values need more than {VALUE_SCALE} decimals.' "
-            f"WHEN v{i} > 0 AND {fourth_sum} IS NULL THEN 'Skipped: Sum exceeds 38 digits.' END"
-        ),
-        "shift_c": f"m{i}",
-        "s1": f"if(v{i} > 0, 0D, CAST(NULL AS DOUBLE))",
-        "s2": f"var{i} * v{i}",
-        "s3": f"if(v{i} > 0, coalesce(sk{i} * v{i} * power(var{i}, 1.5D), 0D), CAST(NULL AS DOUBLE))",
-        "s4": f"if(v{i} > 0, coalesce((ku{i} + 3) * v{i} * var{i} * var{i}, 0D), CAST(NULL AS DOUBLE))",
-    }
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
-
-
 def stored_metrics(df: DataFrame, columns: Sequence[str], run_id: str) -> DataFrame:
     """One row per numeric column: counts, moments, raw and centred power sums; one scan.
 
+    Values are stacked to one row each and grouped by column, with partial sums per task. An
+    empty table gives no rows.
+
     `sum_x..sum_x4` are exact decimals, or NULL where a value has more decimals than the scale
     or a sum leaves 38 digits; `power_sum_note` then says so. `s1..s4` are sums of powers about
     `shift_c`, the mean. Spark merges central moments stably, so they need no second scan, and
     skewness and kurtosis do not depend on the shift.
     """
-    numbered = list(enumerate(columns))
-    units = [c for i, name in numbered for c in _unit_columns(name, df.schema[name].dataType, i)]
-    powers = df.selectExpr(*units)
-    for k in range(2, 5):  # each power is computed once, from the one below it
-        powers = powers.selectExpr(
-            "*",
-            *[
-                f"try_cast(try_multiply(p{k - 1}_{i}, p1_{i}) AS {_WIDE}) AS p{k}_{i}"
-                for i, _ in numbered
-            ],
+    names = ", ".join(sql_text(c) for c in columns)
+    third = "coalesce(sk * v * power(var, 1.5D), 0D)"
+    fourth = "coalesce((ku + 3) * v * var * var, 0D)"
+    rows = (
+        _stacked_powers(df, columns)
+        .groupBy("i")
+        .agg(*[F.expr(a) for a in _aggregates()])
+        .selectExpr("*", *[f"{_power_sum(k)} AS p{k}" for k in _PRODUCTS])
+        .selectExpr(
+            f"{sql_text(run_id)} AS run_id",
+            f"element_at(array({names}), i + 1) AS column_name",
+            "n AS total_count",
+            "n - v AS null_count",
+            "v AS valid_count",
+            "m AS mean_val",
+            "sd AS stddev_val",
+            *[f"{_raw_sum(k)} AS sum_x{k if k > 1 else ''}" for k in _PRODUCTS],
+            "r",
+            "if(v > 0, m, NULL) AS shift_c",
+            "if(v > 0, 0D, NULL) AS s1",
+            "var * v AS s2",
+            f"if(v > 0, {third}, NULL) AS s3",
+            f"if(v > 0, {fourth}, NULL) AS s4",
         )
-    wide = powers.selectExpr("count(1) AS n", *[a for i, _ in numbered for a in _aggregates(i)])
-    entries = ", ".join(_entry(run_id, name, i) for i, name in numbered)
-    return evolve_metrics(wide.selectExpr(f"inline(array({entries}))"))
+        .withColumn(
+            "power_sum_note",
+            F.expr(
+                f"CASE WHEN r > 0 THEN 'Skipped: Values need more than {VALUE_SCALE} decimals.' "
+                "WHEN valid_count > 0 AND sum_x4 IS NULL THEN 'Skipped: Sum exceeds 38 digits.' END"
+            ),
+        )
+        .drop("r")
+    )
+    return evolve_metrics(rows)
