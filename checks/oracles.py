@@ -445,7 +445,7 @@ SYNONYM_NAME = (
 )
 
 
-def _overlap_ctes() -> str:
+def _overlap_ctes(passed: str = "SELECT * FROM pairs WHERE similarity > 85") -> str:
     values = []
     for table, fields in SCHEMA.items():
         for column, _, family in fields:
@@ -457,7 +457,7 @@ def _overlap_ctes() -> str:
     return (
         f"{_pair_ctes()}, vals AS ({_union(values)}), "
         "distincts AS (SELECT t, c, count(*) AS d FROM vals GROUP BY t, c), "
-        "passed AS (SELECT * FROM pairs WHERE similarity > 85), "
+        f"passed AS ({passed}), "
         "shared AS (SELECT left_table, left_column, right_table, right_column, count(*) AS s "
         "FROM passed JOIN vals l ON l.t = left_table AND l.c = left_column "
         "JOIN vals r ON r.t = right_table AND r.c = right_column AND r.v = l.v GROUP BY ALL), "
@@ -661,6 +661,11 @@ ORACLES: dict[str, str] = {
         "child_distinct, parent_distinct, shared_distinct, round(overlap_pct, 4) AS overlap_pct "
         "FROM directed"
     ),
+    "overlap_any_name": (
+        f"{_overlap_ctes('SELECT * FROM pairs')} SELECT child_table, child_column, parent_table, "
+        "parent_column, child_distinct, parent_distinct, shared_distinct, "
+        "round(overlap_pct, 4) AS overlap_pct FROM directed WHERE shared_distinct > 0"
+    ),
     "venn_report": (
         f"{_edge_ctes()} SELECT source_node || '.' || source_col || '->' || target_node || '.' "
         "|| target_col AS id, score, child_distinct, parent_distinct, shared_distinct FROM found "

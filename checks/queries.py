@@ -326,7 +326,7 @@ def top_k_freq(spark: SparkSession, folder: str) -> DataFrame:
     counts = distribution_counts(orders, ["o_orderstatus", "o_orderpriority"]).unionByName(
         distribution_counts(part, part.columns)
     )
-    return frequencies_of(distribution_summary(counts, LIMITS.top_k, 0))
+    return frequencies_of(distribution_summary(counts, LIMITS.top_k))
 
 
 def top_k_pattern(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,7 +334,7 @@ def top_k_pattern(spark: SparkSession, folder: str) -> DataFrame:
     counts = distribution_counts(
         orders, patterns=["o_orderstatus", "o_orderpriority"]
     ).unionByName(distribution_counts(part, patterns=part.columns))
-    return patterns_of(distribution_summary(counts, LIMITS.top_k, 0))
+    return patterns_of(distribution_summary(counts, LIMITS.top_k))
 
 
 def freq_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -367,7 +367,7 @@ def histogram(spark: SparkSession, folder: str) -> DataFrame:
         df = _table(spark, folder, name)
         bins = _bounds(df, columns, LIMITS.default_bins)
         counts = distribution_counts(df, histograms=bins)
-        parts.append(histograms_of(distribution_summary(counts, 0, LIMITS.default_bins)))
+        parts.append(histograms_of(distribution_summary(counts, 0)))
     return _union(parts)
 
 
@@ -380,7 +380,7 @@ def histogram_extrapolated(spark: SparkSession, folder: str) -> DataFrame:
     )
     factor = extrapolation_factor(total, EXTRAPOLATED_CAP)
     counts = distribution_counts(sample, histograms=bins)
-    return histograms_of(distribution_summary(counts, 0, 10, factor))
+    return histograms_of(distribution_summary(counts, 0, factor))
 
 
 def mega_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -388,7 +388,7 @@ def mega_profile(spark: SparkSession, folder: str) -> DataFrame:
     specs = specs_from_schema(df, force_exact_distinct=True)
     judged = judge_columns(df, specs, LIMITS, tier="COMPLIANCE").collect()  # one row per column
     counts = distribution_counts(df, **distribution_request(judged))
-    return distribution_summary(counts, LIMITS.top_k, LIMITS.default_bins)
+    return distribution_summary(counts, LIMITS.top_k)
 
 
 # --- stored and derived metrics ---------------------------------------------------------------
@@ -614,6 +614,11 @@ def fk_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return _overlap_report(_directed(spark, folder))
 
 
+def overlap_any_name(spark: SparkSession, folder: str) -> DataFrame:
+    options = DiscoveryOptions(cascade=False)
+    return _overlap_report(discover(_tables(spark, folder), options=options).overlaps)
+
+
 def fk_overlap_sampled(spark: SparkSession, folder: str) -> DataFrame:
     return _overlap_report(_directed(spark, folder, 1000))
 
@@ -774,6 +779,7 @@ QUERIES: dict[str, Query] = {
     "cascade_pairs": cascade_pairs,
     "incremental_pairs": incremental_pairs,
     "fk_overlap": fk_overlap,
+    "overlap_any_name": overlap_any_name,
     "fk_overlap_sampled": fk_overlap_sampled,
     "venn_report": venn,
     "declared_fk_edges": declared_fk_edges,

@@ -26,6 +26,15 @@ SEMANTIC_PATTERNS = (
 )
 SEMANTIC_SHARE = 0.8
 
+# What each pattern implies and bytes can tell, so that long texts are not decoded in vain.
+SEMANTIC_GUARDS = {
+    "UUID": "octet_length({0}) = 36",
+    "EMAIL": "contains({0}, '@')",
+    "URL": "startswith({0}, 'http')",
+    "DATE": "substr({0}, 5, 1) = '-'",
+    "JSON": "startswith({0}, '{{')",
+}
+
 
 def char_pattern_sql(value: str) -> str:
     """`char_pattern` as SQL text."""
@@ -69,6 +78,12 @@ def matches_any_glob(name: Column, globs: str | Sequence[str]) -> Column:
     return F.lower(name).rlike("^(" + "|".join(bodies) + ")$")
 
 
+def semantic_test_sql(tag: str, value: str) -> str:
+    """SQL text that is true where a value looks like the tag."""
+    pattern = dict(SEMANTIC_PATTERNS)[tag]
+    return f"({SEMANTIC_GUARDS[tag].format(value)} AND {value} RLIKE '{pattern}')"
+
+
 def name_aliases(column: Column, table: Column) -> Column:
     """Names a column answers to: its own, and `order_id` for a bare `id` in table `orders`."""
     lowered = F.lower(column)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.config import BASE_STATS, TIERS, ColumnSpec
+from plumbline.functions.hashing import bounded_key
 from plumbline.functions.text import char_pattern, char_pattern_sql, is_id_literal
 from plumbline.sources.templates import (
     DEFAULT_TEMPLATES,
@@ -88,6 +89,12 @@ def _native_class(data_type: T.DataType) -> str:
     return data_type.simpleString()
 
 
+def _grouping_key(name: str, sql_type: str) -> Column:
+    """The value in its storage class; a long text is grouped by its digest."""
+    value = F.col(quoted(name)).cast(sql_type)
+    return bounded_key(value) if sql_type == "string" else value
+
+
 def exact_distinct_counts(df: DataFrame, expressions: Mapping[str, Column]) -> DataFrame:
     """(name, distinct_count) of each expression, NULLs not counted.
 
@@ -101,7 +108,7 @@ def exact_distinct_counts(df: DataFrame, expressions: Mapping[str, Column]) -> D
         groups.setdefault(_native_class(field.dataType), []).append(field.name)
     parts = []
     for sql_type, names in groups.items():
-        typed = projected.select(*[F.col(quoted(n)).cast(sql_type).alias(n) for n in names])
+        typed = projected.select(*[_grouping_key(n, sql_type).alias(n) for n in names])
         stacked = typed.unpivot([], [F.col(quoted(n)) for n in names], "name", "value")
         parts.append(
             stacked.where("value IS NOT NULL")

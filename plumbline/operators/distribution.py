@@ -103,15 +103,16 @@ def top_k(counts: DataFrame, k: int, by: Sequence[str] = ("column_name",)) -> Da
     )
 
 
-def distribution_summary(counts: DataFrame, k: int, max_bins: int, factor: float = 1.0) -> DataFrame:
+def distribution_summary(counts: DataFrame, k: int, factor: float = 1.0) -> DataFrame:
     """Reduce the counts of all families at once: top k values, top k patterns, all buckets.
 
-    Bucket counts are brought to population scale and cut to whole rows; values and patterns
-    stay at sample scale.
+    A bucket is ranked within itself, so the rank bound keeps every bucket while it stays at k
+    for values and patterns. Bucket counts are brought to population scale and cut to whole
+    rows; values and patterns stay at sample scale.
     """
-    widest = max(k, max_bins + 2)
-    ranked = top_k(counts, widest, by=("kind", "column_name"))
     is_bucket = F.col("kind") == HISTOGRAM
+    spread = counts.withColumn("bucket", F.when(is_bucket, F.col("value")))
+    ranked = top_k(spread, max(k, 1), by=("kind", "column_name", "bucket"))
     scaled = F.floor(F.col("count") * F.lit(factor)).cast("long")
     return ranked.where(is_bucket | (F.col("rank") <= k)).select(
         "kind",

@@ -104,6 +104,15 @@ def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     return itself.unionByName(near)
 
 
+def match_group(strict_types: bool, domain_clustering: bool) -> Column:
+    """What two columns must agree on to be compared at all."""
+    return F.concat_ws(
+        "/",
+        F.col("type_family") if strict_types else F.lit("ANY"),
+        F.coalesce("semantic_tag", F.lit("NONE")) if domain_clustering else F.lit("ANY"),
+    )
+
+
 def candidate_pairs(
     catalog: DataFrame,
     threshold: float = 85.0,
@@ -116,14 +125,9 @@ def candidate_pairs(
     Pairs are unordered: the left side sorts first. Type families and semantic tags must agree
     unless switched off. Similarity is the best over the aliases of both columns.
     """
-    group = F.concat_ws(
-        "/",
-        F.col("type_family") if strict_types else F.lit("ANY"),
-        F.coalesce("semantic_tag", F.lit("NONE")) if domain_clustering else F.lit("ANY"),
-    )
     named = catalog.withColumns(
         {
-            "grp": group,
+            "grp": match_group(strict_types, domain_clustering),
             "name": F.explode(name_aliases(F.col("column_name"), F.col("table_name"))),
         }
     ).withColumn("name", canonical_name(F.col("name"), synonyms))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.hashing import bounded_key, trailing_zero_bits
-from plumbline.operators.name_match import PAIR_KEY
+from plumbline.functions.text import name_similarity
+from plumbline.operators.name_match import PAIR_KEY, match_group
 from plumbline.sources.templates import quoted
 
 # Columns per long of a membership mask; keeps clear of the sign bit.
@@ -140,6 +141,88 @@ def _has_bit(bit: str) -> Column:
     )
 
 
+def _present(top_bit: int) -> Column:
+    """The bits set in `words`, ascending."""
+    return F.expr(
+        f"filter(sequence(0, {top_bit}), b -> shiftright(element_at(words, "
+        f"cast(b div {WORD_BITS} as int) + 1), cast(b % {WORD_BITS} as int)) & 1 = 1)"
+    )
+
+
+_NUMBERS_SCHEMA = (
+    "grp string, schema_name string, table_name string, column_name string, level int, "
+    "floor int, group_no int, bit int"
+)
+
+
+def shared_value_pairs(
+    tables: Mapping[str, DataFrame],
+    catalog: DataFrame,
+    strict_types: bool = True,
+    domain_clustering: bool = True,
+) -> DataFrame:
+    """Pairs of columns of different tables that share values, whatever their names.
+
+    The costly scan: every column of the catalog takes part. Pairs are read off the few
+    distinct column sets that the values fall into, never formed per value. The result has the
+    layout of `value_overlap`.
+    """
+    spark = catalog.sparkSession
+    grouped = catalog.withColumn("grp", match_group(strict_types, domain_clustering))
+    rows = (
+        grouped.select("grp", "schema_name", "table_name", "column_name")
+        .withColumns({"level": F.lit(0), "floor": F.lit(0)})
+        .orderBy("grp", "schema_name", "table_name", "column_name")
+        .collect()  # one row per catalog column
+    )
+    members = _numbered(rows)
+    sets = column_sets(tables, members, sampled=False)
+    present = sets.withColumn("bits", _present(max(m["bit"] for m in members)))
+    numbers = spark.createDataFrame(members, _NUMBERS_SCHEMA).join(
+        catalog.select("schema_name", "table_name", "column_name", "row_count"),
+        ["schema_name", "table_name", "column_name"],
+    )
+    distinct = (
+        present.select("group_no", F.explode("bits").alias("bit"), "n_values")
+        .groupBy("group_no", "bit")
+        .agg(F.sum("n_values").alias("distinct"))
+    )
+    shared = (
+        present.withColumn("left_bit", F.explode("bits"))
+        .withColumn("right_bit", F.explode(F.expr("filter(bits, b -> b > left_bit)")))
+        .groupBy("group_no", "left_bit", "right_bit")
+        .agg(F.sum("n_values").alias("shared"))
+    )
+
+    def side(s: str) -> DataFrame:
+        return numbers.join(distinct, ["group_no", "bit"]).select(
+            "group_no",
+            F.col("bit").alias(f"{s}_bit"),
+            F.col("schema_name").alias(f"{s}_schema"),
+            F.col("table_name").alias(f"{s}_table"),
+            F.col("column_name").alias(f"{s}_column"),
+            F.col("row_count").alias(f"{s}_rows"),
+            F.col("distinct").alias(f"{s}_distinct"),
+        )
+
+    names = (F.lower("left_column"), F.lower("right_column"))
+    return (
+        shared.join(side("left"), ["group_no", "left_bit"])
+        .join(side("right"), ["group_no", "right_bit"])
+        .where(
+            F.struct("left_schema", "left_table") != F.struct("right_schema", "right_table")
+        )
+        .withColumns(
+            {
+                "left_shared": F.col("shared"),
+                "right_shared": F.col("shared"),
+                "name_similarity": name_similarity(*names),
+            }
+        )
+        .drop("shared", "group_no", "left_bit", "right_bit")
+    )
+
+
 def value_overlap(
     tables: Mapping[str, DataFrame], pairs: DataFrame, sample_cap: int | None = None
 ) -> DataFrame:
@@ -154,18 +237,10 @@ def value_overlap(
     if not members:
         return pairs.withColumns({c: F.lit(0).cast("long") for c in counted}).limit(0)
     sets = column_sets(tables, members, sample_cap is not None)
-    top_bit = max(m["bit"] for m in members)
-    present = F.expr(
-        f"filter(sequence(0, {top_bit}), b -> shiftright(element_at(words, "
-        f"cast(b div {WORD_BITS} as int) + 1), cast(b % {WORD_BITS} as int)) & 1 = 1)"
-    )
+    present = _present(max(m["bit"] for m in members))
     by_column = sets.withColumn("probe", F.explode(present))
 
-    numbers = spark.createDataFrame(
-        members,
-        "grp string, schema_name string, table_name string, column_name string, level int, "
-        "floor int, group_no int, bit int",
-    )
+    numbers = spark.createDataFrame(members, _NUMBERS_SCHEMA)
 
     def numbered_side(s: str) -> DataFrame:
         return numbers.select(

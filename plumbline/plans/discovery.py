@@ -11,13 +11,17 @@ from plumbline.config import Limits
 from plumbline.functions.text import UTILITY_GLOBS
 from plumbline.operators.edges import declared_edges, found_edges, merge_edges
 from plumbline.operators.name_match import candidate_pairs, not_yet_evaluated
-from plumbline.operators.overlap import value_overlap, with_direction
+from plumbline.operators.overlap import shared_value_pairs, value_overlap, with_direction
 from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
 
 
 @dataclass(frozen=True)
 class DiscoveryOptions:
-    """Settings of a scan. A `sample_cap` of None compares all values."""
+    """Settings of a scan.
+
+    A `sample_cap` of None compares all values. Without `cascade` names do not matter: every
+    column's values are compared, whole, and pairs that share any are kept.
+    """
 
     name_threshold: float = Limits.name_similarity
     strict_types: bool = True
@@ -25,6 +29,7 @@ class DiscoveryOptions:
     utility_globs: Sequence[str] | str = UTILITY_GLOBS
     synonyms: Mapping[str, str] | None = None
     sample_cap: int | None = Limits.overlap_sample
+    cascade: bool = True
 
 
 @dataclass(frozen=True)
@@ -58,17 +63,23 @@ def discover(
     # Both hold metadata only, one row per column or pair, and are kept so that later steps do
     # not measure the tables again.
     catalog = catalog.persist()
-    pairs = candidate_pairs(
-        catalog,
-        options.name_threshold,
-        options.strict_types,
-        options.domain_clustering,
-        options.synonyms,
-    )
+    if options.cascade:
+        pairs = candidate_pairs(
+            catalog,
+            options.name_threshold,
+            options.strict_types,
+            options.domain_clustering,
+            options.synonyms,
+        )
+    else:
+        pairs = shared_value_pairs(
+            tables, catalog, options.strict_types, options.domain_clustering
+        )
     if evaluated is not None:
         pairs = not_yet_evaluated(pairs, evaluated)
     pairs = pairs.persist()
-    directed = with_direction(value_overlap(tables, pairs, options.sample_cap))
+    overlaps = value_overlap(tables, pairs, options.sample_cap) if options.cascade else pairs
+    directed = with_direction(overlaps)
     edges = found_edges(directed)
     if declared is not None:
         edges = merge_edges(edges, declared_edges(declared))

@@ -175,11 +175,9 @@ def _later_passes(
 
     cached = []
     if any(request.values()):
-        widest = max([b.count for b in request["histograms"].values()], default=0)
         summary = distribution_summary(
             distribution_counts(sample, **request),
             limits.top_k,
-            widest,
             extrapolation_factor(total, limits.sample_rows),
         ).persist()
         cached.append(summary)

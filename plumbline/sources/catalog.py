@@ -14,6 +14,7 @@ from plumbline.functions.text import (
     SEMANTIC_SHARE,
     is_id_name,
     matches_any_glob,
+    semantic_test_sql,
     short_count,
 )
 from plumbline.sources.templates import quoted, sql_text
@@ -37,24 +38,24 @@ def _table_rows(schema_name: str, table: str, df: DataFrame, measure: bool) -> D
     for i, field in enumerate(fields):
         family = type_family(field.dataType)
         valid = distinct = "CAST(NULL AS BIGINT)"
-        tag = "CAST(NULL AS STRING)"
+        chosen = "CAST(NULL AS STRING)"
         if measure:
             column = quoted(field.name)
             aggregates.append(f"count({column}) AS v{i}")
             aggregates.append(f"approx_count_distinct({column}) AS d{i}")
-            valid, distinct, tag = f"v{i}", f"d{i}", "'NONE'"
+            valid, distinct, chosen = f"v{i}", f"d{i}", "'NONE'"
             if family == STRING:
                 aggregates += [
-                    f"count_if({column} RLIKE {sql_text(pattern)}) AS t{i}_{k}"
-                    for k, (_, pattern) in enumerate(SEMANTIC_PATTERNS)
+                    f"count_if({semantic_test_sql(tag, column)}) AS t{i}_{k}"
+                    for k, (tag, _) in enumerate(SEMANTIC_PATTERNS)
                 ]
-                tag = _tag_sql(i)
+                chosen = _tag_sql(i)
         entries.append(
             f"named_struct('schema_name', {sql_text(schema_name)}, "
             f"'table_name', {sql_text(table)}, 'column_name', {sql_text(field.name)}, "
             f"'data_type', {sql_text(field.dataType.simpleString())}, "
             f"'type_family', {sql_text(family)}, 'row_count', n, 'valid_count', {valid}, "
-            f"'distinct_count', {distinct}, 'semantic_tag', {tag})"
+            f"'distinct_count', {distinct}, 'semantic_tag', {chosen})"
         )
     return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
 

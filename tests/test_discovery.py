@@ -169,6 +169,15 @@ def test_discovery_of_a_small_shop(spark, shop):
         result.release()
 
 
+def test_values_find_pairs_with_mismatched_names(spark, shop):
+    result = discover(shop, options=DiscoveryOptions(cascade=False))
+    found = {r["id"]: r["score"] for r in result.edges.collect()}
+    assert found["main.customers.customer_id->main.orders.id"] == 100
+    assert found["main.users.mail->main.customers.mail"] == 60
+    assert not any(i.split("->")[0].split(".")[1] == i.split("->")[1].split(".")[1] for i in found)
+    result.release()
+
+
 def test_sampled_overlap_is_close_and_keeps_parents_whole(spark):
     child = spark.range(50_000).select((F.col("id") % 40_000).alias("thing_id"))
     parent = spark.range(20_000, 60_000).withColumnRenamed("id", "thing_id")

@@ -155,7 +155,7 @@ def test_distributions_drop_nulls_and_break_ties_by_value(spark):
     rows = [(c, float(i % 4)) for i, c in enumerate("abcdefghijkl")] + [(None, None), ("b", 1.0)]
     df = spark.createDataFrame(rows, "c string, x double")
     counts = distribution_counts(df, ["c"], ["c"], {"x": Bins(0, 3, 3)})
-    summary = distribution_summary(counts, 10, 3)
+    summary = distribution_summary(counts, 10)
     frequencies = [(r["value"], r["count"]) for r in frequencies_of(summary).collect()]
     assert frequencies[0] == ("b", 2)
     assert [v for v, _ in frequencies[1:]] == list("acdefghij")
@@ -166,7 +166,7 @@ def test_distributions_drop_nulls_and_break_ties_by_value(spark):
 
 
 def test_distributions_take_one_scan_and_limit_before_the_shuffle(spark, people):
-    summary = distribution_summary(distribution_counts(people, ["name"], ["name"]), 10, 0)
+    summary = distribution_summary(distribution_counts(people, ["name"], ["name"]), 10)
     plan = plan_of(summary)
     assert plan.count("Scan") == 1
     assert plan.count("WindowGroupLimit") == 2
@@ -185,7 +185,7 @@ def test_grouping_sets_equal_long_form(spark):
 def test_extrapolation_truncates(spark):
     df = spark.createDataFrame([(0.0,), (0.0,), (0.0,), (1.0,)], "x double")
     counts = distribution_counts(df, histograms={"x": Bins(0, 1, 1)})
-    scaled = histograms_of(distribution_summary(counts, 0, 1, factor=1.5)).collect()
+    scaled = histograms_of(distribution_summary(counts, 0, factor=1.5)).collect()
     assert {r["bucket"]: r["count"] for r in scaled} == {1: 4, 2: 1}
 
 
