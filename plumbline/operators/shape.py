@@ -39,19 +39,19 @@ def box_plots(sample: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, box_plot) with [min, q1, median, q3, max] by exact percentiles.
 
     Meant for a drawn sample: exact percentiles hold a column's distinct values in one task.
-    Columns are stacked so that they spread over tasks instead of sharing one.
+    Columns are stacked so that they spread over tasks instead of sharing one, and values are
+    counted first, so that repeated ones are not handed on one by one.
     """
     stacked = sample.select(
         *[F.col(quoted(c)).cast("double").alias(c) for c in columns]
     ).unpivot([], [F.col(quoted(c)) for c in columns], "column_name", "value")
+    quartiles = F.percentile("value", F.array(*[F.lit(q) for q in QUARTILES]), F.col("times"))
     return (
         stacked.where("value IS NOT NULL")
+        .groupBy("column_name", "value")
+        .agg(F.count(F.lit(1)).alias("times"))
         .groupBy("column_name")
-        .agg(
-            F.min("value").alias("low"),
-            F.percentile("value", F.array(*[F.lit(q) for q in QUARTILES])).alias("q"),
-            F.max("value").alias("high"),
-        )
+        .agg(F.min("value").alias("low"), quartiles.alias("q"), F.max("value").alias("high"))
         .select(
             "column_name",
             F.concat(F.array("low"), F.col("q"), F.array("high")).alias("box_plot"),
