@@ -71,7 +71,8 @@ def main() -> int:
             verdict = f"{type(error).__name__}: {str(error).splitlines()[0][:300]}"
         failures += bool(verdict)
         checked = "oracle" if name in ORACLES else "rows"
-        print(f"{name:24s} {checked:7s} {time.time() - started:6.1f}s {verdict or 'ok'}", flush=True)
+        spent = f"{time.time() - started:6.1f}s"
+        print(f"{name:24s} {checked:7s} {spent} {verdict or 'ok'}", flush=True)
     print(f"{failures} failures of {len(names)}")
     return 1 if failures else 0
 

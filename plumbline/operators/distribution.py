@@ -80,7 +80,8 @@ def grouping_set_counts(df: DataFrame, series: Mapping[str, Column]) -> DataFram
     keyed = df.select(*[e.cast("string").alias(n) for n, e in series.items()])
     columns = [F.col(quoted(n)) for n in names]
     grouped = keyed.groupingSets([[c] for c in columns], *columns).agg(
-        F.count(F.lit(1)).alias("count"), *[F.grouping(c).alias(f"g{i}") for i, c in enumerate(columns)]
+        F.count(F.lit(1)).alias("count"),
+        *[F.grouping(c).alias(f"g{i}") for i, c in enumerate(columns)],
     )
     in_set = [F.col(f"g{i}") == 0 for i in range(len(names))]
     chosen_name, chosen_value = F.lit(None).cast("string"), F.lit(None).cast("string")

@@ -31,9 +31,8 @@ def last_operations(log: DataFrame) -> DataFrame:
     One shuffle by key. Each partition first reduces to one row per key, so a key that fills a
     third of the log costs no more than any other.
     """
-    payload = F.struct(
-        "op", "value", F.when(F.col("op") == PUT, expiry_of(F.col("ts"), F.col("ttl_s"))).alias("expiry")
-    )
+    expiry = F.when(F.col("op") == PUT, expiry_of(F.col("ts"), F.col("ttl_s")))
+    payload = F.struct("op", "value", expiry.alias("expiry"))
     latest = log.groupBy("key").agg(F.max_by(payload, F.col("seq")).alias("last"))
     return latest.select("key", "last.op", "last.value", "last.expiry")
 

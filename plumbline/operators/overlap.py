@@ -53,8 +53,8 @@ def _member_rows(pairs: DataFrame, sample_cap: int | None) -> list[Row]:
         share = F.col(estimate) / F.lit(sample_cap)
         return F.when(share > 1, F.ceil(F.log2(share))).otherwise(F.lit(0)).cast("int")
 
-    levelled = pairs.select(
-        "*", level("left_estimate").alias("left_level"), level("right_estimate").alias("right_level")
+    levelled = pairs.withColumns(
+        {"left_level": level("left_estimate"), "right_level": level("right_estimate")}
     ).withColumn("floor", F.least("left_level", "right_level"))
     sides = F.array(
         *[
@@ -88,7 +88,9 @@ def _numbered(members: Sequence[Row]) -> list[dict]:
     return numbered
 
 
-def column_sets(tables: Mapping[str, DataFrame], members: Sequence[dict], sampled: bool) -> DataFrame:
+def column_sets(
+    tables: Mapping[str, DataFrame], members: Sequence[dict], sampled: bool
+) -> DataFrame:
     """(group_no, words, level, n_values): how many values occur in exactly which columns.
 
     Each table is scanned once and only for its columns in play. A value becomes one narrow row
@@ -296,12 +298,14 @@ def value_overlap(
     return pairs.join(totals, list(PAIR_KEY), "left").fillna(0, list(counted))
 
 
-def with_direction(overlaps: DataFrame) -> DataFrame:
+def with_direction(overlaps: DataFrame, sample_cap: int | None = None) -> DataFrame:
     """Name child and parent of each pair and give the overlap percentage of the child.
 
     The child is the side with the larger share of its values in the other. Ties go to the
     parent whose values are unique, then to the one with more distinct values, then by name.
+    Distinct counts scaled up from a sample count as unique within their sampling error.
     """
+    slack = 0.0 if sample_cap is None else min(0.5, 5 / sample_cap**0.5)
 
     def share(shared: str, distinct: str) -> Column:
         return F.when(F.col(distinct) > 0, 100 * F.col(shared) / F.col(distinct)).otherwise(0.0)
@@ -314,7 +318,8 @@ def with_direction(overlaps: DataFrame) -> DataFrame:
     )
 
     def unique(side: str) -> Column:
-        return (F.col(f"{side}_distinct") == F.col(f"{side}_rows")).cast("int")
+        rows = F.col(f"{side}_rows")
+        return (F.col(f"{side}_distinct") >= rows * (1 - slack)).cast("int")
 
     def parenthood(side: str, child: str) -> Column:
         """Sorts the better parent last; its child is the other side."""

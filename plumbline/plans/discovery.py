@@ -78,8 +78,11 @@ def discover(
     if evaluated is not None:
         pairs = not_yet_evaluated(pairs, evaluated)
     pairs = pairs.persist()
-    overlaps = value_overlap(tables, pairs, options.sample_cap) if options.cascade else pairs
-    directed = with_direction(overlaps)
+    if options.cascade:
+        overlaps = value_overlap(tables, pairs, options.sample_cap)
+        directed = with_direction(overlaps, options.sample_cap)
+    else:
+        directed = with_direction(pairs)
     edges = found_edges(directed)
     if declared is not None:
         edges = merge_edges(edges, declared_edges(declared))

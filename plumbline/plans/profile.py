@@ -153,7 +153,9 @@ def _later_passes(
     spark = df.sparkSession
     request = distribution_request(judged, limits.default_bins)
     shape = {
-        r["column_name"]: [s for s in r["stats"] if s in SHAPE_STATS] for r in judged if r["shape_ok"]
+        r["column_name"]: [s for s in r["stats"] if s in SHAPE_STATS]
+        for r in judged
+        if r["shape_ok"]
     }
     shape = {name: stats for name, stats in shape.items() if stats}
     moments = {n: s for n, s in shape.items() if set(s) & {"Skewness", "Kurtosis"}}
