@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.chat import CHUNK_BYTES, format_conversations, read_turns, unescape
+from plumbline.llm.licenses import license_digest, scan_licenses
 from plumbline.llm.neighbours import nearest
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.pii import replace_entities
 from plumbline.llm.shared import map_arrow, table
 from plumbline.llm.simhash import simhash_classes
+from plumbline.llm.syncmers import compare_with_edit, fingerprint_digest
 from plumbline.llm.warc import archive_pages
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -47,6 +50,18 @@ def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_entities(table(spark, folder, "documents")).select("doc_id", "text")
+
+
+def op8_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_digest(compare_with_edit(table(spark, folder, "documents")))
+
+
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, folder, "documents")))
+
+
 def conversation_digest(chunks: DataFrame) -> DataFrame:
     """One row per conversation, read back from its formatted chunks, which come in order."""
 
@@ -96,5 +111,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_neighbours": op4_neighbours,
+    "op7_pii": op7_pii,
+    "op8_syncmers": op8_syncmers,
+    "op9_licenses": op9_licenses,
     "op10_chat": op10_chat,
 }
