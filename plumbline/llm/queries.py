@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.chat import CHUNK_BYTES, format_conversations, read_turns, unescape
+from plumbline.llm.langid import identify, learn
 from plumbline.llm.licenses import license_digest, scan_licenses
 from plumbline.llm.neighbours import nearest
 from plumbline.llm.packing import pack_documents
@@ -50,6 +51,11 @@ def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return identify(docs, learn(docs))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return replace_entities(table(spark, folder, "documents")).select("doc_id", "text")
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_neighbours": op4_neighbours,
+    "op5_langid": op5_langid,
     "op7_pii": op7_pii,
     "op8_syncmers": op8_syncmers,
     "op9_licenses": op9_licenses,
