@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.chat import CHUNK_BYTES, format_conversations, read_turns, unescape
 from plumbline.llm.langid import identify, learn
+from plumbline.llm.lexicon import encode_documents
 from plumbline.llm.licenses import license_digest, scan_licenses
 from plumbline.llm.neighbours import nearest
 from plumbline.llm.packing import pack_documents
@@ -56,6 +57,11 @@ def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = encode_documents(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return replace_entities(table(spark, folder, "documents")).select("doc_id", "text")
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_neighbours": op4_neighbours,
     "op5_langid": op5_langid,
+    "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_syncmers": op8_syncmers,
     "op9_licenses": op9_licenses,
