@@ -201,6 +201,15 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
 
 
+def judge(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text, see identify."""
+    lettered = [bool(t and net.languages and _LETTER.search(t)) for t in texts]
+    p = document_probabilities(net, [t.encode() if ok else b"" for t, ok in zip(texts, lettered)])
+    best = p.argmax(axis=1).tolist() if net.languages else [0] * len(texts)
+    named = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
+    return named, [min(1.0, float(row[b])) if ok else 0.0 for row, b, ok in zip(p, best, lettered)]
+
+
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id (as doc_id), held_out, lang_pred and score (probability of the prediction).
 
@@ -212,13 +221,20 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            lettered = [bool(t and net.languages and _LETTER.search(t)) for t in texts]
-            p = document_probabilities(net, [t.encode() if ok else b"" for t, ok in zip(texts, lettered)])
-            best = p.argmax(axis=1) if len(net.languages) else np.zeros(len(texts), int)
-            named = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered)]
-            score = [min(1.0, float(row[b])) if ok else 0.0 for row, b, ok in zip(p, best.tolist(), lettered)]
+            named, score = judge(net, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(named, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kinds = [rows.schema["doc_id"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     return map_arrow(rows, run, StructType(kinds))
+
+
+def in_known_language(docs: DataFrame, net: Network, least_score: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, whose text is not `und` and scores at least least_score."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named, score = judge(net, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(named, score)], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
