@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,16 +61,11 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     return df.mapInArrow(run, schema)
 
 
-def row_fingerprint(*columns: Column) -> Column:
-    """One number per set of rows that does not depend on their order."""
-    return F.bit_xor(F.xxhash64(*columns))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -80,24 +75,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none itself."""
+    single = edges.agg((F.count("*") == F.count_distinct("u")).alias("single")).first()["single"]
+    return single and edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Node and smallest node of its component, for every node of an edge list (u, v) of longs.
 
-    Alternates large-star and small-star (Kiveris et al. 2014) until the edges stay the same, which
-    takes a number of rounds that is logarithmic in the longest chain. Smallest neighbours are
-    combined before their shuffle; the joins read plain shuffled rows, so that a node with very
-    many neighbours can be split. Only a count and a checksum reach the driver.
+    Alternates large-star and small-star (Kiveris et al. 2014) until every component is a star
+    around its smallest node, which takes a number of rounds that is logarithmic in the longest
+    chain. Smallest neighbours are combined before their shuffle; the joins read plain shuffled
+    rows, so that a node with very many neighbours can be split. Only counts reach the driver.
     """
     edges = cut(
         edges.where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    known = None
-    while True:
-        state = edges.agg(F.count("*"), row_fingerprint(F.col("u"), F.col("v"))).first()
-        if state == known or not state[0]:
-            break
-        known = state
+    while not _are_stars(edges):
         edges = cut(_small_star(cut(_large_star(edges))))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
