@@ -43,8 +43,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _run(table: np.ndarray, recur: np.ndarray, steps: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after each row of bytes in `steps` (time, side): (time, h, side); gate values if kept."""
+def _run(table: np.ndarray, recur: np.ndarray, steps: np.ndarray, mask: np.ndarray | None = None, keep: bool = False) -> tuple[np.ndarray, list]:
+    """States after each row of bytes in `steps` (time, side): (time, h, side); gate values if kept.
+
+    Where mask is 0 there is padding: the state stays zero.
+    """
     h = recur.shape[1]
     half = table.copy()
     half[: 2 * h] *= 0.5
@@ -69,6 +72,8 @@ def _run(table: np.ndarray, recur: np.ndarray, steps: np.ndarray, keep: bool) ->
         np.subtract(kept[-1][0] if keep else (states[t - 1] if t else 0), cand, out=state)
         state *= gates[:h]
         state += cand
+        if mask is not None and not mask[t].all():
+            state *= mask[t]
     return states, kept
 
 
@@ -79,17 +84,17 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def position_probabilities(net: Network, steps: np.ndarray) -> np.ndarray:
-    """Probability of each language at each position: (time, languages, side)."""
-    ahead, _ = _run(net.table[0], net.recur[0], steps, False)
-    back, _ = _run(net.table[1], net.recur[1], steps[::-1], False)
+def position_probabilities(net: Network, steps: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Probability of each language at each position: (time, languages, side). mask: 0 for padding."""
+    ahead, _ = _run(net.table[0], net.recur[0], steps)
+    back, _ = _run(net.table[1], net.recur[1], steps[::-1], None if mask is None else mask[::-1])
     return _softmax(net.out[0] @ ahead + net.out[1] @ back[::-1] + net.bias[:, None])
 
 
 def _gradients(net: Network, steps: np.ndarray, target: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean cross-entropy over positions, by backpropagation through time."""
     h = net.recur.shape[2]
-    runs = [_run(net.table[d], net.recur[d], steps[:: 1 - 2 * d], True) for d in (0, 1)]
+    runs = [_run(net.table[d], net.recur[d], steps[:: 1 - 2 * d], mask[:: 1 - 2 * d], True) for d in (0, 1)]
     ahead, back = runs[0][0], runs[1][0][::-1]
     p = _softmax(net.out[0] @ ahead + net.out[1] @ back + net.bias[:, None])
     p[:, target, np.arange(len(target))] -= 1
@@ -98,14 +103,14 @@ def _gradients(net: Network, steps: np.ndarray, target: np.ndarray, mask: np.nda
     g_table, g_recur = np.zeros_like(net.table), np.zeros_like(net.recur)
     for d in (0, 1):
         order = slice(None, None, 1 - 2 * d)
-        local = (net.out[d].T @ p)[order]
+        local, real = (net.out[d].T @ p)[order], mask[order]
         rows, kept = steps[order], runs[d][1]
         u = net.recur[d]
         flow = np.zeros_like(kept[0][0])
         for t in range(len(rows) - 1, -1, -1):
             before, gates, inner, cand = kept[t]
             z, r = gates[:h], gates[h:]
-            flow = flow + local[t]
+            flow = (flow + local[t]) * real[t]
             d_cand = flow * (1 - z) * (1 - cand * cand)
             pre = np.concatenate([flow * (before - cand) * z * (1 - z), d_cand * inner * r * (1 - r), d_cand])
             through = np.concatenate([pre[: 2 * h], d_cand * r])
@@ -195,9 +200,9 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
             lengths[k] = len(part)
             block[k, : len(part)] = np.frombuffer(part, np.uint8)
         steps = np.ascontiguousarray(block.T)
-        p = position_probabilities(net, steps)
-        mask = np.arange(SPAN)[:, None] < lengths
-        np.add.at(total, owner[side], np.einsum("tcb,tb->bc", p, mask.astype(np.float32)))
+        mask = (np.arange(SPAN)[:, None] < lengths).astype(np.float32)
+        p = position_probabilities(net, steps, mask)
+        np.add.at(total, owner[side], np.einsum("tcb,tb->bc", p, mask))
     return total / np.maximum(1, np.fromiter(map(len, texts), np.int64, len(texts)))[:, None]
 
 
