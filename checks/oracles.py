@@ -492,8 +492,8 @@ def _edge_ctes() -> str:
         f"{_overlap_ctes()}, declared(source_node, source_col, target_node, target_col) AS "
         f"(VALUES {declared}), found AS (SELECT 'main.' || child_table AS source_node, "
         "child_column AS source_col, 'main.' || parent_table AS target_node, "
-        "parent_column AS target_col, CAST(floor(CASE WHEN shared_distinct > 0 THEN overlap_pct "
-        "ELSE similarity END) AS INTEGER) AS score, CASE WHEN shared_distinct > 0 THEN "
+        "parent_column AS target_col, CAST(floor(CASE WHEN shared_distinct > 0 AND overlap_pct >= 5 THEN overlap_pct "
+        "ELSE similarity END) AS INTEGER) AS score, CASE WHEN shared_distinct > 0 AND overlap_pct >= 5 THEN "
         "'Data Domain Overlap' ELSE 'Fuzzy Name Match' END AS heuristic, "
         "'suggested' AS status, child_distinct, parent_distinct, shared_distinct FROM directed), "
         "merged AS (SELECT source_node, source_col, target_node, target_col, score, heuristic, "

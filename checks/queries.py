@@ -267,12 +267,12 @@ def micro_sampled(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _shape_samples(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, list[str]]]:
+def _shape_tables(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, list[str]]]:
     samples = []
     for name in ("lineitem", "events"):
         df = _table(spark, folder, name)
         columns = [c for c in _numeric(df) if not c.endswith("_id")]
-        samples.append((name, draw_sample(df, df.count(), LIMITS.sample_rows), columns))
+        samples.append((name, df, columns))
     return samples
 
 
@@ -281,7 +281,7 @@ def shape_stats(spark: SparkSession, folder: str) -> DataFrame:
         shape_moments(sample, {c: ("Skewness", "Kurtosis") for c in columns}).withColumn(
             "table_name", F.lit(name)
         )
-        for name, sample, columns in _shape_samples(spark, folder)
+        for name, sample, columns in _shape_tables(spark, folder)
     ]
     return _rounded(_union(parts), "skewness_val", "kurtosis_val")
 
@@ -289,7 +289,7 @@ def shape_stats(spark: SparkSession, folder: str) -> DataFrame:
 def box_plot(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         box_plots(sample, columns).withColumn("table_name", F.lit(name))
-        for name, sample, columns in _shape_samples(spark, folder)
+        for name, sample, columns in _shape_tables(spark, folder)
     ]
     names = ("low", "q1", "median", "q3", "high")
     return _union(parts).select(

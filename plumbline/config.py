@@ -24,18 +24,21 @@ OTHER = "OTHER"
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of the profiler and of discovery."""
+    """Thresholds of the profiler and of discovery.
+
+    Whole tables are profiled unless `sample_rows` asks for a sample of about so many rows.
+    """
 
     high_cardinality_ratio: float = 0.90
     top_k_max_distinct: int = 1000
     pattern_max_distinct: int = 100
     top_k: int = 10
     batch_columns: int = 50
-    sample_rows: int = 1_000_000
+    sample_rows: int | None = None
     micro_sample_rows: int = 2000
     default_bins: int = 20
     name_similarity: float = 85.0
-    overlap_sample: int = 100_000
+    overlap_sample: int | None = None
 
 
 @dataclass(frozen=True)

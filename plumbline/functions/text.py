@@ -22,7 +22,7 @@ SEMANTIC_PATTERNS = (
     ("EMAIL", r"^[^@ ]+@[^@ ]+[.][^@ ]+$"),
     ("URL", r"^https?://"),
     ("DATE", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
-    ("JSON", r"^[{].*[}]$"),
+    ("JSON", r"(?s)^[{].*[}]\s*$"),
 )
 SEMANTIC_SHARE = 0.8
 
@@ -65,17 +65,27 @@ def is_id_literal(name: str) -> bool:
     return lowered.endswith(ID_SUFFIXES) or lowered in ID_NAMES
 
 
-def matches_any_glob(name: Column, globs: str | Sequence[str]) -> Column:
-    """True where the name matches one of the globs, given as a list or comma separated."""
+def _glob_pattern(globs: str | Sequence[str]) -> str:
+    """Pattern of lower-case names that match a glob of a list or a comma separated text; '' for none."""
     parts = globs.split(",") if isinstance(globs, str) else globs
     bodies = [
         re.escape(g.strip().lower()).replace(r"\*", ".*").replace(r"\?", ".")
         for g in parts
         if g.strip()
     ]
-    if not bodies:
-        return F.lit(False)
-    return F.lower(name).rlike("^(" + "|".join(bodies) + ")$")
+    return "^(" + "|".join(bodies) + ")$" if bodies else ""
+
+
+def matches_any_glob(name: Column, globs: str | Sequence[str]) -> Column:
+    """True where the name matches one of the globs."""
+    pattern = _glob_pattern(globs)
+    return F.lower(name).rlike(pattern) if pattern else F.lit(False)
+
+
+def name_matches_glob(name: str, globs: str | Sequence[str]) -> bool:
+    """The same for a name known while the plan is built."""
+    pattern = _glob_pattern(globs)
+    return bool(pattern) and re.match(pattern, name.lower()) is not None
 
 
 def semantic_test_sql(tag: str, value: str) -> str:

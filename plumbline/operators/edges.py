@@ -25,6 +25,10 @@ EDGE_COLUMNS = (
 _ENDS = ("source_node", "source_col", "target_node", "target_col")
 
 
+# Percent of a child's values below which sharing them counts as accidental.
+MIN_OVERLAP = 5.0
+
+
 def _edge_id() -> Column:
     return F.concat(
         F.col("source_node"),
@@ -38,11 +42,15 @@ def _edge_id() -> Column:
 
 
 def found_edges(directed: DataFrame) -> DataFrame:
-    """Edges child -> parent: by overlap where values are shared, otherwise by name.
+    """Edges child -> parent: by overlap where at least MIN_OVERLAP percent is shared, else by name.
 
-    Scores are whole percents, rounded down, so 100 always means every value.
+    So a few values shared by accident do not turn a good name match into a score near 0, however
+    large the tables are. Pairs found by values alone have no name to fall back on. Scores are
+    whole percents, rounded down, so 100 always means every value.
     """
-    shares = F.col("shared_distinct") > 0
+    shares = (F.col("shared_distinct") > 0) & (
+        F.col("name_similarity").isNull() | (F.col("overlap_pct") >= MIN_OVERLAP)
+    )
     score = F.when(shares, F.col("overlap_pct")).otherwise(F.col("name_similarity"))
     return (
         directed.select(

@@ -11,7 +11,6 @@ PUT, REMOVE = "put", "remove"
 INDEX_BLOCK_KEYS = 65_536
 
 # Requested keys, eight bytes each, that may be broadcast to narrow the log.
-BROADCAST_KEYS = 500_000
 
 
 def expiry_of(ts: Column, ttl_seconds: Column) -> Column:
@@ -61,13 +60,11 @@ def kv_get(
     """(key, value, times): one answer per requested key, NULL if missing, removed or expired.
 
     `times` says how often the key was asked for, so a request that repeats one key very often
-    is still looked up once. The requested keys narrow the log by broadcast while they are few;
-    otherwise the state of all keys is built and joined, with one row per key on both sides.
+    is still looked up once. The requested keys narrow the log before its state is built; whether
+    they are broadcast is left to the optimiser, which knows their size.
     """
     asked = requests.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    if asked.count() <= BROADCAST_KEYS:
-        log = log.join(F.broadcast(asked.select("key")), "key", "left_semi")
-    state = kv_state(log)
+    state = kv_state(log.join(asked.select("key"), "key", "left_semi"))
     if not include_expired:
         state = live_state(state, as_of)
     answers = asked.join(state.select("key", "value"), "key", "left")
@@ -93,11 +90,14 @@ def compaction(state: DataFrame, as_of: Column) -> DataFrame:
 
 
 def write_state(state: DataFrame, path: str) -> None:
-    """Write the state partitioned by expiry date, so that expired days can be skipped."""
+    """Write the state partitioned by expiry date, so that expired days can be skipped.
+
+    Ranges of (day, key) give each day as many writers as its share of the rows asks for.
+    """
     dated = state.withColumn("expiry_date", F.to_date("expiry"))
-    dated.repartition("expiry_date", F.pmod(F.xxhash64("key"), F.lit(64))).write.mode(
-        "overwrite"
-    ).partitionBy("expiry_date").parquet(path)
+    dated.repartitionByRange("expiry_date", "key").write.mode("overwrite").partitionBy(
+        "expiry_date"
+    ).parquet(path)
 
 
 def read_live(stored: DataFrame, as_of: Column) -> DataFrame:

@@ -17,21 +17,32 @@ from plumbline.sources.templates import quoted
 # Columns per long of a membership mask; keeps clear of the sign bit.
 WORD_BITS = 62
 
-_WHOLE = "bigint"
-_DOUBLE_EXACT = 1e15
+
+
+def _canonical_number(text: Column) -> Column:
+    """One text for every spelling of a number: sign, digits without outer zeros, exponent of ten.
+
+    5, 5.0, 5E0 and 0.005E3 all give '5e1'. Nothing is rounded, whatever the size.
+    """
+    plain = F.ltrim(text, F.lit("-"))
+    mantissa = F.substring_index(plain, "E", 1)
+    power = F.coalesce(F.when(F.contains(plain, F.lit("E")), F.substring_index(text, "E", -1).try_cast("int")), F.lit(0))
+    whole = F.substring_index(mantissa, ".", 1)
+    digits = F.replace(mantissa, F.lit("."))
+    led = F.ltrim(digits, F.lit("0"))
+    exponent = F.length(whole) - (F.length(digits) - F.length(led)) + power
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    number = F.concat(sign, F.rtrim(led, F.lit("0")), F.lit("e"), exponent.cast("string"))
+    return F.when(F.rlike(text, F.lit("^-?[0-9]")), F.when(led == "", F.lit("0")).otherwise(number)).otherwise(text)
 
 
 def canonical_value(column: Column, data_type: T.DataType) -> Column:
-    """Text that is equal for equal values of one type family: 5, 5L and 5.0 all give '5'."""
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        d = column.cast("double")
-        integral = (d == F.floor(d)) & (F.abs(d) < _DOUBLE_EXACT)
-        return F.when(integral, d.try_cast(_WHOLE).cast("string")).otherwise(d.cast("string"))
-    if isinstance(data_type, T.DecimalType) and data_type.scale > 0:
-        text = column.cast("string")
-        if data_type.precision <= 15:
-            return canonical_value(column.cast("double"), T.DoubleType())
-        return F.regexp_replace(F.regexp_replace(text, "(?<=[.][0-9]{0,38})0+$", ""), "[.]$", "")
+    """Text that is equal for equal values of one type family: 5, 5L, 5.0 and 5.00 are one number.
+
+    Floating point numbers count as what their shortest decimal text says.
+    """
+    if isinstance(data_type, T.NumericType):
+        return _canonical_number(column.cast("string"))
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return column.cast("timestamp_ntz").cast("string")
     if isinstance(data_type, T.StringType):

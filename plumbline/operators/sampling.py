@@ -68,15 +68,16 @@ def micro_sample(
 ) -> DataFrame:
     """`rows` rows of the given columns.
 
-    A limit alone would send up to `rows` rows from every partition to one task. Thinning by a
-    fraction first bounds what reaches it to about OVERSAMPLING * rows however many partitions
-    there are. With a unique key the rows with the smallest key hashes are taken, which is
-    repeatable.
+    A limit alone would send up to `rows` rows from every partition to one task, and they would
+    be the first ones. Thinning by a fraction bounds what reaches it to about OVERSAMPLING * rows
+    however many partitions there are; the rows with the smallest key hashes, or without a unique
+    key the smallest random numbers, are taken from all of the table.
     """
     fraction = sample_fraction(total_rows, OVERSAMPLING * rows)
     if key is None:
         thin = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
-        return thin.select(*columns).limit(rows)
+        drawn = thin.select(*columns, F.rand(seed).alias("_random"))
+        return drawn.orderBy("_random").limit(rows).drop("_random")
     thin = df.where(hash_sampled(key, fraction))
     return (
         thin.select(*columns, hash32(key).alias("_hash"), key.alias("_key"))

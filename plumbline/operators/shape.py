@@ -1,10 +1,10 @@
-"""Pass 2: skewness, kurtosis and box plot of a sample."""
+"""Pass 2: skewness, kurtosis and box plot."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.sources.templates import DEFAULT_TEMPLATES, expand, quoted
@@ -35,25 +35,74 @@ def shape_moments(
     return sample.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def box_plots(sample: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, box_plot) with [min, q1, median, q3, max] by exact percentiles.
+def _ranked(counts: DataFrame, quantiles: Sequence[float], pieces: int) -> DataFrame:
+    """(column_name, q, low, high, value_low, value_high, share): where each quantile lies.
 
-    Meant for a drawn sample: exact percentiles hold a column's distinct values in one task.
-    Columns are stacked so that they spread over tasks instead of sharing one, and values are
-    counted first, so that repeated ones are not handed on one by one.
+    Values are cut into ranges of about equally many distinct values, and only ranges that hold a
+    wanted rank are numbered value by value.
     """
-    stacked = sample.select(
+    steps = [i / pieces for i in range(1, pieces)]
+    bounds = counts.groupBy("column_name").agg(
+        F.sum("times").alias("n"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.percentile_approx("value", F.array(*map(F.lit, steps)), 10 * pieces).alias("cuts"),
+    )
+    ranged = counts.join(F.broadcast(bounds), "column_name").select(
+        "column_name",
+        "value",
+        "times",
+        F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("piece"),
+    )
+    before = Window.partitionBy("column_name").orderBy("piece")
+    starts = (
+        ranged.groupBy("column_name", "piece")
+        .agg(F.sum("times").alias("size"))
+        .withColumn("start", F.sum("size").over(before) - F.col("size"))
+    )
+    position = (F.col("n") - 1) * F.col("q")
+    wanted = (
+        bounds.select("column_name", "n", "low", "high", F.explode(F.array(*map(F.lit, quantiles))).alias("q"))
+        .withColumn("share", position - F.floor(position))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
+    )
+    due = wanted.join(starts, "column_name").where("start <= rank AND rank < start + size")
+    inside = ranged.join(
+        F.broadcast(due.select("column_name", "piece", "start").distinct()), ["column_name", "piece"]
+    )
+    upto = Window.partitionBy("column_name", "piece").orderBy("value")
+    numbered = inside.withColumn("end", F.col("start") + F.sum("times").over(upto))
+    return (
+        numbered.select("column_name", "value", (F.col("end") - F.col("times")).alias("first"), "end")
+        .join(F.broadcast(wanted), "column_name")
+        .where("first <= rank AND rank < end")
+        .groupBy("column_name", "low", "high", "q", "share")
+        .agg(F.min("value").alias("value_low"), F.max("value").alias("value_high"))
+    )
+
+
+def box_plots(df: DataFrame, columns: Sequence[str], pieces: int = 256) -> DataFrame:
+    """(column_name, box_plot) with [min, q1, median, q3, max] by exact, interpolated quantiles.
+
+    Columns are stacked and equal values counted before their shuffle. No task holds all values of
+    a column: see `_ranked`. What is broadcast has a row for each column, quantile or piece.
+    """
+    stacked = df.select(
         *[F.col(quoted(c)).cast("double").alias(c) for c in columns]
     ).unpivot([], [F.col(quoted(c)) for c in columns], "column_name", "value")
-    quartiles = F.percentile("value", F.array(*[F.lit(q) for q in QUARTILES]), F.col("times"))
-    return (
+    counts = (
         stacked.where("value IS NOT NULL")
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("column_name")
-        .agg(F.min("value").alias("low"), quartiles.alias("q"), F.max("value").alias("high"))
+    )
+    between = F.col("value_low") * (1 - F.col("share")) + F.col("value_high") * F.col("share")
+    points = F.array_sort(F.collect_list(F.struct("q", between.alias("v"))))
+    return (
+        _ranked(counts, QUARTILES, pieces)
+        .groupBy("column_name", "low", "high")
+        .agg(F.transform(points, lambda p: p["v"]).alias("quartiles"))
         .select(
             "column_name",
-            F.concat(F.array("low"), F.col("q"), F.array("high")).alias("box_plot"),
+            F.concat(F.array("low"), F.col("quartiles"), F.array("high")).alias("box_plot"),
         )
     )

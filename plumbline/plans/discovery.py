@@ -6,13 +6,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.config import Limits
-from plumbline.functions.text import UTILITY_GLOBS
+from plumbline.functions.text import UTILITY_GLOBS, name_matches_glob
 from plumbline.operators.edges import declared_edges, found_edges, merge_edges
 from plumbline.operators.name_match import candidate_pairs, not_yet_evaluated
 from plumbline.operators.overlap import shared_value_pairs, value_overlap, with_direction
-from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
+from plumbline.sources.catalog import column_catalog, table_nodes
+from plumbline.sources.templates import quoted
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,25 @@ class DiscoveryResult:
             frame.unpersist()
 
 
+def _tables_to_scan(
+    tables: Mapping[str, DataFrame],
+    schema_name: str,
+    globs: Sequence[str] | str,
+    scope: DataFrame | None,
+) -> dict[str, DataFrame]:
+    """Tables in scope and their columns that are not for utility use: what is left out is not read.
+
+    Of the scope only rows that name a given table come to the driver.
+    """
+    names = [t for t in tables if not name_matches_glob(t, globs)]
+    if scope is not None:
+        listed = scope.where((F.col("schema_name") == schema_name) & F.col("table_name").isin(names))
+        wanted = {r["table_name"] for r in listed.select("table_name").distinct().collect()}
+        names = [t for t in names if t in wanted]
+    kept = {t: [c for c in tables[t].columns if not name_matches_glob(c, globs)] for t in names}
+    return {t: tables[t].select(*[quoted(c) for c in cols]) for t, cols in kept.items() if cols}
+
+
 def discover(
     tables: Mapping[str, DataFrame],
     schema_name: str = "main",
@@ -56,10 +77,10 @@ def discover(
     evaluated: DataFrame | None = None,
 ) -> DiscoveryResult:
     """Catalog, candidate pairs, overlap of those that pass the name cascade, and edges."""
-    measured = column_catalog(tables, schema_name, measure=True)
-    catalog = without_utility(measured, options.utility_globs)
-    if scope is not None:
-        catalog = in_scope(catalog, scope)
+    tables = _tables_to_scan(tables, schema_name, options.utility_globs, scope)
+    if not tables:
+        raise ValueError("no table is in scope")
+    catalog = column_catalog(tables, schema_name, measure=True)
     # Both hold metadata only, one row per column or pair, and are kept so that later steps do
     # not measure the tables again.
     catalog = catalog.persist()

@@ -53,12 +53,16 @@ METRIC_COLUMNS = (
     "p_value",
     "is_normal",
     "skipped_operations",
+    "sample_rows",
 )
 
 
 @dataclass(frozen=True)
 class ProfileResult:
-    """The four payloads of a run. `release` drops the small cached distributions."""
+    """The four payloads of a run. `release` drops the small cached distributions.
+
+    `sample_rows` in each is the size asked for where a sample was drawn, else NULL.
+    """
 
     metrics: DataFrame
     frequencies: DataFrame
@@ -171,7 +175,8 @@ def _later_passes(
         )
     )
     sample = df
-    if needed and total > limits.sample_rows:
+    sampled = limits.sample_rows is not None and total > limits.sample_rows
+    if needed and sampled:
         drawn = draw_sample(df, total, limits.sample_rows, sampler, sample_key)
         sample = store_sample(drawn.select(*[F.col(quoted(c)) for c in needed]))
 
@@ -180,7 +185,7 @@ def _later_passes(
         summary = distribution_summary(
             distribution_counts(sample, **request),
             limits.top_k,
-            extrapolation_factor(total, limits.sample_rows),
+            extrapolation_factor(total, limits.sample_rows) if sampled else 1.0,
         ).persist()
         cached.append(summary)
     else:
@@ -197,13 +202,17 @@ def _later_passes(
             sample,
             [quoted(c) for c in tested],
             limits.micro_sample_rows,
-            min(total, limits.sample_rows),
+            limits.sample_rows if sampled else total,
         )
         normal_rows = normality(micro, tested)
     else:
         normal_rows = spark.createDataFrame([], NORMALITY_SCHEMA)
 
-    labels = {"run_id": F.lit(run[0]), "batch_num": F.lit(run[1])}
+    labels = {
+        "run_id": F.lit(run[0]),
+        "batch_num": F.lit(run[1]),
+        "sample_rows": F.lit(limits.sample_rows if sampled else None).cast("long"),
+    }
     metrics = (
         spark.createDataFrame(judged, judged_schema)
         .join(moment_rows, "column_name", "left")
@@ -215,9 +224,9 @@ def _later_passes(
     key = ["run_id", "batch_num", "column_name"]
     return ProfileResult(
         metrics,
-        frequencies_of(summary).withColumns(labels).select(*key, "value", "count"),
-        patterns_of(summary).withColumns(labels).select(*key, "pattern", "count"),
-        histograms_of(summary).withColumns(labels).select(*key, "bucket", "count"),
+        frequencies_of(summary).withColumns(labels).select(*key, "value", "count", "sample_rows"),
+        patterns_of(summary).withColumns(labels).select(*key, "pattern", "count", "sample_rows"),
+        histograms_of(summary).withColumns(labels).select(*key, "bucket", "count", "sample_rows"),
         tuple(cached),
     )
 

@@ -20,7 +20,7 @@ from plumbline.operators.name_match import (
     similar_names,
 )
 from plumbline.operators.overlap import canonical_value, value_overlap, with_direction
-from plumbline.plans.discovery import DiscoveryOptions, discover
+from plumbline.plans.discovery import DiscoveryOptions, _tables_to_scan, discover
 from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
 
 EDGE_SCHEMA = (
@@ -145,8 +145,37 @@ def test_equal_values_of_different_types_are_equal(spark):
         "CAST('5.250' AS DECIMAL(20,3)) AS w, 5.25D AS e, CAST(5.25 AS DECIMAL(6,3)) AS f"
     )
     row = df.select(*[canonical_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
-    assert row["i"] == row["l"] == row["d"] == row["n"] == "5"
-    assert row["w"] == row["e"] == row["f"] == "5.25"
+    assert row["i"] == row["l"] == row["d"] == row["n"]
+    assert row["w"] == row["e"] == row["f"] != row["i"]
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["0", "-0.5", "0.0001", "0.000000001", "12345678.5", "-12345678.5", "3000000000000000", "1000000000000000000", "120", "0.1"],
+)
+def test_number_text_does_not_depend_on_type_or_size(spark, value):
+    types = ["DOUBLE", "DECIMAL(38,10)", "DECIMAL(32,12)"]
+    if "." not in value:
+        types += ["BIGINT", "DECIMAL(38,0)"]
+    if len(value.lstrip("-")) < 10 and "." in value and "12345678" not in value:
+        types.append("FLOAT")
+    df = spark.sql("SELECT " + ", ".join(f"CAST('{value}' AS {t}) AS c{i}" for i, t in enumerate(types)))
+    row = df.select(*[canonical_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert len(set(row)) == 1
+
+
+def test_scan_reads_no_excluded_or_unscoped_table(spark, shop):
+    scope = spark.createDataFrame([("main", "items")], "schema_name string, table_name string")
+    kept = _tables_to_scan(dict(shop) | {"audit_log": shop["items"]}, "main", "audit_*, *_tmp", scope)
+    assert list(kept) == ["items"]
+    assert "audit_log" not in _tables_to_scan(dict(shop) | {"audit_log": shop["items"]}, "main", "audit_*", None)
+
+
+def test_one_shared_value_does_not_hide_a_good_name(spark):
+    a = spark.range(1000).select((F.col("id") * 2 + 1).alias("c_acctbal"))
+    b = spark.range(1000).select((F.col("id") * 2 + 2001 - F.when(F.col("id") == 0, 2).otherwise(1)).alias("s_acctbal"))
+    found = discover({"c": a, "s": b}).edges.collect()
+    assert [(r["heuristic"], r["score"]) for r in found] == [("Fuzzy Name Match", 88)]
 
 
 def test_discovery_of_a_small_shop(spark, shop):

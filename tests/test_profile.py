@@ -247,6 +247,37 @@ def test_profile_of_a_table_beyond_the_sample_cap(spark):
     result.release()
 
 
+def test_whole_tables_are_profiled_and_samples_are_marked(spark):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id") % 3).alias("x"))
+    whole = profile(df, specs_from_schema(df), "r1")
+    assert sorted(r["count"] for r in whole.frequencies.collect()) == [1666, 1667, 1667]
+    assert {r["sample_rows"] for f in whole.payloads().values() for r in f.collect()} == {None}
+    drawn = profile(df, specs_from_schema(df), "r1", limits=Limits(sample_rows=1000))
+    assert {r["sample_rows"] for f in drawn.payloads().values() for r in f.collect()} == {1000}
+    whole.release()
+    drawn.release()
+
+
+def test_micro_sample_spans_a_sorted_table(spark):
+    ids = [r[0] for r in micro_sample(spark.range(60_000), ["id"], 2000, 60_000).collect()]
+    assert len(ids) == 2000 and min(ids) < 1000 and max(ids) > 59_000
+
+
+@pytest.mark.parametrize("pieces", [2, 7, 256])
+def test_box_plot_equals_exact_quantiles(spark, pieces):
+    df = spark.range(3001).select(
+        (F.col("id") * F.col("id") % 977).cast("double").alias("a"),
+        F.when(F.col("id") % 3 == 0, F.lit(4)).otherwise(F.col("id")).cast("int").alias("b"),
+        F.when(F.col("id") == 5, 1.5).alias("c"),
+        F.lit(None).cast("double").alias("d"),
+    )
+    found = {r["column_name"]: r["box_plot"] for r in box_plots(df, ["a", "b", "c", "d"], pieces).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for name, box in found.items():
+        exact = df.agg(F.percentile(name, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))).first()[0]
+        assert box == pytest.approx(exact)
+
+
 def test_inbox_is_partitioned_and_rerun_replaces_its_batch(spark, tmp_path, people):
     path = str(tmp_path / "inbox")
     specs = specs_from_schema(people)
