@@ -3,7 +3,8 @@
 A k-mer of words is an anchor if the smallest hash of its inner s-mers is the first or the last
 one. Whether it is depends on its own words only, so the same passage gives the same anchors in
 any context, and common anchors match passages by position. A fingerprint is the sketch of a
-document's anchors with the smallest hashes. All of it is DataFrame expressions.
+document's anchors with the smallest hashes; a text without any closed syncmer, such as one of
+under five words, has one anchor of all its words. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -25,31 +26,37 @@ def _with_pairs(rows: DataFrame, text: str, name: str) -> DataFrame:
     rows = rows.withColumn(f"{name}_w", F.transform(words, lambda w: F.xxhash64(w)))
     w = F.col(f"{name}_w")
     pairs = F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - S), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
-    return rows.withColumn(f"{name}_p", pairs)
+    rows = rows.withColumn(f"{name}_p", pairs)
+    return rows.withColumn(f"{name}_c", _closed(name))
 
 
-def _chosen(name: str) -> Column:
-    """Word numbers at which the closed syncmers start; a text of under K words is one anchor."""
+def _closed(name: str) -> Column:
+    """Word numbers at which the closed syncmers start."""
     p = F.col(f"{name}_p")
     inner = K - S
 
     def closed(i: Column) -> Column:
         return F.least(F.get(p, i), F.get(p, i + inner)) <= F.least(*[F.get(p, i + j) for j in range(1, inner)])
 
-    return F.when(p.isNotNull(), F.filter(F.sequence(F.lit(0), F.size(p) - 1 - inner), closed)).otherwise(F.array(F.lit(0)))
+    return F.when(p.isNotNull(), F.filter(F.sequence(F.lit(0), F.size(p) - 1 - inner), closed))
+
+
+def _chosen(name: str) -> Column:
+    """Where anchors start; -1 stands for all words of a text without a closed syncmer."""
+    c = F.col(f"{name}_c")
+    return F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(-1)))
 
 
 def _hash_at(name: str, i: Column) -> Column:
-    w, p = F.col(f"{name}_w"), F.col(f"{name}_p")
-    whole = F.xxhash64(w)
-    return F.when(p.isNull(), whole).otherwise(F.xxhash64(*[F.get(w, i + j) for j in range(K)])).bitwiseAND(F.lit(_LOW)).cast("int")
+    w = F.col(f"{name}_w")
+    return F.when(i < 0, F.xxhash64(w)).otherwise(F.xxhash64(*[F.get(w, i + j) for j in range(K)])).bitwiseAND(F.lit(_LOW)).cast("int")
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its anchors in order: place (word number) and hash. Null text counts as empty."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = _with_pairs(rows, "text", "t")
-    return rows.select("doc_id", F.transform(_chosen("t"), lambda i: F.struct(i.alias("place"), _hash_at("t", i).alias("hash"))).alias("anchors"))
+    return rows.select("doc_id", F.transform(_chosen("t"), lambda i: F.struct(F.greatest(i, F.lit(0)).alias("place"), _hash_at("t", i).alias("hash"))).alias("anchors"))
 
 
 def matched_places(left: Column, right: Column) -> Column:
@@ -81,7 +88,7 @@ def _sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
     rows = _with_pairs(rows, text, name)
     hashes = F.transform(_chosen(name), lambda i: _hash_at(name, i))
     sketch = F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
-    return rows.withColumn(name, sketch).drop(f"{name}_w", f"{name}_p")
+    return rows.withColumn(name, sketch).drop(f"{name}_w", f"{name}_p", f"{name}_c")
 
 
 def fingerprint_text(sketch: Column) -> Column:
@@ -97,8 +104,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex, up to 64 hashes), n_chars for every row.
 
-    Null and blank texts have the fingerprint of no word, texts of under five words that of all
-    their words. Null ids and repeated rows are rows like others; an empty table gives no rows.
+    Null and blank texts have the fingerprint of one empty word. Null ids and repeated rows are rows like others; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = _sketch(rows, "text", "sketch")
