@@ -172,6 +172,16 @@ def _exact_distinct() -> str:
     )
 
 
+def _approx_distinct() -> str:
+    return _union(
+        [
+            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact_count, true AS is_close "
+            "FROM lineitem"
+            for c in _columns("lineitem")
+        ]
+    )
+
+
 def _pattern_cardinality() -> str:
     return _union(
         [
@@ -554,6 +564,7 @@ ORACLES: dict[str, str] = {
     "profile_metrics": _profile_metrics(),
     "stat_templates": _stat_templates(),
     "exact_distinct": _exact_distinct(),
+    "approx_distinct": _approx_distinct(),
     "pattern_cardinality": _pattern_cardinality(),
     "char_pattern": (
         f"SELECT page_id, {_pattern('url')} AS url_pattern, {_pattern('html')} AS html_pattern "
@@ -626,6 +637,7 @@ ORACLES: dict[str, str] = {
     "mean_ci": _from_metrics("mean_ci_lower, mean_ci_upper"),
     "stddev_ci": _from_metrics(STDDEV_CI),
     "derived_shape": _from_metrics(DERIVED_SHAPE),
+    "merged_metrics": _from_metrics(DERIVED_SHAPE),
     "derived_shape_raw": _from_metrics(DERIVED_SHAPE),
     "derived_view": _from_metrics(
         "total_count, valid_count, null_rate, mean_ci_lower, mean_ci_upper, "

@@ -57,7 +57,7 @@ from plumbline.operators.name_match import (
 from plumbline.operators.normality import normality
 from plumbline.operators.sampling import draw_sample, micro_sample, sample_fraction
 from plumbline.operators.shape import box_plots, shape_moments
-from plumbline.operators.stored_metrics import stored_metrics
+from plumbline.operators.stored_metrics import merge_runs, stored_metrics
 from plumbline.plans.discovery import DiscoveryOptions, discover
 from plumbline.plans.profile import distribution_request, judge_columns, profile
 from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
@@ -178,9 +178,22 @@ def exact_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumnRenamed("name", "column_name")
 
 
+# Relative standard error of Spark's approx_count_distinct by default.
+HLL_ERROR = 0.05
+
+
 def approx_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact counts, and whether the approximate ones lie within three standard errors of them."""
     df = _table(spark, folder, "lineitem")
-    return base_metrics(df, specs_from_schema(df)).select("column_name", "distinct_count")
+    specs = specs_from_schema(df)
+    estimated = base_metrics(df, specs).select("column_name", "distinct_count")
+    exact = exact_distinct_counts(df, {s.column_name: F.col(s.column_name) for s in specs}).select(
+        F.col("name").alias("column_name"), F.col("distinct_count").alias("exact_count")
+    )
+    off = F.abs(F.col("distinct_count") - F.col("exact_count"))
+    return estimated.join(exact, "column_name").select(
+        "column_name", "exact_count", (off <= 3 * HLL_ERROR * F.col("exact_count")).alias("is_close")
+    )
 
 
 def pattern_cardinality(spark: SparkSession, folder: str) -> DataFrame:
@@ -464,6 +477,19 @@ def derived_shape(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def merged_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs over halves of each table, merged: counts, moments and shape of the whole."""
+    halves = []
+    for name, columns in MEASURED.items():
+        df = _holed(spark, folder, name)
+        half = F.pmod(F.xxhash64(df.columns[0]), F.lit(2))
+        halves += [stored_metrics(df.where(half == i), columns, f"half {i}") for i in (0, 1)]
+    rows = with_derived_shape(merge_runs(_union(halves), "both"))
+    return _rounded(rows, "skewness_derived", "kurtosis_derived").select(
+        "column_name", "skewness_derived", "kurtosis_derived"
+    )
+
+
 def derived_shape_raw(spark: SparkSession, folder: str) -> DataFrame:
     rows = shape_from_raw_sums(_stored(spark, folder))
     return _rounded(rows, "skewness_derived", "kurtosis_derived").select(
@@ -765,6 +791,7 @@ QUERIES: dict[str, Query] = {
     "mean_ci": mean_ci,
     "stddev_ci": stddev_ci,
     "derived_shape": derived_shape,
+    "merged_metrics": merged_metrics,
     "derived_shape_raw": derived_shape_raw,
     "derived_view": derived_view,
     "profile_lineitem": profile_lineitem,

@@ -125,15 +125,37 @@ def with_stddev_ci(metrics: DataFrame, chi2: DataFrame) -> DataFrame:
 
 
 def with_derived_shape(metrics: DataFrame) -> DataFrame:
-    """Skewness and excess kurtosis recomputed from the stored sums about `shift_c`."""
+    """Skewness and excess kurtosis from the stored sums about `shift_c`.
+
+    Rows that hold raw sums and no shift, as other writers of the table leave them, get theirs from
+    the raw sums. Only those rows go through Python; the table has a row per run and column.
+    """
     n = F.col("valid_count")
     s1, s2, s3, s4 = (F.col(f"s{k}") for k in range(1, 5))
-    return metrics.withColumns(
+    shaped = metrics.withColumns(
         {
             "skewness_derived": skewness_from_sums(n, s1, s2, s3),
             "kurtosis_derived": kurtosis_from_sums(n, s1, s2, s3, s4),
         }
     )
+    raw_only = metrics.where("shift_c IS NULL AND sum_x IS NOT NULL AND run_id IS NOT NULL")
+    raw = shape_from_raw_sums(raw_only).select(
+        F.col("run_id").alias("_run"),
+        F.col("column_name").alias("_column"),
+        F.col("skewness_derived").alias("_skewness"),
+        F.col("kurtosis_derived").alias("_kurtosis"),
+    )
+    own = (F.col("run_id") == F.col("_run")) & (F.col("column_name") == F.col("_column"))
+    return (
+        shaped.join(raw, own & F.col("shift_c").isNull(), "left")
+        .withColumns(
+            {
+                "skewness_derived": F.coalesce("skewness_derived", "_skewness"),
+                "kurtosis_derived": F.coalesce("kurtosis_derived", "_kurtosis"),
+            }
+        )
+        .drop("_run", "_column", "_skewness", "_kurtosis")
+    )
 
 
 def derive_metrics(metrics: DataFrame, chi2: DataFrame | None = None) -> DataFrame:

@@ -184,3 +184,53 @@ def stored_metrics(df: DataFrame, columns: Sequence[str], run_id: str) -> DataFr
         .drop("r")
     )
     return evolve_metrics(rows)
+
+
+def merge_runs(metrics: DataFrame, run_id: str) -> DataFrame:
+    """One row per column that describes the rows of all its runs together.
+
+    Every run's sums are about its own mean; they are moved to the common mean before they are
+    added, so the result is that of one run over everything. Raw sums are added if all runs with
+    values have them. A column without values in any run keeps its counts.
+    """
+    together = metrics.groupBy("column_name").agg(
+        F.try_divide(
+            F.sum(F.col("mean_val") * F.col("valid_count")), F.sum("valid_count")
+        ).alias("_mean")
+    )
+    n, d = F.col("valid_count"), F.col("shift_c") - F.col("_mean")
+    s1, s2, s3, s4 = (F.col(f"s{k}") for k in range(1, 5))
+    moved = {
+        "_1": s1 + n * d,
+        "_2": s2 + 2 * d * s1 + n * d**2,
+        "_3": s3 + 3 * d * s2 + 3 * d**2 * s1 + n * d**3,
+        "_4": s4 + 4 * d * s3 + 6 * d**2 * s2 + 4 * d**3 * s1 + n * d**4,
+    }
+    filled = n > 0
+
+    def whole(name: str):
+        lacking = F.count_if(filled & F.col(name).isNull()) > 0
+        return F.when(~lacking, F.try_sum(name)).cast(POWER_SUM_TYPES[name]).alias(name)
+
+    merged = (
+        metrics.join(together, "column_name")
+        .withColumns(moved)
+        .groupBy("column_name")
+        .agg(
+            F.sum("total_count").alias("total_count"),
+            F.sum("null_count").alias("null_count"),
+            F.sum("valid_count").alias("valid_count"),
+            F.first("_mean").alias("mean_val"),
+            *[whole(name) for name in POWER_SUM_TYPES],
+            *[F.sum(f"_{k}").alias(f"s{k}") for k in range(1, 5)],
+        )
+    )
+    spread = F.sqrt(F.col("s2") / (F.col("valid_count") - 1))
+    return evolve_metrics(
+        merged.select(
+            F.lit(run_id).alias("run_id"),
+            "*",
+            F.when(F.col("valid_count") > 1, spread).alias("stddev_val"),
+            F.col("mean_val").alias("shift_c"),
+        )
+    )

@@ -9,7 +9,7 @@ from plumbline.operators.derive import (
     shape_from_raw_sums,
     with_stddev_ci,
 )
-from plumbline.operators.stored_metrics import stored_metrics
+from plumbline.operators.stored_metrics import merge_runs, stored_metrics
 from plumbline.sources.metrics_table import append_metrics, evolve_metrics, read_metrics
 
 
@@ -62,6 +62,26 @@ def test_derived_shape_equals_builtin(spark, values):
         assert row["kurtosis_derived"] == pytest.approx(built_in["k"], abs=tolerance)
 
 
+def test_rows_with_raw_sums_only_get_their_shape(spark):
+    metrics = stored_metrics(numbers(spark, [1, 2, 3, 10]), ["x"], "r")
+    foreign = metrics.withColumns({c: F.lit(None).cast("double") for c in ("shift_c", "s1", "s2", "s3", "s4")}).withColumn("run_id", F.lit("f"))
+    rows = {r["run_id"]: r for r in derive_metrics(metrics.unionByName(foreign)).collect()}
+    assert len(rows) == 2
+    for name in ("skewness_derived", "kurtosis_derived"):
+        assert rows["f"][name] == pytest.approx(rows["r"][name], abs=1e-9)
+
+
+@pytest.mark.parametrize("parts", [([1, 2, 3], [10, 4.5]), ([1e6 + i % 7 for i in range(50)], [5]), ([], [1, 2, 4, 4]), ([None], [None, None])])
+def test_merged_runs_equal_one_run(spark, parts):
+    runs = [stored_metrics(numbers(spark, p), ["x"], str(i)) for i, p in enumerate(parts)]
+    merged = derive_metrics(merge_runs(runs[0].unionByName(runs[1]), "m")).first()
+    whole = derive_metrics(stored_metrics(numbers(spark, parts[0] + parts[1]), ["x"], "w")).first()
+    for name in ("total_count", "null_count", "valid_count", "sum_x", "sum_x4"):
+        assert merged[name] == whole[name]
+    for name in ("mean_val", "stddev_val", "skewness_derived", "kurtosis_derived"):
+        assert merged[name] == (None if whole[name] is None else pytest.approx(whole[name], rel=1e-8, abs=1e-8))
+
+
 @pytest.mark.parametrize(
     ("values", "has_skew", "has_kurt"),
     [([1], False, False), ([1, 2], False, False), ([1, 2, 4], True, False), ([1, 2, 4, 4], True, True),

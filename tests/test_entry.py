@@ -2,15 +2,16 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_query_is_registered():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    rows_only = set(contract.queries()) - set(contract.oracle_sql())
-    assert rows_only == {
-        "approx_distinct",
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(QUERIES) - set(ORACLES) == {
         "normality",
         "profile_lineitem",
         "profile_wide",
