@@ -20,6 +20,12 @@ K, S, SKETCH = 5, 2, 64
 _LOW = 0x7FFFFFFF
 
 
+def _id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    # an alias for nothing would keep the two uses of one shuffle from being recognised
+    doc_id = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    return docs.select(doc_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
 def _with_pairs(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Adds arrays of word hashes and of hashes of neighbouring words (the inner s-mers)."""
     words = F.split(F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " "))), " ", -1)
@@ -54,7 +60,7 @@ def _hash_at(name: str, i: Column) -> Column:
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its anchors in order: place (word number) and hash. Null text counts as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _id_and_text(docs, id_col, text_col)
     rows = _with_pairs(rows, "text", "t")
     return rows.select("doc_id", F.transform(_chosen("t"), lambda i: F.struct(F.greatest(i, F.lit(0)).alias("place"), _hash_at("t", i).alias("hash"))).alias("anchors"))
 
@@ -106,7 +112,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and blank texts have the fingerprint of one empty word. Null ids and repeated rows are rows like others; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _id_and_text(docs, id_col, text_col)
     found = _sketch(rows, "text", "sketch")
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint_text(F.col("sketch")).alias("fingerprint"))
 
@@ -163,7 +169,7 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place in the order: its next document is an empty text. Texts are shuffled once whole by id and
     once in part, as far as the document before needs them.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _id_and_text(docs, id_col, text_col)
     return _edited(rows, _order(rows))
 
 
@@ -173,7 +179,7 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Returns doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch (of a null id that of
     an empty text). Every text is sketched once.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _id_and_text(docs, id_col, text_col)
     order = _order(rows)
     found = _sketch(_sketch(_edited(rows, order), "text", "sketch"), "edited", "edited_sketch")
     found = cut(
