@@ -10,6 +10,9 @@ of the values, not of texts; only documents with a redrawn value are joined.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,15 @@ PATTERNS = {
     "name": rf"(?=\p{{Lu}}\p{{Ll}})(?<= )(?:(?<=(?<!\p{{L}}){_TITLE} )|(?<=(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,30}} )){_NAME}",
 }
 ANY = "|".join(PATTERNS.values())
-#: A cheap test that every text with an entity passes.
-HINT = rf"@|[0-9][0-9.() +-]{{6}}|[0-9A-Fa-f]{{32}}|AKIA|gh[pousr]_|(?<!\p{{L}}){_TITLE} \p{{Lu}}|[A-Z]{{2}}[0-9]{{2}}"
+#: Pieces of text one of which is in every text with an entity that has neither a digit nor an @.
+SIGNS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "Mr", "Ms", "Miss", "Frau", "Señor", "Sr", "Mad", "Mme", "Mlle", "Herr", "Monsieur", "Dr", "Prof", "Mx")
+
+
+def hinted(text: Column) -> Column:
+    """A cheap test that every text with an entity passes; false for null."""
+    signs = [F.contains(text, F.lit(s)) for s in SIGNS]
+    return F.coalesce(reduce(or_, signs, text.rlike("[@0-9]")), F.lit(False))
+
 
 #: Between any two characters.
 _EACH = r"(?s)(?<=.)(?=.)"
@@ -190,16 +200,19 @@ def _kind(found: Column, before: Column, after: Column) -> Column:
 
 
 def _parsed(texts: DataFrame) -> DataFrame:
-    """Adds `between` (texts around the matches) and `found` (value and kind of each match)."""
-    rows = texts.withColumn("between", F.split("text", ANY, -1)).withColumn("raw", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    """Adds `between` (texts around the matches) and `found` (value and kind of each match), null
+    where a text has no entity for sure."""
+    due, text = F.col("due"), F.col("text")
+    rows = texts.withColumn("due", hinted(text))
+    rows = rows.withColumn("between", F.when(due, F.split(text, ANY, -1))).withColumn("raw", F.when(due, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     b = F.col("between")
     found = F.transform("raw", lambda v, i: F.struct(v.alias("value"), _kind(v, F.get(b, i), F.get(b, i + 1)).alias("kind")))
-    return rows.withColumn("found", found).drop("raw")
+    return rows.withColumn("found", found).drop("raw", "due")
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kind and value of every entity, in any order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(HINT))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return _parsed(rows).select("doc_id", F.explode("found").alias("e")).where("e.kind is not null").select("doc_id", "e.kind", "e.value")
 
 
@@ -231,23 +244,22 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id",
     but the join of redrawn values, which takes nulls as equal. An empty table gives no rows.
     """
     columns = docs.columns
-    hinted = F.coalesce(F.col(text_col).cast("string").rlike(HINT), F.lit(False))
     values = cut(entities(docs, id_col, text_col).groupBy("kind", "value").agg(F.count("*").alias("n")).drop("n"))
     redrawn = cut(redrawn_values(values, key))
-    own = docs.where(hinted).select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
-    parsed = _parsed(own)
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
     no_attempts = F.create_map().cast("map<string,int>")
     if redrawn.isEmpty():
-        parsed = parsed.withColumn("attempts", no_attempts)
+        parsed = _parsed(rows).withColumn("attempts", no_attempts)
     else:
-        texts = docs.where(hinted).select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
-        uses = _parsed(texts).select("own_id", F.xxhash64("text").alias("hash"), F.explode("found").alias("e")).select("own_id", "hash", "e.kind", "e.value")
+        uses = _parsed(rows).select("own_id", F.xxhash64("text").alias("hash"), F.explode("found").alias("e")).select("own_id", "hash", "e.kind", "e.value")
         per_doc = uses.join(redrawn, ["kind", "value"]).distinct().groupBy("own_id", "hash").agg(
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias("attempts")
         )
         per_doc = per_doc.select(F.col("own_id").alias("id"), F.col("hash").alias("text_hash"), "attempts")
-        parsed = parsed.join(per_doc, F.col("own_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
-        parsed = parsed.withColumn("attempts", F.coalesce("attempts", no_attempts))
+        same = F.col("own_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_hash"))
+        joined = rows.where(hinted(F.col("text"))).join(per_doc, same, "left").drop("id", "text_hash")
+        plain = rows.where(~hinted(F.col("text"))).withColumn("attempts", no_attempts)
+        parsed = _parsed(joined.withColumn("attempts", F.coalesce("attempts", no_attempts)).unionByName(plain))
 
     def with_hash(e: Column) -> Column:
         attempt = F.coalesce(F.try_element_at(F.col("attempts"), F.concat_ws(" ", e["kind"], e["value"])), F.lit(0))
@@ -261,6 +273,5 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id",
     # each replacement, in order, goes behind the text before it
     pairs = F.arrays_zip("between", "swap")
     swapped = F.transform(pairs, lambda p: F.concat(p["between"], F.coalesce(p["swap"], F.lit(""))))
-    made = parsed.select("row", F.array_join(swapped, "").alias("text"))
-    changed = made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])
-    return docs.where(~hinted).unionByName(changed)
+    made = parsed.select("row", F.when(F.col("between").isNull(), F.col("text")).otherwise(F.array_join(swapped, "")).alias("text"))
+    return made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])
