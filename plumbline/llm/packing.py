@@ -8,7 +8,9 @@ best-fit again, until one round is left with few enough items for one task or st
 from __future__ import annotations
 
 import bisect
+import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,41 +25,99 @@ from plumbline.llm.shared import cut, map_arrow
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks whose ids a worker remembers; a full memory is emptied, which changes no result.
-MEMORY = 400_000
+#: Chunks whose ids a worker remembers, and as many that it used before; results don't depend on it.
+MEMORY = 450_000
 #: A bin with at most this share of free tokens is written out before the last round.
 SLACK = 1 / 64
 #: Items that one task packs in a merge round.
 GROUP_ITEMS = 200_000
-_ODD_SPACE = re.compile(r" \s|\s ")
+_RARE_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Letters and punctuation of chunks that are cut further, where the split is beyond doubt.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+[{_MARKS}]*(?:\n[{_LETTERS}]+[{_MARKS}]*)*")
+_UNIT = re.compile(rf" ?[{_LETTERS}]+|[{_MARKS}]+|\n")
+#: Characters of text that are cut up at once.
+BLOCK_CHARS = 8 << 20
+#: By number of ids: what writes them as unsigned 32-bit numbers.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
-class Memory(dict):
-    """Ids of text chunks, as bytes of unsigned 32-bit numbers; asks the tokenizer for new ones."""
+class Memory:
+    """Ids of text chunks as bytes of unsigned 32-bit numbers; asks the tokenizer for new ones.
+
+    `spaced` has chunks that follow a space, words and whole chunks alike; `plain` has what stands
+    elsewhere: starts of texts, punctuation, line ends and the words behind them.
+    """
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        super().__init__()
         self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = self[chunk] = np.array(ids, "<u4").tobytes()
-        return found
+        self.spaced: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = found.ids
+            yield _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _recall(self, chunks: set[str]) -> set[str]:
+        """Chunks that neither memory has; those of the older one are taken over."""
+        new = chunks.difference(self.spaced)
+        known = new.intersection(self.before)
+        self.spaced.update({c: self.before[c] for c in known})
+        return new.difference(known)
+
+    def learn(self, starts: list[str], chunks: set[str]) -> None:
+        if len(self.spaced) > MEMORY:
+            self.before, self.spaced, self.plain = self.spaced, {}, {}
+        parts = {c: _units(" " + c) for c in self._recall(chunks)}
+        units = {u for found in parts.values() for u in found}
+        words = list(self._recall({u[1:] for u in units if u.startswith(" ")}))
+        self.spaced.update(zip(words, self._ids([" " + w for w in words])))
+        others = list({u for u in units if not u.startswith(" ")}.union(starts).difference(self.plain))
+        self.plain.update(zip(others, self._ids(others)))
+        spaced, plain = self.spaced, self.plain
+        for chunk, found in parts.items():
+            if len(found) > 1:
+                spaced[chunk] = b"".join([spaced[u[1:]] if u[0] == " " else plain[u] for u in found])
+
+
+def _units(chunk: str) -> list[str]:
+    """The byte-level split's tokens of a plain chunk; any other chunk as it is."""
+    return _UNIT.findall(chunk) if _PLAIN.fullmatch(chunk) else [chunk]
 
 
 @lru_cache(maxsize=2)
 def memory_of(path: str) -> Memory:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Memory(Tokenizer.from_file(path))
 
 
-def token_bytes(text: str, memory: Memory) -> bytes:
-    """Ids of a whole text. A single space between two other characters starts a new word of the
-    byte-level split, so the text can be cut there and equal chunks need encoding only once."""
-    chunks = _SPACE_BETWEEN.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-    if len(memory) > MEMORY:
-        memory.clear()
-    return memory[chunks[0]] + b"".join([memory[" " + c] for c in chunks[1:]])
+def _single_spaces(text: str) -> bool:
+    """Whether every space is sure to stand between two other characters, or at an end."""
+    return not ("  " in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text))
+
+
+def token_bytes(texts: list[str], memory: Memory) -> list[bytes]:
+    """Ids of whole texts. A single space between two other characters starts a new word of the
+    byte-level split, so texts can be cut there and equal chunks need encoding only once."""
+    cut_up = [t.split(" ") if _single_spaces(t) else _SPACE_BETWEEN.split(t) for t in texts]
+    memory.learn([c[0] for c in cut_up], set().union(*[c[1:] for c in cut_up]))
+    spaced = memory.spaced.__getitem__
+    return [memory.plain[c[0]] + b"".join(map(spaced, c[1:])) for c in cut_up]
+
+
+def _encoded(texts: list[str | None], memory: Memory) -> Iterator[bytes]:
+    """Ids of each text, in blocks of bounded size."""
+    at = 0
+    while at < len(texts):
+        block, size = [], 0
+        while at < len(texts) and (not block or size + len(texts[at] or "") <= BLOCK_CHARS):
+            block.append(texts[at] or "")
+            size += len(block[-1])
+            at += 1
+        yield from token_bytes(block, memory)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,8 +133,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         memory = memory_of(tokenizer_path)
         for batch in batches:
             owner, number, start, length, ids = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = (token_bytes(text, memory) if text else b"") + end
+            for i, data in enumerate(_encoded(batch.column(1).to_pylist(), memory)):
+                data += end
                 at, n = 0, len(data) // 4
                 take = n % capacity or capacity
                 k = 0
