@@ -26,18 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.llm.shared import map_arrow
+from plumbline.llm.shared import cut, map_arrow
 
 #: Words that the lexicon holds, at most: the most frequent ones.
 LEXICON_WORDS = 100_000
 #: Distinct words that a task counts before it sends its counts on, and entries of a worker's memories.
-COUNTED, REMEMBERED = 300_000, 150_000
+COUNTED, REMEMBERED = 300_000, 250_000
 #: Bytes of text that are split and looked up together.
 BLOCK_BYTES = 8 << 20
 #: Fixed value: the pattern that splits text into words, as the tokenizer's file has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose class all Unicode versions agree on; a chunk with others is split by the library.
 _SETTLED = re.compile("[!-~¡-ɏͰ-ϿЀ-ӿ‐-‧‰-⁞぀-ヿ一-鿿가-힣]*")
+#: A word of letters with or without marks behind it, which needs no other rule.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 _WORD_END = "</w>"
 
 
@@ -188,6 +190,9 @@ class Bpe:
         self.library = None
 
     def _plain_words(self, text: str) -> list[bytes]:
+        if simple := _SIMPLE.fullmatch(text):
+            word, marks = simple.groups()
+            return [word.lower().encode(), marks.encode()] if marks else [word.lower().encode()]
         if _SETTLED.fullmatch(text):
             text = text if text.isascii() else unicodedata.normalize("NFC", text)
             lowered = text.replace("Σ", "σ").lower()  # one letter at a time, as the library does
@@ -306,9 +311,15 @@ def compile_lexicon(words: list[bytes], path: str) -> dict[str, np.ndarray]:
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
     """Compile the most frequent words of all texts and hand the file to every executor; its name there.
 
-    Only `size` words, a parameter, come to the driver.
+    Only up to `size` words, a parameter, come to the driver. How often a word has to occur is an
+    approximate quantile of all words' counts; what the lexicon holds changes no result.
     """
-    top = count_words(docs, path, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = cut(count_words(docs, path, text_col))
+    if (distinct := counts.count()) > size:
+        # a bound on the count, so that nothing is sorted or sent that doesn't stay
+        bound = counts.agg(F.percentile_approx("n", 1 - size / distinct, 10_000).alias("bound")).first()["bound"]
+        counts = counts.where(F.col("n") > bound).limit(size)
+    top = counts.collect()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = Path(tempfile.mkdtemp(prefix="plumbline-")) / name
     save(compile_lexicon([bytes(r["word"]) for r in top], path), file)
