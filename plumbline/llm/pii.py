@@ -49,6 +49,8 @@ def hinted(text: Column) -> Column:
     return F.coalesce(reduce(or_, signs, text.rlike("[@0-9]")), F.lit(False))
 
 
+#: Draws after which a name's surrogate gets one more letter, again and again.
+WIDEN_AFTER = 3
 #: Between any two characters.
 _EACH = r"(?s)(?<=.)(?=.)"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -143,18 +145,28 @@ def _octets(stream: Column) -> Column:
     return F.concat_ws(".", *[(F.pmod(F.conv(F.substring(stream, 1 + 4 * i, 4), 16, 10).cast("int"), F.lit(254)) + 1).cast("string") for i in range(4)])
 
 
-def _name_like(value: Column, stream: Column, kind: Column) -> Column:
-    """A capitalised name in the script of the value; given names end like their gender's."""
+def _name_like(value: Column, stream: Column, kind: Column, attempt: Column) -> Column:
+    """A capitalised name in the script of the value; given names end like their gender's.
+
+    Every WIDEN_AFTER attempts it gets one more letter, so short names never run out of surrogates.
+    """
     shaped = _same_shape(value, stream)
     lead, tail = F.substring(shaped, F.lit(1), F.length(shaped) - 1), F.substring(shaped, F.length(shaped), F.lit(1))
     script = F.when(value.rlike(r"^[Ѐ-ӿ]"), 1).when(value.rlike(r"^[Ͱ-Ͽ]"), 2).otherwise(0)
     for gender, letters in ENDINGS.items():
         last = F.get(F.array(*map(F.lit, letters)), script)
         tail = F.when(kind == gender, last).otherwise(tail)
-    return F.concat(lead, tail)
+
+    def letter(k: Column) -> Column:
+        n = _number(stream, F.length(value) + k)
+        return F.when(script == 1, _pick(SCRIPTS[0][1], n)).when(script == 2, _pick(SCRIPTS[2][1], n)).otherwise(_pick(_LOWER, n))
+
+    extra = F.floor(attempt / WIDEN_AFTER).cast("int")
+    more = F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), letter), "")).otherwise("")
+    return F.concat(lead, more, tail)
 
 
-def surrogate(kind: Column, value: Column, h: Column) -> Column:
+def surrogate(kind: Column, value: Column, h: Column, attempt: Column) -> Column:
     """Replacement of a value, of its kind and shape, drawn from its keyed hash.
 
     h has to be a column or a field: an expression would run again for every character.
@@ -171,7 +183,7 @@ def surrogate(kind: Column, value: Column, h: Column) -> Column:
         .when(kind == "phone", F.concat(code, F.substring(shaped, F.length(code) + 1, F.length(shaped))))
         .when(kind == "ip", _octets(h))
         .when(kind == "card", _with_luhn(shaped))
-        .when(kind.isin("given_f", "given_m", "given", "surname"), _name_like(value, h, kind))
+        .when(kind.isin("given_f", "given_m", "given", "surname"), _name_like(value, h, kind, attempt))
         .otherwise(shaped)
     )
 
@@ -220,12 +232,13 @@ def redrawn_values(values: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, value and attempt (1 or more) of the distinct values whose first surrogates collide.
 
     A surrogate is drawn again while another value of its kind has it too (one of them keeps it) or
-    while it is itself a value that occurs.
+    while it is itself a value that occurs. Names widen with the attempt; the other kinds have at
+    least a hundred million surrogates of any shape.
     """
     drawn = values.select("kind", "value", F.lit(0).alias("attempt"))
     while True:
         drawn = drawn.withColumn("h", keyed_hash(F.col("kind"), F.col("value"), F.col("attempt"), key))
-        drawn = cut(drawn.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("h"))).drop("h"))
+        drawn = cut(drawn.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("h"), F.col("attempt"))).drop("h"))
         keeps = drawn.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value")).alias("first")).where("n > 1").select("kind", "made", F.col("first.value").alias("keeper"))
         clash = drawn.join(keeps, ["kind", "made"]).where("value <> keeper").select("kind", "value")
         occurs = drawn.join(values.select("kind", F.col("value").alias("made")), ["kind", "made"], "left_semi").select("kind", "value")
@@ -264,10 +277,10 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id",
     def with_hash(e: Column) -> Column:
         attempt = F.coalesce(F.try_element_at(F.col("attempts"), F.concat_ws(" ", e["kind"], e["value"])), F.lit(0))
         h = F.when(e["kind"].isNotNull(), keyed_hash(e["kind"], e["value"], attempt, key))
-        return F.struct(e["value"].alias("value"), e["kind"].alias("kind"), h.alias("h"))
+        return F.struct(e["value"].alias("value"), e["kind"].alias("kind"), h.alias("h"), attempt.alias("attempt"))
 
     def new(e: Column) -> Column:
-        return F.when(e["kind"].isNull(), e["value"]).otherwise(surrogate(e["kind"], e["value"], e["h"]))
+        return F.when(e["kind"].isNull(), e["value"]).otherwise(surrogate(e["kind"], e["value"], e["h"], e["attempt"]))
 
     parsed = parsed.withColumn("swap", F.transform(F.transform("found", with_hash), new))
     # each replacement, in order, goes behind the text before it

@@ -170,6 +170,13 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert made[len(values) :] == [f"{v} and {v}" for v in single]
 
 
+def test_short_names_do_not_run_out_of_surrogates(spark):
+    names = [a + b for a in "ABCDEFGH" for b in "aeiouxyz"][:60]
+    made = replaced(spark, [f"Ms {n} Wang" for n in names])
+    given = [re.fullmatch(r"Ms ([A-Z][a-z]*a) [A-Z][a-z]{3}", m)[1] for m in made]
+    assert len(set(given)) == 60 and not set(given) & set(names)
+
+
 def test_surrogates_keep_rows_and_columns(spark):
     docs = frame(spark, [(None, "a.b@c.de"), (1, "a.b@c.de"), (1, "a.b@c.de"), (2, None)])
     found = pii.replace_entities(docs)
