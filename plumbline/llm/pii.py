@@ -25,18 +25,36 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Srta", "M
 MALE = ("Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur")
 NEUTRAL = ("Dr", "Prof", "Mx")
 _TITLE = "(?:" + "|".join(FEMALE + MALE + NEUTRAL) + r")\.?"
-_NAME = r"\p{Lu}\p{Ll}[\p{L}'’-]{0,30}"
+_NAME = r"\p{Lu}\p{Ll}(?:[\p{L}-]|['’](?!s(?!\p{L}))){0,30}"
+#: Names behind a title that are looked back over, so a titled name has up to one more.
+_NAMES_BEFORE = 5
+_BEFORE = r"\p{Lu}\p{Ll}[\p{L}'’-]{0,30} "
+_BEHIND_TITLE = "|".join(rf"(?<=(?<!\p{{L}}){_TITLE} {n * _BEFORE})" for n in range(_NAMES_BEFORE + 1))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Phones with a country code (groups of three or four digits, or of two), area code
+#: in brackets, three groups with one separator, national ones with a leading zero.
+_PHONE = "(?:" + "|".join(
+    [
+        r"(?<![\p{N}+])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{N}])",
+        r"(?<![\p{N}+])\+[1-9][0-9]{0,2}[ .-]?(?:\(0\) ?)?[0-9]{1,3}(?:[ .-][0-9]{2}){3,5}(?![\p{N}]|[ .-]?[0-9])",
+        r"(?<![\p{N}+])\+[1-9][0-9]{0,2}[ .-]?(?:\(0\) ?)?[0-9]{2,4}[ ./-][0-9]{4,8}(?![\p{N}])",
+        r"(?<![\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\p{N}])",
+        *[rf"(?<![\p{{L}}\p{{N}}+.-])[2-9][0-9]{{2}}{sep}[0-9]{{3}}{sep}[0-9]{{4}}(?![\p{{L}}\p{{N}}-])" for sep in (" ", r"\.", "-")],
+        r"(?<![\p{L}\p{N}+.-])0[1-9](?:[ .-][0-9]{2}){4}(?![\p{L}\p{N}-])",
+        r"(?<![\p{L}\p{N}+.-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\p{L}\p{N}-])",
+    ]
+) + ")"
+_SSN = r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])"
 #: Patterns of the entity kinds, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:(?=[0-9a-f]{0,31}[0-9])[0-9a-f]{32,128}|(?=[0-9A-F]{0,31}[0-9])[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{N}+])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{N}])|(?<![\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\p{N}])",
-    "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
+    "phone": _PHONE,
+    "ssn": _SSN,
     "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\p{{N}}|\.\p{{N}})",
-    "card": r"(?<![\p{L}\p{N}-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}-])",
-    "name": rf"(?=\p{{Lu}}\p{{Ll}})(?<= )(?:(?<=(?<!\p{{L}}){_TITLE} )|(?<=(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,30}} )){_NAME}",
+    "card": rf"(?<![\p{{L}}\p{{N}}-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{_PHONE}|{_SSN})[0-9]++(?![\p{{L}}]|\.[0-9]))*+(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}}\p{{Ll}})(?<= )(?:{_BEHIND_TITLE}){_NAME}",
 }
 ANY = "|".join(PATTERNS.values())
 #: Pieces of text one of which is in every text with an entity that has neither a digit nor an @.
@@ -190,8 +208,6 @@ def surrogate(kind: Column, value: Column, h: Column, attempt: Column) -> Column
 
 def _kind(found: Column, before: Column, after: Column) -> Column:
     """Kind of a match by what stands in and around it; null if it is none after all."""
-    digits = _only_digits(found)
-
     def titled(titles: tuple[str, ...]) -> Column:
         return before.rlike(r"(?<!\p{L})(?:" + "|".join(titles) + r")\.? $")
 
@@ -200,10 +216,10 @@ def _kind(found: Column, before: Column, after: Column) -> Column:
         F.when(found.contains("@"), "email")
         .when(found.rlike(f"^(?:{PATTERNS['secret']})$"), "secret")
         .when(found.rlike(f"^(?:{PATTERNS['iban']})$"), F.when(_mod97(found) == 1, "iban"))
-        .when(found.rlike(r"^[+(]"), "phone")
+        .when(found.rlike(f"^{_PHONE}$"), "phone")
         .when(found.rlike(f"^(?:{PATTERNS['ssn']})$"), "ssn")
         .when(found.rlike(f"^(?:{PATTERNS['ip']})$"), "ip")
-        .when(found.rlike("^[0-9]"), F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, "card"))
+        .when(found.rlike("^[0-9]"), F.lit(None))  # cards are told by their groups
         .when(titled(FEMALE) & given, "given_f")
         .when(titled(MALE) & given, "given_m")
         .when(titled(NEUTRAL) & given, "given")
@@ -211,15 +227,82 @@ def _kind(found: Column, before: Column, after: Column) -> Column:
     )
 
 
+def _item(value: Column, kind: Column) -> Column:
+    return F.struct(value.alias("value"), kind.cast("string").alias("kind"))
+
+
+_NO_ITEMS = "array<struct<value:string,kind:string>>"
+
+
+def _cards(run: Column) -> Column:
+    """Items of a run of digit groups: the cards in it and the groups between.
+
+    From left to right, the longest row of whole groups with 13 to 19 digits and a right Luhn sum
+    is a card. A separator belongs to the group before it.
+    """
+    groups = F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0))
+
+    def step(state: Column, i: Column) -> Column:
+        def window(k: Column) -> Column:
+            return F.array_join(F.slice(state["groups"], i + 1, k), "")
+
+        def valid(k: Column) -> Column:
+            digits = _only_digits(window(k))
+            return F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(digits), F.lit(10)) == 0)
+
+        most = F.least(F.lit(19), F.size(state["groups"]) - i)
+        best = F.coalesce(F.get(F.filter(F.reverse(F.sequence(F.lit(1), most)), valid), F.lit(0)), F.lit(0))
+        text = window(best)
+        bare = F.regexp_replace(text, "[ -]$", "")
+        card = F.array(_item(bare, F.lit("card")), _item(F.substring(text, F.length(bare) + 1, F.length(text)), F.lit(None)))
+        plain = F.array(_item(F.get(state["groups"], i), F.lit(None)))
+        moved = F.struct(
+            state["groups"].alias("groups"),
+            F.when(best > 0, i + best).otherwise(i + 1).cast("int").alias("next"),
+            F.concat(state["out"], F.when(best > 0, card).otherwise(plain)).alias("out"),
+        )
+        return F.when(i < state["next"], state).otherwise(moved)
+
+    start = F.struct(groups.alias("groups"), F.lit(0).alias("next"), F.array().cast(_NO_ITEMS).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: s["out"])
+
+
+#: Kinds that are names, and a word that may be one.
+_NAME_KINDS = ("given_f", "given_m", "given", "surname")
+_NAME_WORD = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
+
+
 def _parsed(texts: DataFrame) -> DataFrame:
-    """Adds `between` (texts around the matches) and `found` (value and kind of each match), null
-    where a text has no entity for sure."""
+    """Adds `found`: the whole text in items of value and kind, in order; kind is null between
+    entities, and `found` where a text has no entity for sure.
+
+    A document's titled names are also found where they stand without a title.
+    """
     due, text = F.col("due"), F.col("text")
     rows = texts.withColumn("due", hinted(text))
     rows = rows.withColumn("between", F.when(due, F.split(text, ANY, -1))).withColumn("raw", F.when(due, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     b = F.col("between")
-    found = F.transform("raw", lambda v, i: F.struct(v.alias("value"), _kind(v, F.get(b, i), F.get(b, i + 1)).alias("kind")))
-    return rows.withColumn("found", found).drop("raw", "due")
+    rows = rows.withColumn("told", F.transform("raw", lambda v, i: _item(v, _kind(v, F.get(b, i), F.get(b, i + 1)))))
+
+    def items(e: Column) -> Column:
+        run = e["kind"].isNull() & e["value"].rlike("^[0-9][0-9 -]*$")
+        return F.when(run, _cards(e["value"])).otherwise(F.array(e))
+
+    told = F.col("told")
+    parts = F.flatten(F.transform(b, lambda x, i: F.concat(F.array(_item(x, F.lit(None))), F.when(i < F.size(told), items(F.get(told, i))).otherwise(F.array().cast(_NO_ITEMS)))))
+    rows = rows.withColumn("parts", parts)
+    named = F.filter("told", lambda e: e["kind"].isin(*_NAME_KINDS))
+    kinds = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda e: e["value"])), lambda v: F.struct(v.alias("name"), F.get(F.filter(F.col("named"), lambda e: e["value"] == v), F.lit(0))["kind"].alias("kind"))))
+    rows = rows.withColumn("named", named).withColumn("kinds", kinds)
+
+    def mentions(e: Column) -> Column:
+        words = F.regexp_extract_all(e["value"], F.lit(_NAME_WORD), F.lit(0))
+        gaps = F.split(e["value"], _NAME_WORD, -1)
+        cut_up = F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), words.alias("word")), lambda z: F.array(_item(z["gap"], F.lit(None)), _item(F.coalesce(z["word"], F.lit("")), F.try_element_at(F.col("kinds"), z["word"])))))
+        return F.when(e["kind"].isNull(), cut_up).otherwise(F.array(e))
+
+    found = F.when(F.size("named") > 0, F.flatten(F.transform("parts", mentions))).otherwise(F.col("parts"))
+    return rows.withColumn("found", found).drop("raw", "due", "between", "told", "parts", "named", "kinds")
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +347,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id",
     if redrawn.isEmpty():
         parsed = _parsed(rows).withColumn("attempts", no_attempts)
     else:
-        uses = _parsed(rows).select("own_id", F.xxhash64("text").alias("hash"), F.explode("found").alias("e")).select("own_id", "hash", "e.kind", "e.value")
+        uses = _parsed(rows).select("own_id", F.xxhash64("text").alias("hash"), F.explode("found").alias("e")).where("e.kind is not null").select("own_id", "hash", "e.kind", "e.value")
         per_doc = uses.join(redrawn, ["kind", "value"]).distinct().groupBy("own_id", "hash").agg(
             F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias("attempts")
         )
@@ -283,8 +366,5 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id",
         return F.when(e["kind"].isNull(), e["value"]).otherwise(surrogate(e["kind"], e["value"], e["h"], e["attempt"]))
 
     parsed = parsed.withColumn("swap", F.transform(F.transform("found", with_hash), new))
-    # each replacement, in order, goes behind the text before it
-    pairs = F.arrays_zip("between", "swap")
-    swapped = F.transform(pairs, lambda p: F.concat(p["between"], F.coalesce(p["swap"], F.lit(""))))
-    made = parsed.select("row", F.when(F.col("between").isNull(), F.col("text")).otherwise(F.array_join(swapped, "")).alias("text"))
+    made = parsed.select("row", F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join("swap", "")).alias("text"))
     return made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])

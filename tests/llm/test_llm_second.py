@@ -177,6 +177,34 @@ def test_short_names_do_not_run_out_of_surrogates(spark):
     assert len(set(given)) == 60 and not set(given) & set(names)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "pay #4111111111111111# 123",
+        "pay #4111 1111 1111 1111# 12 times",
+        "order 77 #4111-1111-1111-1111# now",
+        "#4111 1111 1111 1111# #4539578763621486#",
+        "call #555-123-4567# today",
+        "call #+33 1 23 45 67 89# today",
+        "call #0171 1234567#.",
+        "7 #4111 1111 1111 1111# #555-123-4567# end",
+    ],
+)
+def test_cards_between_groups_and_national_phones(spark, text):
+    values = text.split("#")[1::2]
+    plain = text.replace("#", "")
+    made = replaced(spark, [plain])[0]
+    pattern = "".join(re.escape(p) if i % 2 == 0 else re.sub("[0-9]", "[0-9]", re.escape(p)) for i, p in enumerate(text.split("#")))
+    assert re.fullmatch(pattern, made) and not any(v in made for v in values)
+
+
+def test_all_names_and_later_mentions_go(spark):
+    made = replaced(spark, ["Mr John Paul Smith came. Later John and Smith's dog left, Smithson stayed.", "John and Smith"])
+    john, paul, smith, john2, smith2 = re.fullmatch(r"Mr (\w+) (\w+) (\w+) came\. Later (\w+) and (\w+'?\w*) dog left, Smithson stayed\.", made[0]).groups()
+    assert (john, smith) == (john2, smith2.removesuffix("'s")) and not {john, paul, smith} & {"John", "Paul", "Smith"}
+    assert made[1] == "John and Smith"
+
+
 def test_surrogates_keep_rows_and_columns(spark):
     docs = frame(spark, [(None, "a.b@c.de"), (1, "a.b@c.de"), (1, "a.b@c.de"), (2, None)])
     found = pii.replace_entities(docs)
