@@ -8,6 +8,7 @@ is DataFrame expressions over a fixed table of rules; nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 from typing import NamedTuple
 
@@ -36,7 +37,7 @@ FAMILIES = [
     ("gfdl-1.2", "gfdl 1 2", rf"gnu free documentation {_LIC}(?: version| v)? 1 2", _LIC),
     ("gfdl-1.3", "gfdl 1 3", rf"gnu free documentation {_LIC}(?: version| v)? 1 3", _LIC),
     ("mit", "mit", rf"(?:the )?(?:mit|expat) {_LIC}", _LIC),
-    ("mit-0", "mit 0", rf"mit no attribution(?: {_LIC})?", _LIC),
+    ("mit-0", "mit 0", rf"mit no attribution(?: {_LIC})?", "mit no attribution"),
     ("x11", "x11", rf"(?:the )?x11 {_LIC}", _LIC),
     ("isc", "isc", rf"(?:the )?isc {_LIC}", _LIC),
     ("bsd-2-clause", "bsd 2 clause", rf"(?:simplified|freebsd|2 clause|two clause) bsd {_LIC}|bsd (?:2|two) clause {_LIC}", _LIC),
@@ -95,7 +96,7 @@ TEXTS = [
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|the) contributors may be used to endorse or promote products derived", "copyright"),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|the) contributors may be used to endorse or promote products derived", "endorse"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", _LIC),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", _LIC),
     ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", _LIC),
@@ -105,7 +106,7 @@ TEXTS = [
     ("bsl-1.0", "distributed under the boost software license version 1 0", _LIC),
     ("unlicense", "this is free and unencumbered software released into the public domain", "public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "warranty"),
-    ("wtfpl", "you just do what the fuck you want to", "public domain"),
+    ("wtfpl", "you just do what the fuck you want to", "fuck"),
     ("public-domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain", "public domain"),
     ("public-domain", "in the public domain", "public domain"),
     ("all-rights-reserved", "all rights reserved", "reserved"),
@@ -114,9 +115,10 @@ TEXTS = [
     ("cc0-1.0", "creative commons zero(?: v1 0| 1 0)?(?: universal)?", "creative commons"),
     ("gpl-2.0", "gpl ?v?2(?: 0)?(?: or later| only)?", "gpl"),
     ("gpl-3.0", "gpl ?v?3(?: 0)?(?: or later| only)?", "gpl"),
-    ("gpl-2.0", "gplv2|gpl2", "gplv2"),
-    ("gpl-3.0", "gplv3|gpl3", "gplv3"),
+    ("gpl-2.0", "gplv2|gpl2", "gpl"),
+    ("gpl-3.0", "gplv3|gpl3", "gpl"),
     ("gpl", "gpl", "gpl"),
+    ("lgpl-2.0", "lgpl ?v?2(?: 0)?(?: or later| only)?", "lgpl"),
     ("lgpl-2.1", "lgpl ?v?2 1(?: or later| only)?", "lgpl"),
     ("lgpl-3.0", "lgpl ?v?3(?: 0)?(?: or later| only)?", "lgpl"),
     ("lgpl", "lgpl", "lgpl"),
@@ -128,8 +130,11 @@ TEXTS = [
     ("cc", f"creative commons {_LIC}", _LIC),
 ]
 
-#: Words (or pairs) whose presence opens a document to the rules that name them.
-KEYWORDS = ["licen[sc]e[ds]?", "unlicense", "permission", "redistribution", "copyright", "warranty", "reserved", "public domain", "creative commons", "cc", "cc0", "gpl", "gplv[23]", "gpl[23]", "lgpl", "agpl", "spdx"]
+#: Words (or pairs) whose presence opens a document to the rules that name them. Every match of a
+#: rule's pattern has to hold the rule's keyword.
+KEYWORDS = ["licen[sc]e[ds]?", "unlicense", "permission", "redistribution", "copyright", "warranty", "reserved", "public domain", "creative commons", "cc", "cc0", "gpl", "[la]?gplv?[23]", "lgpl", "agpl", "spdx", "mit no attribution", "endorse", "fuck"]
+#: Forms of a keyword and the keyword they stand for.
+FORMS = [("^licen[sc]e[ds]?$", "license"), ("^([la]?gpl)v?[23]$", "$1")]
 
 
 class Rule(NamedTuple):
@@ -155,7 +160,7 @@ def _creative_commons() -> list[tuple[str, str, str]]:
 
 
 def rules() -> list[Rule]:
-    """All rules in order: tags, notices, names, texts. About 330."""
+    """All rules in order: tags, notices, names, texts. About 410."""
     made = []
     for label, tag, name, key in FAMILIES:
         key = "license" if key == _LIC else key
@@ -167,7 +172,7 @@ def rules() -> list[Rule]:
     for label, tag, name in _creative_commons():
         made += [
             Rule(label, "spdx", 90, 1.0, f"spdx {_LIC} identifier {tag}"),
-            Rule(label, "license", 70, 0.9, f"(?:licensed|released|available) under (?:a |the )?(?:{tag}|{name})"),
+            *[Rule(label, key, 70, 0.9, f"(?:licensed|released|available) under (?:a |the )?(?:{form})") for key, form in (("cc", tag), ("creative commons", name))],
             Rule(label, "cc", 50, 0.8, tag),
             Rule(label, "creative commons", 50, 0.8, f"{name}|{name.replace('creative commons ', 'creative commons (?:license )?')}"),
         ]
@@ -226,7 +231,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (_spaces(F.col("words")) - 1).alias("n_words"),
     )
     w = F.col("words")
-    keys = F.transform(F.regexp_extract_all(w, F.lit(gate), F.lit(0)), lambda k: F.regexp_replace(k, r"^licen[sc]e[ds]?$", "license"))
+    keys = F.transform(F.regexp_extract_all(w, F.lit(gate), F.lit(0)), lambda k: reduce(lambda c, form: F.regexp_replace(c, *form), FORMS, k))
     rows = rows.select("doc_id", "n_words", "words", F.array_distinct(keys).alias("keys"), F.regexp_extract_all(w, F.lit(base_rule), F.lit(0)).alias("base_found"), F.split(w, base_rule, -1).alias("base_between"))
 
     def entry(order: int, rule: Rule) -> Column:

@@ -1,6 +1,7 @@
 """Language ID, BPE lexicon, surrogates, syncmers, license scan and the pipeline."""
 
 import hashlib
+import random
 import re
 import string
 import struct
@@ -329,6 +330,53 @@ def test_rules_are_many_and_keyed():
     assert all(keys.fullmatch(r.keyword) or r.keyword in ("gplv2", "gplv3") for r in licenses.rules())
 
 
+def examples(parsed, pick):
+    """One text that a parsed pattern matches."""
+    made = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            made += chr(arg)
+        elif op == "NOT_LITERAL":
+            made += "a"
+        elif op == "IN":
+            kind, value = arg[0]
+            made += "a" if str(kind) == "NEGATE" else chr(value if str(kind) == "LITERAL" else value[0])
+        elif op == "BRANCH":
+            made += examples(pick(arg[1]), pick)
+        elif op == "SUBPATTERN":
+            made += examples(arg[3], pick)
+        elif op == "MAX_REPEAT":
+            made += "".join(examples(arg[2], pick) for _ in range(pick([arg[0], min(arg[1], arg[0] + 1)])))
+        else:
+            raise ValueError(op)
+    return made
+
+
+def test_every_rule_opens_for_its_own_text_alone(spark):
+    pick = random.Random(1).choice
+    rules = licenses.rules()
+    rows = [(i, examples(re._parser.parse(r.pattern), p)) for i, r in enumerate(rules) for p in (lambda x: x[0], lambda x: x[-1], pick, pick)]
+    found = licenses.scan_licenses(frame(spark, [(k, text) for k, (_, text) in enumerate(rows)])).collect()
+    bad = []
+    for d in found:
+        rule, text = rules[rows[d.doc_id][0]], rows[d.doc_id][1]
+        n = len(re.findall("[0-9a-z]+", text))
+        if not any(x.start == 0 and x.stop == n and x.confidence >= rule.confidence for x in d.detections):
+            bad.append((rule.label, text))
+    assert not bad
+    assert len(found) == 4 * len(rules)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("LGPLv3", "lgpl-3.0"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("GPL2", "gpl-2.0"), ("GPL3", "gpl-3.0"), ("just do what the fuck", None), ("You just do what the fuck you want to.", "wtfpl"), ("released under CC BY 4.0", "cc-by,cc-by-4.0")],
+)
+def test_forms_in_one_word_open_their_rules(spark, text, label):
+    row = licenses.license_digest(licenses.scan_licenses(frame(spark, [(1, f"x {text} y")]))).first()
+    assert row.labels == (label or "") and row.score == (0.9 if text.startswith("released") else 0.7 if label else 0.0)
+
+
 def test_license_scan_is_native_and_takes_odd_tables(spark):
     assert is_native(licenses.license_digest(licenses.scan_licenses(frame(spark, [(1, "x")]))))
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
