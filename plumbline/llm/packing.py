@@ -11,7 +11,7 @@ import bisect
 import os
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from plumbline.llm.shared import cut, map_arrow
+from plumbline.llm.shared import cut, map_arrow, shared_path
 
 CAPACITY = 1024
 END_ID = 2
@@ -272,15 +272,20 @@ def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
     capacity: int = CAPACITY,
-    carry: Callable[[DataFrame], DataFrame] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Tokenise and pack documents: doc_id, piece, start, length, ids, sequence_id, offset.
 
-    `carry` may replace the pieces' columns before packing, such as ids by a digest of them; it has
-    to keep `length`. Other columns of docs are ignored. Repeated rows are packed each on its own,
-    null ids are kept, an empty table gives no rows.
+    Pieces are written to the shared folder once, with a key; only keys and lengths go through the
+    rounds of packing, and the ids are joined to their places afterwards. Other columns of docs are
+    ignored. Repeated rows are packed each on its own, null ids are kept, an empty table gives no
+    rows.
     """
-    cut_up = pieces(docs, tokenizer_path, capacity, id_col, text_col)
-    return pack(carry(cut_up) if carry else cut_up, capacity)
+    path = shared_path(docs.sparkSession, "pieces")
+    keyed = pieces(docs, tokenizer_path, capacity, id_col, text_col).withColumn("key", F.monotonically_increasing_id())
+    keyed.write.option("compression", "zstd").parquet(path)
+    stored = docs.sparkSession.read.parquet(path)
+    places = pack(stored.select("key", "length"), capacity).select("key", "sequence_id", "offset")
+    # the narrow side is hashed, so the ids are shuffled but not sorted
+    return stored.join(places.hint("shuffle_hash"), "key").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")

@@ -27,13 +27,14 @@ OWN_CONVERSATION = -7
 OWN_TEXT = "</s>[INST] ok [/INST]"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of packed documents with their ids and places."""
+    return pack_documents(docs, public_tokenizers.path(BYTE_BPE))
+
+
 def packed_digest(docs: DataFrame) -> DataFrame:
-    """Pieces of packed documents with a checksum in place of their ids."""
-    return pack_documents(
-        docs,
-        public_tokenizers.path(BYTE_BPE),
-        carry=lambda p: p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")),
-    )
+    """Pieces of packed documents with a checksum of the ids that packing returns in their place."""
+    return packed(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -409,3 +409,22 @@ def test_pipeline_runs_over_a_folder(spark):
     ids = {r.doc_id for r in found.select("doc_id").collect()}
     firsts = {r.doc_id for r in queries.op2_simhash(spark, SF).where("doc_id = component_id").collect()}
     assert ids == firsts and len(ids) < docs.count()
+
+
+def test_packed_sequences_hold_the_ids(spark):
+    texts = ["one two three " * 900, "été 日本", "", None, "one two three " * 900]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "again"])] + [(5, "again"), (None, "x y")], "doc_id long, text string")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [[*library.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()]
+    found = corpus_pipeline.packing(spark, docs, SF).collect()
+    sequences = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        at = sequences.setdefault(r.sequence_id, [])
+        assert r.offset == len(at) and r.length == len(r.ids) // 4
+        at.extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert max(map(len, sequences.values())) <= 1024
+    assert sorted(x for s in sequences.values() for x in s) == sorted(x for e in expected for x in e)
+    for i in range(5):
+        mine = sorted((r.start, r.ids) for r in found if r.doc_id == i)
+        assert np.frombuffer(b"".join(ids for _, ids in mine), "<u4").tolist() == expected[i]
+    assert sum(r.doc_id == 5 for r in found) == 2 and sum(r.doc_id is None for r in found) == 1
