@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Applications that already have this package on their executors.
 _SHIPPED: set[str] = set()
@@ -61,6 +63,79 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def _local_totals(key: int, values: Sequence[int]) -> Callable:
+    """Running totals of sorted rows within a partition, for mapInArrow.
+
+    Adds the totals, the partition's number and `edge`: 1 marks its first row, 2 its last one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held, edge, last, carry = None, None, None, np.zeros(len(values), np.int64)
+
+        def out() -> pa.RecordBatch:
+            names = [*held[0].schema.names, *[f"_{i}" for i in range(len(values))], "_part", "_edge"]
+            extra = [*map(pa.array, held[1]), pa.array(np.full(len(edge), part, np.int32)), pa.array(edge)]
+            return pa.RecordBatch.from_arrays([*held[0].columns, *extra], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            new = np.r_[last is None or keys[0] != last, keys[1:] != keys[:-1]]
+            group = np.cumsum(new) - new[0]
+            starts = np.flatnonzero(new) if new[0] else np.r_[0, np.flatnonzero(new)]
+            totals = []
+            for i, v in enumerate(values):
+                one = batch.column(v).to_numpy().astype(np.int64)
+                upto = np.cumsum(one)
+                before = upto[starts] - one[starts]
+                if not new[0]:
+                    before[0] -= carry[i]
+                totals.append(upto - before[group])
+            if held:
+                yield out()
+            held, edge = (batch, totals), np.zeros(batch.num_rows, np.int32)
+            edge[0] = last is None
+            last, carry = keys[-1], np.array([t[-1] for t in totals], np.int64)
+        if held:
+            edge[-1] += 2
+            yield out()
+
+    return run
+
+
+def running_totals(df: DataFrame, key: str, order: Sequence, totals: dict[str, str], cuts: Sequence | None = None) -> DataFrame:
+    """df with running totals within a key: for name -> column in `totals`, the total up to the row.
+
+    Rows are dealt by ranges of (key, cuts), where cuts defaults to order, and sorted by (key, order),
+    so a key with very many rows lies in many partitions. Each partition adds up its own rows; what
+    a key had before comes from one small row of each earlier partition. key: a long without nulls,
+    the columns: longs without nulls. `cuts=()` takes the partitions of df as they are: already
+    dealt and sorted, as a former call returns them.
+    """
+    if cuts is None or len(cuts):
+        df = df.repartitionByRange(key, *(cuts or order)).sortWithinPartitions(key, *order)
+    names = list(totals)
+    kinds = [*df.schema.fields, *[StructField(f"_{i}", LongType()) for i in range(len(names))]]
+    kinds += [StructField("_part", IntegerType()), StructField("_edge", IntegerType())]
+    run = _local_totals(df.columns.index(key), [df.columns.index(c) for c in totals.values()])
+    stored = cut(map_arrow(df, run, StructType(kinds)))
+    earlier = Window.partitionBy(key).orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    ends = [F.when(F.col("_edge") >= 2, F.col(f"_{i}")).otherwise(0) for i in range(len(names))]
+    before = (
+        stored.where("_edge > 0")
+        .select(key, "_part", "_edge", *[F.sum(e).over(earlier).alias(f"_before{i}") for i, e in enumerate(ends)])
+        .where("_edge IN (1, 3) AND _before0 IS NOT NULL")
+        .drop("_edge")
+    )  # at most one row a partition
+    joined = stored.join(F.broadcast(before), [key, "_part"], "left")
+    upto = [(F.col(f"_{i}") + F.coalesce(F.col(f"_before{i}"), F.lit(0))).alias(n) for i, n in enumerate(names)]
+    return joined.select(*df.columns, *upto)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
