@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.align import alignment_digest
 from plumbline.llm.chat import CHUNK_BYTES, format_conversations, read_turns, unescape
 from plumbline.llm.langid import identify, learn
 from plumbline.llm.lexicon import encode_documents
@@ -20,9 +21,11 @@ from plumbline.llm.pii import replace_entities
 from plumbline.llm.shared import map_arrow, table
 from plumbline.llm.simhash import simhash_classes
 from plumbline.llm.syncmers import compare_with_edit, fingerprint_digest
+from plumbline.llm.toxicity import toxicity_digest
+from plumbline.llm.trie import trie_digest
 from plumbline.llm.warc import archive_pages
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 OWN_CONVERSATION = -7
 OWN_TEXT = "</s>[INST] ok [/INST]"
 
@@ -119,6 +122,19 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_digest(format_conversations(rows.unionByName(own), CHUNK_BYTES))
 
 
+def op11_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_digest(table(spark, folder, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return alignment_digest(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -130,4 +146,7 @@ QUERIES = {
     "op8_syncmers": op8_syncmers,
     "op9_licenses": op9_licenses,
     "op10_chat": op10_chat,
+    "op11_trie": op11_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_alignment": op13_alignment,
 }
