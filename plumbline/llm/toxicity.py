@@ -277,10 +277,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         .groupBy("digest")
         .agg(F.min("doc_id").alias("doc_id"), (F.avg("share") >= 0.5).cast("int").alias("toxic"))
     )
-    found = rows.join(chosen, "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
-    repeated = found.groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1").select("digest")
-    once = found.join(repeated, "digest", "left_anti")
-    return once.select("text", "toxic").unionByName(found.join(repeated, "digest", "left_semi").dropDuplicates(["digest"]).select("text", "toxic"))
+    own = rows.select(F.col("doc_id").alias("id"), "text", F.unhex(F.sha2("text", 256)).alias("own"))
+    found = own.join(chosen, (F.col("own") == F.col("digest")) & (F.col("id") == F.col("doc_id")))
+    # rows that agree in both already lie together, so repeated ones go without another shuffle of texts
+    return found.dropDuplicates(["digest", "doc_id"]).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -293,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     path = shared_path(docs.sparkSession, "toxic-training")
     training_texts(docs, labels, id_col, text_col).write.option("compression", "zstd").parquet(path)
     training = docs.sparkSession.read.parquet(path)
-    found = _count(training).toArrow()
+    found = _count(training).select(F.col("bucket").cast("int").alias("bucket"), F.col("clean").cast("float"), F.col("toxic").cast("float")).toArrow()
     bucket, clean, toxic = (c.to_numpy() for c in found.columns)
     counts = np.zeros((2, BUCKETS), np.float32)
     counts[0][bucket[bucket >= 0]] = clean[bucket >= 0]
