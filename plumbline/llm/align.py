@@ -27,11 +27,13 @@ from plumbline.llm.shared import map_arrow, shared_path
 #: A tokens of a lane; a longer document has several, so that one text doesn't hold up a batch.
 LANE_TOKENS = 512
 #: Bytes of text that are merged at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Links of documents that share one list of id pairs.
-CHUNK_LINKS = 6_000_000
-#: Segments whose ids a worker remembers, and as many that it used before; results don't depend on it.
-MEMORY = 150_000
+CHUNK_LINKS = 2_000_000
+#: Segments whose ids a worker remembers before it starts anew; results don't depend on it.
+MEMORY = 300_000
+#: Segments that are encoded in one go.
+GROUP = 256
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts with these are cut by `_CUT`; in others every space stands between two other characters.
@@ -71,35 +73,66 @@ class Pair:
         self.a_length = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
         self.width = len(self.b_bytes)
-        self.recent: dict[str, tuple] = {}
-        self.before: dict[str, tuple] = {}
+        self.forget()
         n, m = len(self.a_bytes), self.width
         texts = [f"{i}{s}" for s, size in ((",", n), ("|", n), (",", m), (";", m), ("", m)) for i in range(size)]
         #: Decimal ids with what may follow them, by kind and id.
         self.words = np.array(texts, object)
         self.word_at = np.cumsum([0, n, n, m, m])
 
-    def _encode(self, segments: list[str]) -> Iterator[tuple]:
-        """Ids of A and B of each segment, or None if the joined bytes differ from it."""
-        found = self.a.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)
-        for s, a, b in zip(segments, found, self.b.encode(segments, num_threads=1)):
-            want, a = f" {s}".encode(), a.ids
-            same = b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
-            yield (np.array(a, np.int32), np.array(b, np.int32)) if same else None
-
-    def ids(self, segments: list[str]) -> list[tuple]:
-        if len(self.recent) > MEMORY:
-            self.before, self.recent = self.recent, {}
-        recent, before = self.recent, self.before
-        new = []
-        for s in segments:
-            if s not in recent:
-                if s in before:
-                    recent[s] = before[s]
-                else:
-                    new.append(s)
-        recent.update(zip(new, self._encode(new)))
-        return [recent[s] for s in segments]
+    def forget(self) -> None:
+        """Start anew: `at` numbers the segments; of each its start and number of ids, of A and of B."""
+        self.at: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.start = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.fits = np.zeros(0, bool)
+
+    def _encode(self, groups: list[list[str]]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]] | None]:
+        """For each group of segments the ids of A and B and where each segment's end.
+
+        A group is encoded in one go, its segments joined by single spaces. None if the joined bytes
+        of its tokens differ from the text or a token reaches over a segment's end.
+        """
+        texts = [" ".join(g) for g in groups]
+        found = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        for group, text, a, b in zip(groups, texts, found, self.b.encode(texts, num_threads=1)):
+            want, a = f" {text}".encode(), a.ids
+            if not b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b)):
+                yield None
+                continue
+            ids = [np.array(a, np.int32), np.array(b, np.int32)]
+            over = np.cumsum([len(s.encode()) + 1 for s in group])
+            reached = [np.cumsum(length[i]) for length, i in zip((self.a_length, self.b_length), ids)]
+            ends = [np.searchsorted(r, over) + 1 for r in reached]
+            yield (ids, ends) if all(np.array_equal(r[e - 1], over) for r, e in zip(reached, ends)) else None
+
+    def learn(self, segments: list[str]) -> None:
+        """Keep the ids of new segments. Those that begin and end without space share a call."""
+        new = [s for s in segments if s not in self.at]
+        if len(self.at) + len(new) > MEMORY:
+            self.forget()
+            new = segments
+        plain = [s for s in new if s and s == s.strip()] if self.cuttable else []
+        alone = [[s] for s in new if not s or s != s.strip()] if self.cuttable else [[s] for s in new]
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        done: list[tuple[list[str], tuple | None]] = []
+        for group, found in zip(groups, self._encode(groups)):
+            if found:
+                done.append((group, found))
+            else:
+                alone += [[s] for s in group]
+        done += zip(alone, self._encode(alone))
+        for group, found in done:
+            self.at.update(zip(group, range(len(self.at), len(self.at) + len(group))))
+        none = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+        for side in (0, 1):
+            parts = [(f or none) for _, f in done]
+            size = [np.diff(ends[side], prepend=0) for _, ends in parts]
+            size = np.concatenate([self.size[side], *size])
+            self.ids[side] = np.concatenate([self.ids[side], *[ids[side] for ids, _ in parts]])
+            self.size[side], self.start[side] = size, np.cumsum(size) - size
+        self.fits = np.concatenate([self.fits, *[np.full(len(g), f is not None) for g, f in done]])
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's ids, bounds of texts in them, and the same of B; texts that don't fit have none."""
@@ -117,25 +150,23 @@ class Pair:
             order[odd] = (~odd).sum() + np.arange(odd.sum())
             lists = pa.concat_arrays([lists.filter(pa.array(~odd)), own]).take(pa.array(order)) if lists is not None else own
         flat = lists.flatten().dictionary_encode()
-        known = self.ids(flat.dictionary.to_pylist())
-        fits = np.array([k is not None for k in known], bool)
+        segments = flat.dictionary.to_pylist()
+        self.learn(segments)
+        number = np.fromiter(map(self.at.__getitem__, segments), np.int64, len(segments))
+        fits = self.fits[number]
         codes = flat.indices.to_numpy()
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         wrong = np.r_[0, np.cumsum(~fits[codes])] if len(codes) else np.zeros(1, np.int64)
         keep = (wrong[bounds[1:]] == wrong[bounds[:-1]]) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
         per_text = np.diff(bounds)
-        used = codes[np.repeat(keep, per_text)]
+        used = number[codes[np.repeat(keep, per_text)]]
         out = []
         for side in (0, 1):
-            ids = [k[side] if k is not None else np.zeros(0, np.int32) for k in known]
-            size = np.array([len(i) for i in ids], np.int64)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            start = np.cumsum(size) - size
-            count = size[used]
+            count, start, values = self.size[side][used], self.start[side][used], self.ids[side]
             ends = np.cumsum(count)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(values[np.repeat(start[used] - (ends - count), count) + np.arange(total)])
+            out.append(values[np.repeat(start - (ends - count), count) + np.arange(total)])
             segment_ends = np.r_[0, ends]
             out.append(segment_ends[np.r_[0, np.cumsum(np.where(keep, per_text, 0))]])
         return out[0], out[1], out[2], out[3]
@@ -356,7 +387,8 @@ def alignment_digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
     path = shared_path(docs.sparkSession, "links")
-    _measure(rows, _ship(docs, a_path), _ship(docs, b_path)).write.option("compression", "zstd").parquet(path)
+    measured = _measure(rows, _ship(docs, a_path), _ship(docs, b_path))
+    measured.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     stored = docs.sparkSession.read.parquet(path)
     documents = stored.where("links IS NOT NULL").drop("pairs", "times")
     counts = pair_counts(stored.where("pairs IS NOT NULL").select("chunk", "pairs", "times"), width)
