@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from plumbline.functions.text import SEMANTIC_PATTERNS
 from plumbline.operators.derive import CHI2_TABLE
 
@@ -351,9 +353,39 @@ def _power_sums() -> str:
                 f"AS sum_x{k if k > 1 else ''}"
             )
         parts.append(f"SELECT '{column}' AS column_name, {', '.join(sums)} FROM {table}")
+    parts.append(_long_sums("price_eighth", "CAST(round(l_extendedprice * 100) AS HUGEINT) * 125", 5))
+    parts.append(_long_sums("long_key", "CAST(l_orderkey AS HUGEINT) * 1000000", 0))
     return _union(parts)
 
 
+def _long_sums(name: str, units: str, decimals: int) -> str:
+    """Sums of powers of lineitem's numbers from 0 that no HUGEINT holds, in steps of six digits.
+
+    With units = a * 10**6 + b the sum of a k-th power is that of binomials; carries go from one
+    step to the next, and the steps' digits make the text.
+    """
+    texts = []
+    for k in range(1, 5):
+        step = "0"
+        digits = ""
+        for j in range(k + 1):
+            binomial = f"sum({' * '.join([str(comb(k, j))] + ['a'] * j + ['b'] * (k - j))})"
+            step = f"({binomial} + {step} // 1000000)" if j else binomial
+            place = f"lpad(CAST({step} % 1000000 AS VARCHAR), 6, '0')" if j < k else f"CAST({step} AS VARCHAR)"
+            digits = f"{place} || {digits}" if digits else place
+        places, least = k * decimals, 2 * k
+        text = f"coalesce(nullif(ltrim({digits}, '0'), ''), '0')"
+        whole = f"left({text}, length({text}) - {places})"
+        part = f"rtrim(right({text}, {places}), '0')" if places else "''"
+        texts.append(
+            f"{whole} || '.' || rpad({part}, greatest(length({part}), {least})::INTEGER, '0') AS sum_x{k if k > 1 else ''}"
+        )
+    return (
+        f"SELECT '{name}' AS column_name, {', '.join(texts)} FROM "
+        f"(SELECT u // 1000000 AS a, u % 1000000 AS b FROM (SELECT {units} AS u FROM lineitem))"
+    )
+
+
 def _metrics() -> str:
     parts = []
     for column, expression, table in MEASURED:

@@ -1,4 +1,4 @@
-"""Shape from raw power sums in 50-digit decimals, for small tables of stored metrics."""
+"""Shape from raw power sums in decimals of enough digits, for small tables of stored metrics."""
 
 from __future__ import annotations
 
@@ -9,15 +9,15 @@ import pandas as pd
 
 from plumbline.functions.shipping import ship_by_value
 
-# Fixed value: significant digits that survive the cancellation in raw moments.
+# Fixed value: significant digits kept beyond those of the sums, to survive cancellation.
 PRECISION = 50
 
 
-def shape_of_raw(n: int, sums: Sequence[Decimal | None]) -> tuple[float | None, float | None]:
+def shape_of_raw(n: int, sums: Sequence[str | None]) -> tuple[float | None, float | None]:
     if any(s is None or pd.isna(s) for s in sums[:3]) or n < 3:
         return None, None
     with localcontext() as context:
-        context.prec = PRECISION
+        context.prec = PRECISION + max(len(str(s)) for s in sums)
         count = Decimal(int(n))
         mu, *higher = [Decimal(s) / count if not pd.isna(s) else None for s in sums]
         m2 = higher[0] - mu**2

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Columns every stored metrics table must end up with, in order.
-POWER_SUM_TYPES = {
-    "sum_x": "decimal(38,2)",
-    "sum_x2": "decimal(38,4)",
-    "sum_x3": "decimal(38,6)",
-    "sum_x4": "decimal(38,8)",
-}
+# Power sums are decimal texts, since no Spark number holds them whatever the input.
+POWER_SUM_TYPES = {"sum_x": "string", "sum_x2": "string", "sum_x3": "string", "sum_x4": "string"}
 SHIFTED_SUM_TYPES = {
     "shift_c": "double",
     "s1": "double",
@@ -23,8 +20,13 @@ DEPRECATED_TYPES = {"skewness": "double", "kurtosis": "double"}
 
 
 def evolve_metrics(metrics: DataFrame) -> DataFrame:
-    """Add any missing power-sum and deprecated column as a typed NULL; keep what is there."""
+    """Add any missing power-sum and deprecated column as a typed NULL; keep what is there.
+
+    Power sums that another writer left as numbers become texts.
+    """
     present = set(metrics.columns)
+    numbers = [n for n in POWER_SUM_TYPES if n in present and metrics.schema[n].dataType != StringType()]
+    metrics = metrics.withColumns({n: F.col(n).cast("string") for n in numbers})
     wanted = POWER_SUM_TYPES | SHIFTED_SUM_TYPES | DEPRECATED_TYPES
     return metrics.withColumns(
         {

@@ -1,3 +1,6 @@
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -29,15 +32,52 @@ def test_power_sums_are_exact(spark):
     assert row["power_sum_note"] is None
 
 
-def test_raw_sums_are_whole_or_null(spark):
+def exact_power_sums(texts):
+    """(sum of k-th powers) of decimal texts as fractions."""
+    return [sum(Fraction(t) ** k for t in texts) for k in (1, 2, 3, 4)]
+
+
+def power_sum_fractions(row):
+    return [Fraction(row[c]) for c in ("sum_x", "sum_x2", "sum_x3", "sum_x4")]
+
+
+def test_raw_sums_are_exact_whatever_the_number(spark):
     lossy = stored_metrics(numbers(spark, [0.125, 1.0]), ["x"], "r").first()
-    assert lossy["sum_x"] is None and "decimals" in lossy["power_sum_note"]
+    assert (lossy["sum_x"], lossy["sum_x4"], lossy["power_sum_note"]) == ("1.125", "1.000244140625", None)
     wide = stored_metrics(numbers(spark, [1e9, 2e9, 1.0]), ["x"], "r").first()
-    assert str(wide["sum_x2"]) == "5000000000000000001.0000"
-    assert wide["sum_x4"] is None and "38 digits" in wide["power_sum_note"]
-    assert derive_metrics(stored_metrics(numbers(spark, [1e9, 2e9, 1, 5]), ["x"], "r")).first()[
-        "kurtosis_derived"
-    ] is not None
+    assert wide["sum_x2"] == "5000000000000000001.0000"
+    assert wide["sum_x4"] == "17000000000000000000000000000000000001.00000000"
+    rng = random.Random(3)
+    odd = [rng.uniform(-1, 1) * 10 ** rng.randint(-30, 30) for _ in range(300)] + [1e300, -1e-300, 5e-324, 0.1, 1 / 3, -0.0, 2.0**53]
+    row = stored_metrics(numbers(spark, [*odd, None]), ["x"], "r").first()
+    assert power_sum_fractions(row) == exact_power_sums([repr(x) for x in odd])
+
+
+def test_raw_sums_of_long_float_and_wide_decimal_columns(spark):
+    longs = [2**63 - 1, -(2**63) + 1, 10**18, -7, 0, None, 999_999, 1_000_000]
+    texts = ["99999999999999999999999999.999999999999", "-0.000000000001", "12345678901234567890.5", None, "0", "7", "-1", "3.25"]
+    floats = [0.1, -2.5, 3e30, 1e-20, None, 16777216.0, 0.0, 1.0]
+    df = spark.createDataFrame(list(zip(longs, texts, floats)), "l long, t string, f float").selectExpr("l", "CAST(t AS DECIMAL(38,12)) AS d", "f")
+    rows = {r["column_name"]: r for r in stored_metrics(df, ["l", "d", "f"], "r").collect()}
+    written = ["0.1", "-2.5", "3e30", "1e-20", "16777216", "0", "1"]
+    assert power_sum_fractions(rows["l"]) == exact_power_sums([x for x in longs if x is not None])
+    assert power_sum_fractions(rows["d"]) == exact_power_sums([t for t in texts if t is not None])
+    assert power_sum_fractions(rows["f"]) == exact_power_sums(written)
+
+
+def test_values_that_are_not_finite_are_noted(spark):
+    row = stored_metrics(numbers(spark, [1, 2, float("nan"), float("inf"), None]), ["x"], "r").first()
+    assert (row["total_count"], row["null_count"], row["valid_count"], row["mean_val"]) == (5, 1, 2, 1.5)
+    assert row["sum_x"] is None and "not finite" in row["power_sum_note"]
+
+
+def test_moments_merge_over_scales(spark):
+    values = [1e6 + i / 8 for i in range(999)] + [3, 0.1, 1e-9]
+    df = numbers(spark, values)
+    built_in = df.agg(F.avg("x"), F.stddev_samp("x"), F.skewness("x"), F.kurtosis("x")).first()
+    row = derive_metrics(stored_metrics(df, ["x"], "r")).first()
+    found = [row[c] for c in ("mean_val", "stddev_val", "skewness_derived", "kurtosis_derived")]
+    assert found == [pytest.approx(x, rel=1e-9) for x in built_in]
 
 
 def test_integer_and_decimal_columns(spark):
