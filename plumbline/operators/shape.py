@@ -35,74 +35,73 @@ def shape_moments(
     return sample.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def _ranked(counts: DataFrame, quantiles: Sequence[float], pieces: int) -> DataFrame:
-    """(column_name, q, low, high, value_low, value_high, share): where each quantile lies.
+def _ranked(counts: DataFrame, quantiles: Sequence[float], parts: int) -> DataFrame:
+    """(i, q, low, high, value_low, value_high, share): where each quantile of column i lies.
 
-    Values are cut into ranges of about equally many distinct values, and only ranges that hold a
-    wanted rank are numbered value by value.
+    Counted values are dealt by ranges of (column, value). One total per range tells the ranks that
+    it holds, and only ranges that hold a wanted rank are numbered value by value. Both readers
+    share one shuffle: its number of ranges is given, so neither merges any.
     """
-    steps = [i / pieces for i in range(1, pieces)]
-    bounds = counts.groupBy("column_name").agg(
-        F.sum("times").alias("n"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        F.percentile_approx("value", F.array(*map(F.lit, steps)), 10 * pieces).alias("cuts"),
-    )
-    ranged = counts.join(F.broadcast(bounds), "column_name").select(
-        "column_name",
-        "value",
-        "times",
-        F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("piece"),
-    )
-    before = Window.partitionBy("column_name").orderBy("piece")
-    starts = (
-        ranged.groupBy("column_name", "piece")
-        .agg(F.sum("times").alias("size"))
-        .withColumn("start", F.sum("size").over(before) - F.col("size"))
+    ranged = counts.repartitionByRange(parts, "i", "value").withColumn("part", F.spark_partition_id())
+    column, before = Window.partitionBy("i"), Window.partitionBy("i").orderBy("part")
+    totals = (
+        ranged.groupBy("i", "part")
+        .agg(F.sum("times").alias("size"), F.min("value").alias("least"), F.max("value").alias("most"))
+        .select(
+            "i",
+            "part",
+            "size",
+            (F.sum("size").over(before) - F.col("size")).alias("start"),
+            F.sum("size").over(column).alias("n"),
+            F.min("least").over(column).alias("low"),
+            F.max("most").over(column).alias("high"),
+        )
     )
     position = (F.col("n") - 1) * F.col("q")
-    wanted = (
-        bounds.select("column_name", "n", "low", "high", F.explode(F.array(*map(F.lit, quantiles))).alias("q"))
+    due = (
+        totals.withColumn("q", F.explode(F.array(*map(F.lit, quantiles))))
         .withColumn("share", position - F.floor(position))
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
-    )
-    due = wanted.join(starts, "column_name").where("start <= rank AND rank < start + size")
-    inside = ranged.join(
-        F.broadcast(due.select("column_name", "piece", "start").distinct()), ["column_name", "piece"]
-    )
-    upto = Window.partitionBy("column_name", "piece").orderBy("value")
-    numbered = inside.withColumn("end", F.col("start") + F.sum("times").over(upto))
+        .where("start <= rank AND rank < start + size")
+        .select("i", "part", "start", "low", "high", "q", "share", "rank")
+    )  # at most two rows for each quantile of a column
+    places = due.groupBy("i", "part").agg(F.first("start").alias("start"))
+    upto = Window.partitionBy("i", "part").orderBy("value")
+    numbered = ranged.join(F.broadcast(places), ["i", "part"]).withColumn("end", F.col("start") + F.sum("times").over(upto))
     return (
-        numbered.select("column_name", "value", (F.col("end") - F.col("times")).alias("first"), "end")
-        .join(F.broadcast(wanted), "column_name")
+        numbered.select("i", "part", "value", (F.col("end") - F.col("times")).alias("first"), "end")
+        .join(F.broadcast(due.drop("start")), ["i", "part"])
         .where("first <= rank AND rank < end")
-        .groupBy("column_name", "low", "high", "q", "share")
+        .groupBy("i", "low", "high", "q", "share")
         .agg(F.min("value").alias("value_low"), F.max("value").alias("value_high"))
     )
 
 
-def box_plots(df: DataFrame, columns: Sequence[str], pieces: int = 256) -> DataFrame:
+def box_plots(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
     """(column_name, box_plot) with [min, q1, median, q3, max] by exact, interpolated quantiles.
 
     Columns are stacked and equal values counted before their shuffle. No task holds all values of
-    a column: see `_ranked`. What is broadcast has a row for each column, quantile or piece.
+    a column: see `_ranked`; parts, by default the session's shuffle partitions, is the number of
+    ranges. What is broadcast has two rows for each quantile of a column. Quantiles are of finite
+    values; a column without any has no row.
     """
-    stacked = df.select(
-        *[F.col(quoted(c)).cast("double").alias(c) for c in columns]
-    ).unpivot([], [F.col(quoted(c)) for c in columns], "column_name", "value")
+    parts = parts or max(2 * len(columns), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbers = [F.col(quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("value")) for i in range(len(columns))]
+    stacked = df.select(*numbers).select(F.inline(F.array(*entries)))
     counts = (
-        stacked.where("value IS NOT NULL")
-        .groupBy("column_name", "value")
+        stacked.where("value IS NOT NULL AND abs(value) < double('Infinity')")  # also drops NaN
+        .groupBy("i", "value")
         .agg(F.count(F.lit(1)).alias("times"))
     )
     between = F.col("value_low") * (1 - F.col("share")) + F.col("value_high") * F.col("share")
     points = F.array_sort(F.collect_list(F.struct("q", between.alias("v"))))
     return (
-        _ranked(counts, QUARTILES, pieces)
-        .groupBy("column_name", "low", "high")
+        _ranked(counts, QUARTILES, parts)
+        .groupBy("i", "low", "high")
         .agg(F.transform(points, lambda p: p["v"]).alias("quartiles"))
         .select(
-            "column_name",
+            F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("column_name"),
             F.concat(F.array("low"), F.col("quartiles"), F.array("high")).alias("box_plot"),
         )
     )
