@@ -14,14 +14,18 @@ from plumbline.functions.hashing import bounded_key
 from plumbline.functions.text import char_pattern, char_pattern_sql, is_id_literal
 from plumbline.sources.templates import (
     DEFAULT_TEMPLATES,
+    NOT_FINITE_TEMPLATE,
     NULL_COUNT_TEMPLATE,
     expand_sql,
+    finite_template,
+    is_floating,
     quoted,
     sql_text,
 )
 
 TOTAL = "total_count"
 PATTERN_STAT = "Pattern_Distinct_Count"
+NOT_FINITE_STAT = "Not_Finite_Count"
 
 
 def alias_of(column: str, stat: str) -> str:
@@ -51,10 +55,12 @@ def base_scan(
     specs: Sequence[ColumnSpec],
     templates: Mapping[str, str] = DEFAULT_TEMPLATES,
     tier: str = "BASIC",
+    count_not_finite: bool = False,
 ) -> DataFrame:
     """One wide row: total_count and `{column}__{statistic}` for each requested base statistic.
 
-    Unknown statistics are skipped. Columns forced to exact distinct counts are left to
+    Unknown statistics are skipped. The built-in bounds and mean of floating columns leave out NaN and
+    infinite values; `count_not_finite` adds their number. Columns forced to exact distinct counts are left to
     `exact_distinct_counts`, which keeps this scan a plain partial aggregate.
     """
     aggregates = [f"count(1) AS {TOTAL}"]
@@ -62,11 +68,13 @@ def base_scan(
         name = spec.column_name
         exact = wants_exact(spec, tier)
         for stat in spec.stats:
-            template = _template_for(stat, spec, templates)
+            template = finite_template(stat, _template_for(stat, spec, templates), df.schema[name].dataType)
             if stat not in BASE_STATS or not template or (stat == "Distinct Count" and exact):
                 continue
             alias = quoted(alias_of(name, stat))
             aggregates.append(f"{expand_sql(template, name)} AS {alias}")
+        if count_not_finite and is_floating(df.schema[name].dataType):
+            aggregates.append(f"{expand_sql(NOT_FINITE_TEMPLATE, name)} AS {quoted(alias_of(name, NOT_FINITE_STAT))}")
         if wants_pattern_count(spec) and not exact:
             alias = quoted(alias_of(name, PATTERN_STAT))
             aggregates.append(
@@ -165,7 +173,7 @@ def _long_rows(
     Their bounds force a slower aggregate, which would otherwise take in all columns. The two
     scans read disjoint columns, so a columnar source delivers each column once.
     """
-    wide = base_scan(df, [s for _, s in placed], templates, tier)
+    wide = base_scan(df, [s for _, s in placed], templates, tier, count_not_finite=True)
     present = set(wide.columns)
 
     def stat(spec: ColumnSpec, name: str, sql_type: str) -> str:
@@ -194,6 +202,7 @@ def _long_rows(
             "mean_val": stat(spec, "Mean", "DOUBLE"),
             "distinct_count": stat(spec, "Distinct Count", "BIGINT"),
             "pattern_distinct_count": stat(spec, PATTERN_STAT, "BIGINT"),
+            "not_finite_count": stat(spec, NOT_FINITE_STAT, "BIGINT"),
         }
         return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 

@@ -29,10 +29,10 @@ class Bins:
 
 
 def bucket_of(column: Column, bins: Bins) -> Column:
-    """Bucket 1..n for values in [low, high), n + 1 for the highest value itself."""
-    return F.width_bucket(
-        column.cast("double"), F.lit(bins.low), F.lit(bins.high), F.lit(bins.count)
-    )
+    """Bucket 1..n for values in [low, high), n + 1 for the highest value itself; none if not finite."""
+    value = column.cast("double")
+    bucket = F.width_bucket(value, F.lit(bins.low), F.lit(bins.high), F.lit(bins.count))
+    return F.when(F.abs(value) < F.lit(float("inf")), bucket)
 
 
 def extrapolation_factor(total_rows: int, cap: int) -> float:

@@ -18,7 +18,8 @@ def with_gates(base: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add the gate verdicts to pass-1 rows.
 
     `shape_ok`, `topk_ok`, `pattern_ok` and `hist_ok` say what may run. A missing distinct count
-    counts as zero and so passes.
+    counts as zero and so passes. A number without a number of bins gets the default one; zero asks
+    for no histogram.
     """
     distinct = F.coalesce(F.col("distinct_count"), F.lit(0))
     patterns = F.coalesce(F.col("pattern_distinct_count"), F.lit(0))
@@ -43,7 +44,7 @@ def with_gates(base: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 & ~F.col("is_id")
                 & (patterns <= limits.pattern_max_distinct),
                 "hist_ok": is_number
-                & F.col("histogram_bins").isNotNull()
+                & (F.coalesce("histogram_bins", F.lit(limits.default_bins)) > 0)
                 & ~(F.col("is_id") & F.col("is_high_cardinality"))
                 & F.coalesce(F.col("min_number") != F.col("max_number"), F.lit(False)),
             }
@@ -104,7 +105,7 @@ def with_ledger(gated: DataFrame, limits: Limits = Limits()) -> DataFrame:
             "Histograms",
             F.when(
                 is_number
-                & F.col("histogram_bins").isNotNull()
+                & (F.coalesce("histogram_bins", F.lit(limits.default_bins)) > 0)
                 & is_id
                 & F.col("is_high_cardinality"),
                 F.lit("Skipped: ID Columns do not require histograms."),
@@ -120,6 +121,9 @@ def with_ledger(gated: DataFrame, limits: Limits = Limits()) -> DataFrame:
             ),
         )
     )
+    if "not_finite_count" in gated.columns:
+        left_out = F.concat(F.lit("Left out: "), F.col("not_finite_count").cast("string"), F.lit(" values are not finite."))
+        reasons.append(("Bounds, Moments and Histograms", F.when(F.col("not_finite_count") > 0, left_out)))
     entries = [
         F.when(reason.isNotNull(), F.struct(F.lit(name).alias("k"), reason.alias("v")))
         for name, reason in reasons

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.hashing import bounded_key, trailing_zero_bits
-from plumbline.functions.text import name_similarity
 from plumbline.operators.name_match import PAIR_KEY, match_group
 from plumbline.sources.templates import quoted
 
@@ -218,7 +217,6 @@ def shared_value_pairs(
             F.col("distinct").alias(f"{s}_distinct"),
         )
 
-    names = (F.lower("left_column"), F.lower("right_column"))
     return (
         shared.join(side("left"), ["group_no", "left_bit"])
         .join(side("right"), ["group_no", "right_bit"])
@@ -229,7 +227,7 @@ def shared_value_pairs(
             {
                 "left_shared": F.col("shared"),
                 "right_shared": F.col("shared"),
-                "name_similarity": name_similarity(*names),
+                "name_similarity": F.lit(None).cast("double"),  # names play no part
             }
         )
         .drop("shared", "group_no", "left_bit", "right_bit")

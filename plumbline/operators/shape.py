@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.sources.templates import DEFAULT_TEMPLATES, expand, quoted
+from plumbline.sources.templates import DEFAULT_TEMPLATES, expand, finite_template, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -21,7 +21,7 @@ def shape_moments(
     aggregates: list[Column] = []
     for i, (name, stats) in enumerate(wanted.items()):
         for stat in ("Skewness", "Kurtosis"):
-            template = templates.get(stat)
+            template = finite_template(stat, templates.get(stat), sample.schema[name].dataType)
             value = expand(template, name) if template and stat in stats else F.lit(None)
             aggregates.append(value.cast("double").alias(f"{stat}{i}"))
     entries = [

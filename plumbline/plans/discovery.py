@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Limits
@@ -78,9 +78,10 @@ def discover(
 ) -> DiscoveryResult:
     """Catalog, candidate pairs, overlap of those that pass the name cascade, and edges."""
     tables = _tables_to_scan(tables, schema_name, options.utility_globs, scope)
-    if not tables:
-        raise ValueError("no table is in scope")
-    catalog = column_catalog(tables, schema_name, measure=True)
+    in_scope = bool(tables)
+    if not in_scope:  # no node and no pair, but declared keys are edges all the same
+        tables = {"nothing": SparkSession.active().range(0)}
+    catalog = column_catalog(tables, schema_name, measure=True).where(F.lit(in_scope))
     # Both hold metadata only, one row per column or pair, and are kept so that later steps do
     # not measure the tables again.
     catalog = catalog.persist()

@@ -108,7 +108,7 @@ def distribution_request(
         "patterns": [r["column_name"] for r in judged if r["pattern_ok"]],
         "histograms": {
             r["column_name"]: Bins(
-                r["min_number"], r["max_number"], r["histogram_bins"] or default_bins
+                r["min_number"], r["max_number"], default_bins if r["histogram_bins"] is None else r["histogram_bins"]
             )
             for r in judged
             if r["hist_ok"]

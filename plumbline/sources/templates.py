@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PLACEHOLDER = "<<col>>"
 
@@ -19,10 +20,28 @@ DEFAULT_TEMPLATES = {
     "Skewness": "SKEWNESS(<<col>>)",
     "Kurtosis": "KURTOSIS(<<col>>)",
 }
+# Floating columns: NaN and infinite values are left out, or one of them would be the result.
+_FINITE = "CASE WHEN abs(<<col>>) < double('Infinity') THEN <<col>> END"
+FINITE_TEMPLATES = {
+    stat: DEFAULT_TEMPLATES[stat].replace(PLACEHOLDER, _FINITE)
+    for stat in ("Min", "Max", "Mean", "Skewness", "Kurtosis")
+}
+NOT_FINITE_TEMPLATE = "COUNT_IF(NOT abs(<<col>>) < double('Infinity'))"
 # Only text can be blank; other types skip the trim.
 NULL_COUNT_TEMPLATE = "COUNT_IF(<<col>> IS NULL)"
 
 
+def is_floating(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.FloatType, T.DoubleType))
+
+
+def finite_template(stat: str, template: str | None, data_type: T.DataType) -> str | None:
+    """The built-in template's finite form for a floating column; any other as it is."""
+    if is_floating(data_type) and template == DEFAULT_TEMPLATES.get(stat):
+        return FINITE_TEMPLATES.get(stat, template)
+    return template
+
+
 def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 

@@ -292,3 +292,17 @@ def test_declared_key_replaces_findings_either_way(spark):
     merged = {r["id"]: r["heuristic"] for r in merge_edges(graph(spark), declared).collect()}
     assert "e1" not in merged and merged["n1.ID->n3.ORDER_ID"] == "System Foreign Key"
     assert len(merged) == 3
+
+
+def test_edges_found_by_values_are_labelled_so_and_an_empty_scope_finds_nothing(spark):
+    first = spark.range(1000).selectExpr("id AS alpha")
+    second = spark.range(1000).selectExpr("id + 970 AS zzqk")
+    found = discover({"one": first, "two": second}, options=DiscoveryOptions(cascade=False))
+    edges = [(r["heuristic"], r["score"]) for r in found.edges.collect()]
+    found.release()
+    assert edges == [("Data Domain Overlap", 3)]
+    scope = spark.createDataFrame([("main", "elsewhere")], "schema_name string, table_name string")
+    declared = spark.createDataFrame([("main.a", "x", "main.b", "y")], "source_node string, source_col string, target_node string, target_col string")
+    nothing = discover({"one": first}, scope=scope, declared=declared)
+    assert nothing.nodes.count() == nothing.pairs.count() == nothing.overlaps.count() == 0
+    assert [r["heuristic"] for r in nothing.edges.collect()] == ["System Foreign Key"]

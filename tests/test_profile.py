@@ -289,3 +289,23 @@ def test_inbox_is_partitioned_and_rerun_replaces_its_batch(spark, tmp_path, peop
     )
     assert metrics.count() == 8
     assert {r[0] for r in metrics.select("run_id").distinct().collect()} == {"r1", "r2"}
+
+
+def test_values_that_are_not_finite_are_left_out_and_noted(spark):
+    values = [float("nan"), float("inf"), float("-inf"), None, *[float(i % 50) for i in range(200)]]
+    df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "x double, y int")
+    result = profile(df, specs_from_schema(df, histogram_bins=5), "r")
+    row = {r["column_name"]: r for r in result.metrics.collect()}["x"]
+    assert (row["min"], row["max"], row["mean_val"]) == ("0.0", "49.0", 24.5)
+    assert row["box_plot"][0] == 0.0 and row["box_plot"][-1] == 49.0
+    ledger = json.loads(row["skipped_operations"])
+    assert ledger == {"Bounds, Moments and Histograms": "Left out: 3 values are not finite."}
+    histogram = [r["count"] for r in result.histograms.where("column_name = 'x'").collect()]
+    assert sum(histogram) == 200
+
+
+def test_no_number_of_bins_means_the_default_and_zero_means_no_histogram(spark):
+    df = spark.range(1000).selectExpr("CAST(id % 100 AS DOUBLE) AS a", "CAST(id % 100 AS DOUBLE) AS b")
+    specs = [ColumnSpec("a", "NUMERIC"), ColumnSpec("b", "NUMERIC", histogram_bins=0)]
+    found = profile(df, specs, "r").histograms.groupBy("column_name").agg(F.max("bucket").alias("top")).collect()
+    assert [(r["column_name"], int(r["top"])) for r in found] == [("a", 21)]
