@@ -103,17 +103,24 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the document with the smallest id, once.
+    """The rows of docs that stay: of each component the row with the smallest id, once.
 
-    Rows with a null id can't be named, so they stay. Columns and their order are kept.
+    Rows are told apart by id and text, so an id with several texts may stay with one and go with
+    another; among equal ids of a component the smaller hash of the text stays. Rows that agree in
+    both stay once. Rows with a null id can't be named, so they stay. Columns and their order are kept.
     """
-    classes = simhash_classes(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    named = docs.where(F.col(id_col).isNotNull())
+    classes = simhash_classes(named.select(key.alias("key"), text.alias("text")), "key", "text", SHINGLE_WORDS)
     kept = cut(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
-    once = kept.where("times = 1").select(F.col("doc_id").alias(id_col))
-    often = kept.where("times > 1").select(F.col("doc_id").alias(id_col))
+    columns = [F.col("doc_id.id").alias("_kept_id"), F.col("doc_id.hash").alias("_kept_hash")]
+    once, often = kept.where("times = 1").select(*columns), kept.where("times > 1").select(*columns)
+    own = (F.col(id_col) == F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_hash"))
+    copies = named.join(often, own, "left_semi").withColumn("_hash", F.xxhash64(text)).dropDuplicates([id_col, "_hash"])
     return (
-        docs.join(once, id_col, "left_semi")
-        .unionByName(docs.join(often, id_col, "left_semi").dropDuplicates([id_col]))
+        named.join(once, own, "left_semi")
+        .unionByName(copies.drop("_hash"))
         .unionByName(docs.where(F.col(id_col).isNull()))
         .select(*docs.columns)
     )

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import align, queries, toxicity, trie
+from plumbline.llm import align, queries, simhash, toxicity, trie
 from plumbline.llm.oracles import ORACLES
 from plumbline.llm.shared import running_totals
 
@@ -330,3 +330,20 @@ def test_aligned_documents_give_links_and_cuts(spark):
         s = a_ends[i] - pair.a_length[r.a_ids[i]]
         assert first == np.searchsorted(b_ends, s, "right") and last == np.searchsorted(b_ends, a_ends[i], "left")
     assert rows[2].a_ids == [] and rows[2].cuts == []
+
+
+# keeping one of each group of near copies
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue white black"
+
+    def kept(rows):
+        frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, hash int")
+        return sorted(((r.doc_id, r.text) for r in simhash.keep_one_of_each(frame).collect()), key=str)
+
+    assert kept([(5, a), (5, c)]) == [(5, a), (5, c)]
+    assert kept([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert kept([(1, a), (1, a), (2, a), (4, c)]) == [(1, a), (4, c)]
+    assert kept([(None, a), (None, a), (2, a), (7, None), (8, "")]) == [(2, a), (7, None), (None, a), (None, a)]
+    assert kept([]) == []
