@@ -694,6 +694,9 @@ ORACLES: dict[str, str] = {
     "name_similarity": _pair_ctes(SYNONYM_NAME, strict=False) + " " + PAIR_REPORT.format(60),
     "candidate_pairs": _pair_ctes() + " " + PAIR_REPORT.format(50),
     "cascade_pairs": _pair_ctes() + " " + PAIR_REPORT.format(85),
+    "incremental_versions": (
+        _pair_ctes() + " " + PAIR_REPORT.format(85) + " AND (left_table = 'customer' OR right_table = 'customer')"
+    ),
     "incremental_pairs": (
         _pair_ctes()
         + " "

@@ -50,6 +50,7 @@ from plumbline.operators.kv import (
     value_index,
 )
 from plumbline.operators.name_match import (
+    PAIR_KEY,
     candidate_pairs,
     not_yet_evaluated,
     passing_cascade,
@@ -621,6 +622,17 @@ def incremental_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_report(not_yet_evaluated(pairs, evaluated))
 
 
+def incremental_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """What a second scan has to compare after one balance of customer changed, its length did not."""
+    options = DiscoveryOptions(content_versions=True)
+    before = _tables(spark, folder)
+    first = discover(before, options=options)
+    judged = first.pairs.select(*PAIR_KEY, "left_version", "right_version")
+    changed = F.when(F.col("c_custkey") == 1, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    after = before | {"customer": before["customer"].withColumn("c_acctbal", changed)}
+    return _pair_report(discover(after, options=options, evaluated=judged, known=first.catalog).pairs)
+
+
 def _directed(spark: SparkSession, folder: str, cap: int | None = None) -> DataFrame:
     options = DiscoveryOptions(sample_cap=cap)
     return discover(_tables(spark, folder), options=options).overlaps
@@ -808,6 +820,7 @@ QUERIES: dict[str, Query] = {
     "candidate_pairs": candidates,
     "cascade_pairs": cascade_pairs,
     "incremental_pairs": incremental_pairs,
+    "incremental_versions": incremental_versions,
     "fk_overlap": fk_overlap,
     "overlap_any_name": overlap_any_name,
     "fk_overlap_sampled": fk_overlap_sampled,

@@ -142,10 +142,13 @@ def candidate_pairs(
     )
     oriented = matches.select("grp", "similarity", F.inline(both_ways))
 
+    versioned = "version" in catalog.columns
+
     def side(prefix: str, name: str) -> DataFrame:
         return named.select(
             "grp",
             F.col("name").alias(name),
+            *([F.col("version").alias(f"{prefix}_version")] if versioned else []),
             F.col("schema_name").alias(f"{prefix}_schema"),
             F.col("table_name").alias(f"{prefix}_table"),
             F.col("column_name").alias(f"{prefix}_column"),
@@ -166,6 +169,7 @@ def candidate_pairs(
                 F.max(c).alias(c)
                 for c in ("left_rows", "right_rows", "left_estimate", "right_estimate")
             ],
+            *[F.max(c).alias(c) for c in ("left_version", "right_version") if versioned],
         )
     )
 
@@ -179,7 +183,8 @@ def not_yet_evaluated(pairs: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Pairs without a finding for the current versions of both tables.
 
     `evaluated` holds PAIR_KEY and the `left_version`, `right_version` it was computed on; the
-    row count serves as version where `pairs` carries none.
+    row count serves as version where `pairs` carries none, as pairs of a catalog with content
+    versions do.
     """
     if "left_version" not in pairs.columns:
         pairs = pairs.withColumns(
