@@ -713,6 +713,19 @@ ORACLES: dict[str, str] = {
         "parent_column, child_distinct, parent_distinct, shared_distinct, "
         "round(overlap_pct, 4) AS overlap_pct FROM directed WHERE shared_distinct > 0"
     ),
+    "overlap_classes": (
+        f"{_overlap_ctes()}, grouped AS (SELECT t, c, v, type_family || '/' || semantic_tag AS grp FROM vals "
+        "JOIN named ON table_name = t AND column_name = c), "
+        "signs AS (SELECT t, c, any_value(grp) AS grp, count(*) AS d, md5(string_agg(v, chr(1) ORDER BY v)) AS sign "
+        "FROM grouped GROUP BY t, c), "
+        "classes AS (SELECT *, min('main.' || t || '.' || c) OVER (PARTITION BY grp, sign) AS class_id FROM signs), "
+        "links AS (SELECT l.t, l.c, count(DISTINCT r.t || '.' || r.c) AS n FROM grouped l JOIN grouped r "
+        "ON l.grp = r.grp AND l.v = r.v AND l.t <> r.t GROUP BY l.t, l.c) "
+        "SELECT table_name, column_name, coalesce(class_id, 'main.' || table_name || '.' || column_name) AS class_id, "
+        "coalesce(d, 0) AS distinct_count, coalesce(links.n, 0) AS n_links FROM named "
+        "LEFT JOIN classes ON classes.t = table_name AND classes.c = column_name "
+        "LEFT JOIN links ON links.t = table_name AND links.c = column_name"
+    ),
     "venn_report": (
         f"{_edge_ctes()} SELECT source_node || '.' || source_col || '->' || target_node || '.' "
         "|| target_col AS id, score, child_distinct, parent_distinct, shared_distinct FROM found "

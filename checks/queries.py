@@ -56,6 +56,7 @@ from plumbline.operators.name_match import (
     passing_cascade,
 )
 from plumbline.operators.normality import normality
+from plumbline.operators.overlap import class_link_counts, column_classes
 from plumbline.operators.sampling import draw_sample, micro_sample, sample_fraction
 from plumbline.operators.shape import box_plots, shape_moments
 from plumbline.operators.stored_metrics import merge_runs, stored_metrics
@@ -660,6 +661,15 @@ def overlap_any_name(spark: SparkSession, folder: str) -> DataFrame:
     return _overlap_report(discover(_tables(spark, folder), options=options).overlaps)
 
 
+def overlap_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column with the class of those that hold the same values and its number of links."""
+    tables = _tables(spark, folder)
+    measured = column_catalog(tables, measure=True).persist()
+    found = column_classes(tables, measured)
+    counted = class_link_counts(found.classes, found.links)
+    return counted.select("table_name", "column_name", "class_id", F.col("distinct").alias("distinct_count"), "n_links")
+
+
 def fk_overlap_sampled(spark: SparkSession, folder: str) -> DataFrame:
     return _overlap_report(_directed(spark, folder, 1000))
 
@@ -823,6 +833,7 @@ QUERIES: dict[str, Query] = {
     "incremental_versions": incremental_versions,
     "fk_overlap": fk_overlap,
     "overlap_any_name": overlap_any_name,
+    "overlap_classes": overlap_classes,
     "fk_overlap_sampled": fk_overlap_sampled,
     "venn_report": venn,
     "declared_fk_edges": declared_fk_edges,

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +99,124 @@ def _numbered(members: Sequence[Row]) -> list[dict]:
     return numbered
 
 
+def value_index(tables: Mapping[str, DataFrame], members: Sequence[dict]) -> DataFrame:
+    """(group_no, bits, n_values): how many values occur in exactly the columns `bits`, ascending.
+
+    An inverted index from value to the numbers of its columns, for any number of columns: a value
+    is a narrow row with one number, equal rows are dropped on the map side, hot values included,
+    and lists are as long as the columns that share a value, not as the columns there are.
+    """
+    parts = []
+    for table in dict.fromkeys(m["table_name"] for m in members):
+        df = tables[table]
+        by_type: dict[T.DataType, list[Column]] = {}
+        for m in members:
+            if m["table_name"] == table:
+                entry = F.struct(F.lit(m["group_no"]).alias("group_no"), F.lit(m["bit"]).alias("bit"), F.col(quoted(m["column_name"])).alias("raw"))
+                by_type.setdefault(df.schema[m["column_name"]].dataType, []).append(entry)
+        for data_type, entries in by_type.items():  # stacked first, so that one expression serves all columns
+            rows = df.select(F.inline(F.array(*entries))).where("raw IS NOT NULL")
+            parts.append(rows.select("group_no", "bit", canonical_value(F.col("raw"), data_type).alias("value")))
+    once = reduce(DataFrame.unionByName, parts).groupBy("group_no", "value", "bit").agg(F.lit(1).alias("one"))
+    lists = once.groupBy("group_no", "value").agg(F.sort_array(F.collect_list("bit")).alias("bits"))
+    return lists.groupBy("group_no", "bits").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+@dataclass(frozen=True)
+class ColumnClasses:
+    """Lazy results of `column_classes`; `release` drops the cached index."""
+
+    classes: DataFrame
+    links: DataFrame
+    index: DataFrame
+
+    def release(self) -> None:
+        self.index.unpersist()
+
+
+def column_classes(
+    tables: Mapping[str, DataFrame],
+    catalog: DataFrame,
+    strict_types: bool = True,
+    domain_clustering: bool = True,
+) -> ColumnClasses:
+    """Classes of columns that hold the same values, and the links between classes.
+
+    Classes: schema_name, table_name, column_name, class_id, distinct; class_id is the smallest name
+    (schema.table.column) in the class. A column without values is a class of its own. Links:
+    left_class, right_class, shared, left_distinct, right_distinct, each pair of classes that share
+    a value once. Columns count as equal if they stand in the same lists of the
+    index, compared by two 64-bit sums of the lists' hashes. Pairs are only formed between classes:
+    a thousand copies of a key column are one row here.
+    """
+    spark = catalog.sparkSession
+    grouped = catalog.withColumn("grp", match_group(strict_types, domain_clustering))
+    rows = (
+        grouped.select("grp", "schema_name", "table_name", "column_name")
+        .withColumns({"level": F.lit(0), "floor": F.lit(0)})
+        .orderBy("grp", "schema_name", "table_name", "column_name")
+        .collect()  # one row per catalog column
+    )
+    members = _numbered(rows)
+    lists = value_index(tables, members).persist()  # one row for each set of columns that share values
+    numbers = spark.createDataFrame(members, _NUMBERS_SCHEMA).withColumn("name", F.concat_ws(".", "schema_name", "table_name", "column_name"))
+    sums = [F.sum(F.xxhash64(F.lit(salt), "bits").cast("decimal(20,0)")).alias(f"sum{salt}") for salt in (1, 2)]
+    signs = lists.select("group_no", "bits", "n_values", F.explode("bits").alias("bit")).groupBy("group_no", "bit").agg(*sums, F.sum("n_values").alias("distinct"))
+    signed = numbers.join(signs, ["group_no", "bit"], "left")
+    same = Window.partitionBy("group_no", "sum1", "sum2", "distinct")
+    empty = F.col("distinct").isNull()
+    classes = signed.select(
+        "group_no",
+        "bit",
+        "schema_name",
+        "table_name",
+        "column_name",
+        F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        F.when(empty, F.col("name")).otherwise(F.min("name").over(same)).alias("class_id"),
+        (~empty & (F.col("bit") == F.min("bit").over(same))).alias("leads"),
+    )
+    led = classes.where("leads")  # one column of each class, which stands for it in the lists
+    leaders = led.groupBy("group_no").agg(F.collect_set("bit").alias("leaders"))  # at most the catalog's columns
+    some = lists.join(F.broadcast(leaders), "group_no").select("group_no", F.array_intersect("bits", "leaders").alias("bits"), "n_values")
+    shared = (
+        some.withColumn("left_bit", F.explode("bits"))
+        .withColumn("right_bit", F.explode(F.filter("bits", lambda b: b > F.col("left_bit"))))
+        .groupBy("group_no", "left_bit", "right_bit")
+        .agg(F.sum("n_values").alias("shared"))
+    )
+
+    def side(s: str) -> DataFrame:
+        return led.select("group_no", F.col("bit").alias(f"{s}_bit"), F.col("class_id").alias(f"{s}_class"), F.col("distinct").alias(f"{s}_distinct"))
+
+    links = shared.join(side("left"), ["group_no", "left_bit"]).join(side("right"), ["group_no", "right_bit"])
+    return ColumnClasses(
+        classes.select("schema_name", "table_name", "column_name", "class_id", "distinct"),
+        links.select("left_class", "right_class", "shared", "left_distinct", "right_distinct"),
+        lists,
+    )
+
+
+def class_link_counts(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with n_links: the columns of other tables that share a value with each column.
+
+    Columns are counted class by class and table by table, never listed in pairs.
+    """
+    per_table = classes.groupBy("class_id", "schema_name", "table_name").agg(F.count(F.lit(1)).alias("columns"))
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    itself = classes.where("distinct > 0").select(F.col("class_id").alias("own"), F.col("class_id").alias("other")).distinct()
+    one_way = links.select(F.col("left_class").alias("own"), F.col("right_class").alias("other"))
+    met = itself.unionByName(one_way).unionByName(one_way.select(F.col("other").alias("own"), F.col("own").alias("other")))
+    reach = met.join(sizes.withColumnRenamed("class_id", "other"), "other").groupBy("own").agg(F.sum("size").alias("reached"))
+    near = (
+        met.join(per_table.withColumnRenamed("class_id", "other"), "other")
+        .groupBy(F.col("own").alias("class_id"), "schema_name", "table_name")
+        .agg(F.sum("columns").alias("at_home"))
+    )
+    counted = classes.join(reach.withColumnRenamed("own", "class_id"), "class_id", "left").join(near, ["class_id", "schema_name", "table_name"], "left")
+    n_links = F.coalesce(F.col("reached") - F.col("at_home"), F.lit(0))
+    return counted.select(*classes.columns, n_links.alias("n_links"))
+
+
 def column_sets(
     tables: Mapping[str, DataFrame], members: Sequence[dict], sampled: bool
 ) -> DataFrame:

@@ -20,6 +20,7 @@ from plumbline.operators.name_match import (
     similar_names,
 )
 from plumbline.operators.overlap import canonical_value, value_overlap, with_direction
+from plumbline.operators.overlap import class_link_counts, column_classes
 from plumbline.plans.discovery import DiscoveryOptions, _tables_to_scan, discover
 from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
 
@@ -306,3 +307,41 @@ def test_edges_found_by_values_are_labelled_so_and_an_empty_scope_finds_nothing(
     nothing = discover({"one": first}, scope=scope, declared=declared)
     assert nothing.nodes.count() == nothing.pairs.count() == nothing.overlaps.count() == 0
     assert [r["heuristic"] for r in nothing.edges.collect()] == ["System Foreign Key"]
+
+
+def test_columns_with_equal_values_are_one_class(spark):
+    left = spark.range(60).selectExpr("id AS a", "id % 60 AS b", "id + 50 AS c", "CAST(NULL AS BIGINT) AS d", "CAST(id AS STRING) AS e")
+    right = spark.range(60).selectExpr("CAST(id AS DOUBLE) AS a", "id + 1000 AS z", "CAST(id + 100 AS DECIMAL(9,2)) AS y")
+    catalog = column_catalog({"left": left, "right": right}, measure=True).persist()
+    result = column_classes({"left": left, "right": right}, catalog)
+    classes, links = result.classes, result.links
+    found = {f"{r['table_name']}.{r['column_name']}": (r["class_id"], r["distinct"], r["n_links"]) for r in class_link_counts(classes, links).collect()}
+    assert found == {
+        "left.a": ("main.left.a", 60, 1),
+        "left.b": ("main.left.a", 60, 1),
+        "left.c": ("main.left.c", 60, 2),
+        "left.d": ("main.left.d", 0, 0),
+        "left.e": ("main.left.e", 60, 0),
+        "right.a": ("main.left.a", 60, 3),
+        "right.z": ("main.right.z", 60, 0),
+        "right.y": ("main.right.y", 60, 1),
+    }
+    pairs = {frozenset((r["left_class"], r["right_class"])): r["shared"] for r in links.collect()}
+    assert pairs == {frozenset(("main.left.a", "main.left.c")): 10, frozenset(("main.left.c", "main.right.y")): 10}
+    catalog.unpersist()
+    result.release()
+
+
+def test_many_copies_of_a_key_are_one_class_without_pairs(spark):
+    def wide(n, start=0):
+        return spark.range(30).select(*[(F.col("id") + start).alias(f"k{i}") for i in range(n)])
+
+    tables = {"one": wide(100), "two": wide(100), "three": wide(1, 20)}
+    rows = [("main", t, c, "NUMERIC", "NONE") for t, df in tables.items() for c in df.columns]
+    catalog = spark.createDataFrame(rows, "schema_name string, table_name string, column_name string, type_family string, semantic_tag string")
+    result = column_classes(tables, catalog)
+    classes, links = result.classes, result.links
+    assert [tuple(r) for r in links.select("left_class", "right_class", "shared").collect()] == [("main.one.k0", "main.three.k0", 10)]
+    counts = {(r["class_id"], r["table_name"], r["n_links"]): r["count"] for r in class_link_counts(classes, links).groupBy("class_id", "table_name", "n_links").count().collect()}
+    assert counts == {("main.one.k0", "one", 101): 100, ("main.one.k0", "two", 101): 100, ("main.three.k0", "three", 200): 1}
+    result.release()
