@@ -1,7 +1,4 @@
 """All registered queries of this subpackage and the SQL they are compared with."""
 
-import corpus_pipeline
-from plumbline.llm import queries
 from plumbline.llm.oracles import ORACLES as ORACLES
-
-QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+from plumbline.llm.queries import QUERIES as QUERIES
