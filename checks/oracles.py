@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from math import comb
 
-from plumbline.functions.text import SEMANTIC_PATTERNS
-from plumbline.operators.derive import CHI2_TABLE
+# Fixed values, written out apart from the code they are compared with: tests of semantic tags, and
+# lower and upper critical values of chi-squared at 0.05 for 1 to 30 degrees of freedom.
+SEMANTIC_PATTERNS = (
+    ('UUID', '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$'),
+    ('EMAIL', '^[^@ ]+@[^@ ]+[.][^@ ]+$'),
+    ('URL', '^https?://'),
+    ('DATE', '^[0-9]{4}-[0-9]{2}-[0-9]{2}'),
+    ('JSON', '(?s)^[{].*[}]\\s*$'),
+)
+CHI2_TABLE = (
+    (0.00098207, 5.02388619), (0.05063562, 7.37775891), (0.21579528, 9.3484036), (0.48441856, 11.14328678), (0.83121161, 12.83250199),
+    (1.23734425, 14.44937534), (1.68986918, 16.01276427), (2.17973075, 17.53454614), (2.7003895, 19.0227678), (3.24697278, 20.48317735),
+    (3.81574825, 21.92004926), (4.40378851, 23.33666416), (5.00875051, 24.73560488), (5.6287261, 26.11894805), (6.2621378, 27.48839286),
+    (6.90766435, 28.84535072), (7.56418645, 30.19100912), (8.23074619, 31.52637844), (8.90651648, 32.85232686), (9.59077739, 34.1696069),
+    (10.28289778, 35.47887591), (10.98232073, 36.78071208), (11.68855192, 38.07562725), (12.40115022, 39.36407703), (13.11972002, 40.64646912),
+    (13.84390498, 41.9231701), (14.57338273, 43.19451097), (15.30786055, 44.46079184), (16.0470717, 45.7222858), (16.79077227, 46.97924224),
+)
 
 # Scalar columns of the test tables: name, Spark type, type family.
 SCHEMA = {
