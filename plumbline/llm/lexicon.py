@@ -3,7 +3,7 @@
 The most frequent words of the corpus are compiled into a shared-suffix automaton. Its transitions
 carry numbers whose sum along a word is the word's rank in the lexicon, and the rank leads to its
 ids. The automaton is one file of flat arrays that every worker maps into memory; all new words of
-a block walk it side by side. Words it doesn't hold are merged exactly, pair by pair.
+a block walk it side by side. Words it doesn't hold are merged exactly, pair by pair, all at once.
 """
 
 from __future__ import annotations
@@ -13,33 +13,35 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.llm.shared import cut, map_arrow
+from plumbline.llm.shared import cut, map_arrow, ship_file
 
 #: Words that the lexicon holds, at most: the most frequent ones.
 LEXICON_WORDS = 100_000
-#: Distinct words that a task counts before it sends its counts on, and entries of a worker's memories.
-COUNTED, REMEMBERED = 300_000, 250_000
 #: Bytes of text that are split and looked up together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Words up to this many bytes are merged side by side, so many cells of their matrix at a time.
+SIDE_BYTES, SIDE_CELLS = 48, 1 << 21
 #: Fixed value: the pattern that splits text into words, as the tokenizer's file has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose class all Unicode versions agree on; a chunk with others is split by the library.
 _SETTLED = re.compile("[!-~¡-ɏͰ-ϿЀ-ӿ‐-‧‰-⁞぀-ヿ一-鿿가-힣]*")
 #: A word of letters with or without marks behind it, which needs no other rule.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+_SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=-@\[-`{-~]*)$"
+#: What stands before a special token among words; no word holds it.
+_MARK = b"\n"
 _WORD_END = "</w>"
 
 
@@ -158,9 +160,11 @@ class Lexicon:
             alive = alive[lengths[alive] > depth]
         return np.where(~fell & (a["final"][state] == 1), rank, -1)
 
-    def ids(self, rank: int) -> list[int]:
-        a = self.arrays
-        return a["ids"][a["at"][rank] : a["at"][rank + 1]].tolist()
+    def ids(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these ranks, one after the other, and how many each word has."""
+        at = self.arrays["at"].astype(np.int64)
+        counts = at[ranks + 1] - at[ranks]
+        return self.arrays["ids"][np.repeat(at[ranks], counts) + _within(counts)].astype(np.int64), counts
 
 
 # words and merges
@@ -189,10 +193,9 @@ class Bpe:
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
         self.library = None
 
+        self._side = None
+
     def _plain_words(self, text: str) -> list[bytes]:
-        if simple := _SIMPLE.fullmatch(text):
-            word, marks = simple.groups()
-            return [word.lower().encode(), marks.encode()] if marks else [word.lower().encode()]
         if _SETTLED.fullmatch(text):
             text = text if text.isascii() else unicodedata.normalize("NFC", text)
             lowered = text.replace("Σ", "σ").lower()  # one letter at a time, as the library does
@@ -204,15 +207,34 @@ class Bpe:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.bytes_of[c] for c in p) for p, _ in pieces]
 
-    def words(self, chunk: str) -> list[bytes | int]:
-        """Words of a chunk (UTF-8) and ids of special tokens, in order."""
+    def words(self, chunk: str) -> list[bytes]:
+        """Words of a chunk (UTF-8), in order; special tokens come as _MARK and their name."""
         if self.special_pattern is None or "<" not in chunk:
             return self._plain_words(chunk)
-        found: list[bytes | int] = []
+        found: list[bytes] = []
         for i, part in enumerate(self.special_pattern.split(chunk)):
-            found += [self.special[part]] if i % 2 else self._plain_words(part) if part else []
+            found += [_MARK + part.encode()] if i % 2 else self._plain_words(part) if part else []
         return found
 
+    def split(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of all chunks, one after the other, and how many of them each chunk has."""
+        found = pc.extract_regex(chunks, _SIMPLE)
+        ok = found.is_valid().to_numpy(zero_copy_only=False)
+        simple = found.drop_null()
+        letters, marks = pc.utf8_lower(simple.field("word")), simple.field("marks")
+        marked = pc.greater(pc.binary_length(marks), 0).to_numpy(zero_copy_only=False)
+        others = [self.words(c) for c in chunks.filter(pa.array(~ok)).to_pylist()]
+        counts = np.zeros(len(chunks), np.int64)
+        counts[ok], counts[~ok] = 1 + marked, [len(w) for w in others]
+        begin = np.cumsum(counts) - counts
+        order = np.empty(int(counts.sum()), np.int64)
+        order[begin[ok]] = np.arange(len(letters))
+        order[begin[ok][marked] + 1] = len(letters) + np.flatnonzero(marked)
+        rest = counts[~ok]
+        order[np.repeat(begin[~ok], rest) + _within(rest)] = 2 * len(letters) + np.arange(int(rest.sum()))
+        flat = pa.array([w for words in others for w in words], pa.binary())
+        return pa.concat_arrays([letters.cast(pa.binary()), marks.cast(pa.binary()), flat]).take(pa.array(order)), counts
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair that was learnt first is merged until none is left."""
         parts = [self.letters[b] for b in word]
@@ -230,6 +252,99 @@ class Bpe:
         return [self.vocabulary[p] for p in parts]
 
 
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """Ids of inner and of last bytes; keys (left id, right id) of merges in order, their ranks and results."""
+        if self._side is None:
+            of = self.vocabulary
+            inner = np.array([of[c] for c in self.letters], np.int64)
+            last = np.array([of[c + _WORD_END] for c in self.letters], np.int64)
+            keys = np.array([of[a] << 32 | of[b] for a, b in self.merge_rank], np.int64)
+            ranks = np.fromiter(self.merge_rank.values(), np.int64, len(keys))
+            results = np.array([of[a + b] for a, b in self.merge_rank], np.int64)
+            order = np.argsort(keys)
+            self._side = inner, last, keys[order], ranks[order], results[order]
+        return self._side
+
+    def _merge_side(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for words of 1 to `width` bytes: each step merges one pair of every
+        word that still has one, and words that are done leave the matrix."""
+        inner, last, keys, ranks, results = self._tables()
+        never = np.iinfo(np.int64).max
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        row = np.arange(len(words))
+        part = inner[data]
+        part[row, size - 1] = last[data[row, size - 1]]
+
+        def places(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = left << 32 | right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return at, np.where(keys[at] == key, ranks[at], never)
+
+        rank = np.full((len(words), width), never)
+        real = np.arange(width - 1) < size[:, None] - 1
+        rank[:, :-1][real] = places(part[:, :-1][real], part[:, 1:][real])[1]
+        done, column, left = np.zeros((len(words), width), np.int64), np.arange(width), size.copy()
+        owner = row
+        while len(owner):
+            row = np.arange(len(owner))
+            best = rank.argmin(axis=1)
+            over = rank[row, best] == never
+            if over.any():
+                done[owner[over]] = part[over]
+                keep = ~over
+                owner, part, rank, best = owner[keep], part[keep], rank[keep], best[keep]
+                row = np.arange(len(owner))
+                if not len(owner):
+                    break
+            at, _ = places(part[row, best], part[row, best + 1])
+            behind = column >= best[:, None] + 1
+            part = np.where(behind, np.roll(part, -1, axis=1), part)
+            rank = np.where(behind, np.roll(rank, -1, axis=1), rank)
+            part[row, best], rank[:, -1] = results[at], never
+            left[owner] -= 1
+            n = left[owner]
+            rank[row, best] = never
+            for other, ok in ((best, best < n - 1), (best - 1, best > 0)):
+                r, c = row[ok], other[ok]
+                rank[r, c] = places(part[r, c], part[r, c + 1])[1]
+        return done[column < left[:, None]], left
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many of them each word has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        counts = np.zeros(len(words), np.int64)
+        ids, at = [], 0
+        while at < len(order):
+            width = max(8, -(-int(size[order[at]]) // 8) * 8)
+            if width > SIDE_BYTES or words[order[at]].startswith(_MARK):
+                stop = at + 1
+                word = words[order[at]]
+                found = np.array([self.special[word[1:].decode()]] if word.startswith(_MARK) else self.merge(word), np.int64)
+                n = np.array([len(found)])
+            else:
+                stop = min(int(np.searchsorted(size[order], width, "right")), at + SIDE_CELLS // width)
+                group = [words[i] for i in order[at:stop]]
+                if marked := [k for k, w in enumerate(group) if w.startswith(_MARK)]:
+                    stop = at + marked[0]
+                    group = group[: marked[0]]
+                found, n = self._merge_side(group, width)
+            ids.append(found)
+            counts[order[at:stop]] = n
+            at = stop
+        values = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        sorted_counts = counts[order]
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(sorted_counts) - sorted_counts
+        return values[np.repeat(start, counts) + _within(counts)], counts
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each group of these sizes, one group after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 @lru_cache(maxsize=2)
 def bpe_of(path: str) -> Bpe:
     return Bpe(path)
@@ -240,58 +355,42 @@ def lexicon_of(file: str) -> Lexicon:
     return Lexicon(file)
 
 
-class Recent(dict):
-    """What was asked for lately: a full memory is kept once more behind a new one."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.before: dict = {}
-
-    def missing(self, keys: set) -> list:
-        if len(self) > REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        self.update({k: self.before[k] for k in keys if k in self.before})
-        return [k for k in keys if k not in self]
+def _blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about BLOCK_BYTES; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = (np.cumsum(size) - 1).clip(0) // BLOCK_BYTES
+    starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(texts) else []
+    for start, stop in zip(starts, [*starts[1:], len(texts)]):
+        yield pc.fill_null(texts.slice(start, stop - start), "")
 
 
-def _blocks(texts: list[bytes | None]) -> Iterator[list[bytes]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t or b"")
-        size += len(block[-1])
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _chunks(block: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What stands between white space in all texts of a block, and each one's text."""
+    lists = pc.ascii_split_whitespace(block)
+    owner = np.repeat(np.arange(len(block)), lists.value_lengths().to_numpy())
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # the ends of a text may give empty ones
+    return flat.filter(real).dictionary_encode(), owner[real.to_numpy(zero_copy_only=False)]
 
 
 def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """word (binary) and its number of occurrences over all whole texts."""
+    tokenizer = ship_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, recent, counts = bpe_of(path), Recent(), Counter()
-
-        def send() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
-
+        bpe = bpe_of(SparkFiles.get(tokenizer))
         for batch in batches:
-            for block in _blocks(batch.column(0).cast(pa.binary()).to_pylist()):
-                chunks = Counter()
-                for text in block:
-                    chunks.update(text.split())
-                for c in recent.missing(set(chunks)):
-                    recent[c] = [w for w in bpe.words(c.decode()) if isinstance(w, bytes)]
-                for c, n in chunks.items():
-                    for w in recent[c]:
-                        counts[w] += n
-                if len(counts) > COUNTED:
-                    yield send()
-        if counts:
-            yield send()
+            for block in _blocks(batch.column(0)):
+                chunks, _ = _chunks(block)
+                if not len(chunks):
+                    continue
+                times = np.bincount(chunks.indices.to_numpy(), minlength=len(chunks.dictionary))
+                flat, counts = bpe.split(chunks.dictionary)
+                words = flat.dictionary_encode()
+                n = np.zeros(len(words.dictionary), np.int64)
+                np.add.at(n, words.indices.to_numpy(), np.repeat(times, counts))
+                plain = pc.invert(pc.starts_with(words.dictionary, _MARK))
+                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n)], ["word", "n"]).filter(plain)
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     return map_arrow(rows, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -303,22 +402,27 @@ def compile_lexicon(words: list[bytes], path: str) -> dict[str, np.ndarray]:
     ordered = sorted(words)
     for w in ordered:
         builder.add(w)
-    ids = [bpe.merge(w) for w in ordered]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    return builder.arrays() | {"at": np.r_[0, np.cumsum(lengths)].astype(np.int32), "ids": np.array([i for x in ids for i in x], np.int32)}
+    ids, counts = bpe.merge_all(ordered)
+    return builder.arrays() | {"at": np.r_[0, np.cumsum(counts)].astype(np.int32), "ids": ids.astype(np.int32)}
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
     """Compile the most frequent words of all texts and hand the file to every executor; its name there.
 
-    Only up to `size` words, a parameter, come to the driver. How often a word has to occur is an
-    approximate quantile of all words' counts; what the lexicon holds changes no result.
+    Only up to `size` words, a parameter, come to the driver. How often a word has to occur is read
+    off the number of words of each count, of which the `size` largest counts suffice; words that
+    occur just that often fill what is left. What the lexicon holds changes no result.
     """
     counts = cut(count_words(docs, path, text_col))
-    if (distinct := counts.count()) > size:
+    if counts.count() > size:
         # a bound on the count, so that nothing is sorted or sent that doesn't stay
-        bound = counts.agg(F.percentile_approx("n", 1 - size / distinct, 10_000).alias("bound")).first()["bound"]
-        counts = counts.where(F.col("n") > bound).limit(size)
+        sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect()
+        room = size
+        for bound, words in sizes:
+            if words > room:
+                break
+            room -= words
+        counts = counts.where(F.col("n") > bound).unionByName(counts.where(F.col("n") == bound).limit(room))
     top = counts.collect()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = Path(tempfile.mkdtemp(prefix="plumbline-")) / name
@@ -328,42 +432,51 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text_co
 
 
 class Encoder:
-    """Encodes blocks of texts with a lexicon; remembers recent chunks and merged words."""
+    """Encodes blocks of texts with a lexicon, each distinct chunk and word of a block once."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon) -> None:
         self.bpe, self.lexicon = bpe, lexicon
-        self.chunks, self.merged = Recent(), Recent()
-
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, str]:
-        return len(ids), b" ".join([b"%d" % i for i in ids]), " ".join([self.bpe.token[i] for i in ids])
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = self.chunks.missing(chunks)
-        split = {c: self.bpe.words(c.decode()) for c in new}
-        words = list({w for found in split.values() for w in found if isinstance(w, bytes)})
-        ranks = self.lexicon.ranks(words)
-        entry = {w: self._entry(self.lexicon.ids(r)) for w, r in zip(words, ranks.tolist()) if r >= 0}
-        unseen = {w for w, r in zip(words, ranks.tolist()) if r < 0}
-        for w in self.merged.missing(unseen):
-            self.merged[w] = self._entry(self.bpe.merge(w))
-        entry |= {w: self.merged[w] for w in unseen}
-        for c, found in split.items():
-            parts = [entry[w] if isinstance(w, bytes) else self._entry([w]) for w in found]
-            self.chunks[c] = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), b" ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
-
-    def encode(self, block: list[bytes]) -> Iterator[tuple[int, bytes, str]]:
+        names = [bpe.token.get(i, "") for i in range(max(bpe.token) + 1)]
+        self.decoded, self.decimal = pa.array(names, pa.string()), pa.array([str(i) for i in range(len(names))], pa.string())
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each word has."""
+        listed = words.to_pylist()
+        ranks = self.lexicon.ranks(listed)
+        known = ranks >= 0
+        unseen = [listed[i] for i in np.flatnonzero(~known)]
+        counts = np.zeros(len(listed), np.int64)
+        from_lexicon, counts[known] = self.lexicon.ids(ranks[known])
+        merged, counts[~known] = self.bpe.merge_all(unseen)
+        ids = np.empty(int(counts.sum()), np.int64)
+        own = np.repeat(known, counts)
+        ids[own], ids[~own] = from_lexicon, merged
+        return ids, counts
+
+    def encode(self, block: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Number of tokens, ids as text, and decoded text of each text of a block."""
-        cut_up = [t.split() for t in block]
-        self._learn({c for chunks in cut_up for c in chunks})
-        of = self.chunks.__getitem__
-        for chunks in cut_up:
-            if not chunks:
-                yield 0, b"", ""
-                continue
-            counts, ids, decoded = zip(*map(of, chunks))
-            if 0 in counts:  # a chunk may hold nothing but rare white space
-                ids, decoded = filter(None, ids), filter(None, decoded)
-            yield sum(counts), b" ".join(ids), " ".join(decoded)
+        chunks, owner = _chunks(block)
+        flat, n_words = self.bpe.split(chunks.dictionary)
+        words = flat.dictionary_encode()
+        ids, n_ids = self._word_ids(words.dictionary)
+        # from words to the chunks that hold them
+        of, begin = words.indices.to_numpy(), np.cumsum(n_ids) - n_ids
+        times = n_ids[of]
+        ids = ids[np.repeat(begin[of], times) + _within(times)]
+        ends = np.r_[0, np.cumsum(times)][np.r_[0, np.cumsum(n_words)]]
+        n_tokens = np.diff(ends)
+        # from chunks to texts; a chunk may hold nothing but rare white space
+        index = chunks.indices.to_numpy()
+        real = n_tokens[index] > 0
+        index, owner = index[real], owner[real]
+        bounds = pa.array(np.searchsorted(owner, np.arange(len(block) + 1)), pa.int32())
+
+        def joined(names: pa.Array) -> pa.Array:
+            of_chunk = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(ids))), " ")
+            return pc.binary_join(pa.ListArray.from_arrays(bounds, of_chunk.take(pa.array(index))), " ")
+
+        total = np.bincount(owner, n_tokens[index], len(block)).astype(np.int64)
+        return pa.array(total), joined(self.decimal), joined(self.decoded)
 
 
 def encode_documents(docs: DataFrame, path: str, lexicon: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,18 +487,15 @@ def encode_documents(docs: DataFrame, path: str, lexicon: str | None = None, id_
     table gives no rows. Other columns are ignored.
     """
     lexicon = lexicon or build_lexicon(docs, path, text_col=text_col)
+    tokenizer = ship_file(docs.sparkSession, path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(bpe_of(path), lexicon_of(SparkFiles.get(lexicon)))
+        encoder = Encoder(bpe_of(SparkFiles.get(tokenizer)), lexicon_of(SparkFiles.get(lexicon)))
         for batch in batches:
             at = 0
-            for block in _blocks(batch.column(1).cast(pa.binary()).to_pylist()):
-                n, ids, decoded = zip(*encoder.encode(block))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(block)), pa.array(n, pa.int64()), pa.array([i.decode() for i in ids], pa.string()), pa.array(decoded, pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+            for block in _blocks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), *encoder.encode(block)], ["doc_id", "n_tokens", "ids", "decoded"])
                 at += len(block)
 
     kinds = [rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids", StringType()), StructField("decoded", StringType())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-#: Applications that already have this package on their executors.
-_SHIPPED: set[str] = set()
+#: Applications that already have this package on their executors, and (application, file name).
+_SHIPPED: set[str | tuple[str, str]] = set()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +58,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Give the executors a file of the driver's, once an application; SparkFiles knows it by the name returned."""
+    context, data = spark.sparkContext, Path(path).read_bytes()
+    name = f"{hashlib.sha256(data).hexdigest()[:16]}-{Path(path).name}"
+    if (context.applicationId, name) not in _SHIPPED:
+        target = Path(tempfile.mkdtemp(prefix="plumbline-")) / name
+        target.write_bytes(data)
+        context.addFile(str(target))
+        _SHIPPED.add((context.applicationId, name))
+    return name
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with a function that may use this package."""
     ship_package(df.sparkSession)

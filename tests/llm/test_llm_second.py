@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -99,6 +100,30 @@ def test_encoding_equals_the_library(spark):
     assert lexicon.encode_documents(frame(spark, []), path).count() == 0
 
 
+def test_merging_side_by_side_equals_merging_one_word():
+    bpe = lexicon.bpe_of(public_tokenizers.path(queries.WORD_BPE))
+    special = next(iter(bpe.special))
+    words = ["a", "the", "aaaaaaaaaaaa", "naïve", "€", "ab" * 23, "ab" * 24, "x" * 49, "lengthy" * 60, "!!!!!!!!", "0"]
+    listed = [w.encode() for w in words] + [lexicon._MARK + special.encode()] + [b"".join(w) for w in zip([b"th", b"an", b"zq"] * 40, [b"%d" % i for i in range(120)])]
+    ids, counts = bpe.merge_all(listed)
+    ends = np.cumsum(counts)
+    expected = [[bpe.special[special]] if w.startswith(lexicon._MARK) else bpe.merge(w) for w in listed]
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == expected
+    assert [len(x) for x in bpe.merge_all([])] == [0, 0]
+
+
+def test_blocks_without_words_and_bounded_blocks(tmp_path, monkeypatch):
+    path = public_tokenizers.path(queries.WORD_BPE)
+    lexicon.save(lexicon.compile_lexicon([b"the", b"cat"], path), tmp_path / "l.bin")
+    encoder = lexicon.Encoder(lexicon.bpe_of(path), lexicon.Lexicon(str(tmp_path / "l.bin")))
+    assert [a.to_pylist() for a in encoder.encode(pa.array(["", " \n ", ""]))] == [[0, 0, 0], [""] * 3, [""] * 3]
+    monkeypatch.setattr(lexicon, "BLOCK_BYTES", 10)
+    texts = ["the cat", None, "sat on a very long mat", "", "x"]
+    blocks = list(lexicon._blocks(pa.array(texts)))
+    assert [t for b in blocks for t in b.to_pylist()] == [t or "" for t in texts] and len(blocks) > 1
+    assert list(lexicon._blocks(pa.array([], pa.string()))) == []
+
+
 def test_automaton_is_minimal_and_numbers_its_words(tmp_path):
     words = sorted({(a + b + c).encode() for a in ("", "re", "un") for b in ("do", "tie", "é", "lock") for c in ("", "s", "ing", "er")})
     builder = lexicon.Builder()
