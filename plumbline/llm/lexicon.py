@@ -13,7 +13,7 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,7 +33,7 @@ LEXICON_WORDS = 100_000
 #: Bytes of text that are split and looked up together.
 BLOCK_BYTES = 16 << 20
 #: Words up to this many bytes are merged side by side, so many cells of their matrix at a time.
-SIDE_BYTES, SIDE_CELLS = 48, 1 << 21
+SIDE_BYTES, SIDE_CELLS = 48, 1 << 17
 #: Fixed value: the pattern that splits text into words, as the tokenizer's file has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose class all Unicode versions agree on; a chunk with others is split by the library.
@@ -177,6 +177,67 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class SideMerger:
+    """Merges many short words at once. inner, last: symbols of a byte within and at the end of a word."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: Sequence[Sequence[str]], inner: Sequence[str], last: Sequence[str]) -> None:
+        self.inner = np.array([vocabulary[c] for c in inner], np.int64)
+        self.last = np.array([vocabulary[c] for c in last], np.int64)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order
+        self.results = np.array([vocabulary[a + b] for a, b in merges], np.int64)[order]
+
+    def __call__(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for words of 1 to `width` bytes: each step merges one pair of every
+        word that still has one, and words that are done leave the matrix."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        return self.cells(np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width), size)
+
+    def cells(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a row of bytes for each word, of which the first `size` count."""
+        words, width = data.shape
+        keys, ranks, results = self.keys, self.ranks, self.results
+        never = np.iinfo(np.int64).max
+        row = np.arange(words)
+        part = self.inner[data]
+        part[row, size - 1] = self.last[data[row, size - 1]]
+
+        def places(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = left << 32 | right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return at, np.where(keys[at] == key, ranks[at], never)
+
+        rank = np.full((words, width), never)
+        real = np.arange(width - 1) < size[:, None] - 1
+        rank[:, :-1][real] = places(part[:, :-1][real], part[:, 1:][real])[1]
+        done, column, left = np.zeros((words, width), np.int64), np.arange(width), size.copy()
+        owner = row
+        while len(owner):
+            row = np.arange(len(owner))
+            best = rank.argmin(axis=1)
+            over = rank[row, best] == never
+            if over.any():
+                done[owner[over]] = part[over]
+                keep = ~over
+                owner, part, rank, best = owner[keep], part[keep], rank[keep], best[keep]
+                row = np.arange(len(owner))
+                if not len(owner):
+                    break
+            at, _ = places(part[row, best], part[row, best + 1])
+            behind = column >= best[:, None] + 1
+            part = np.where(behind, np.roll(part, -1, axis=1), part)
+            rank = np.where(behind, np.roll(rank, -1, axis=1), rank)
+            part[row, best], rank[:, -1] = results[at], never
+            left[owner] -= 1
+            n = left[owner]
+            rank[row, best] = never
+            for other, ok in ((best, best < n - 1), (best - 1, best > 0)):
+                r, c = row[ok], other[ok]
+                rank[r, c] = places(part[r, c], part[r, c + 1])[1]
+        return done[column < left[:, None]], left
+
+
 class Bpe:
     """Word-level encoder: splits a chunk without white space into words and merges words exactly."""
 
@@ -193,7 +254,7 @@ class Bpe:
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
         self.library = None
 
-        self._side = None
+        self.side = SideMerger(self.vocabulary, model["model"]["merges"], self.letters, [c + _WORD_END for c in self.letters])
 
     def _plain_words(self, text: str) -> list[bytes]:
         if _SETTLED.fullmatch(text):
@@ -252,64 +313,6 @@ class Bpe:
         return [self.vocabulary[p] for p in parts]
 
 
-    def _tables(self) -> tuple[np.ndarray, ...]:
-        """Ids of inner and of last bytes; keys (left id, right id) of merges in order, their ranks and results."""
-        if self._side is None:
-            of = self.vocabulary
-            inner = np.array([of[c] for c in self.letters], np.int64)
-            last = np.array([of[c + _WORD_END] for c in self.letters], np.int64)
-            keys = np.array([of[a] << 32 | of[b] for a, b in self.merge_rank], np.int64)
-            ranks = np.fromiter(self.merge_rank.values(), np.int64, len(keys))
-            results = np.array([of[a + b] for a, b in self.merge_rank], np.int64)
-            order = np.argsort(keys)
-            self._side = inner, last, keys[order], ranks[order], results[order]
-        return self._side
-
-    def _merge_side(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for words of 1 to `width` bytes: each step merges one pair of every
-        word that still has one, and words that are done leave the matrix."""
-        inner, last, keys, ranks, results = self._tables()
-        never = np.iinfo(np.int64).max
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
-        row = np.arange(len(words))
-        part = inner[data]
-        part[row, size - 1] = last[data[row, size - 1]]
-
-        def places(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            key = left << 32 | right
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return at, np.where(keys[at] == key, ranks[at], never)
-
-        rank = np.full((len(words), width), never)
-        real = np.arange(width - 1) < size[:, None] - 1
-        rank[:, :-1][real] = places(part[:, :-1][real], part[:, 1:][real])[1]
-        done, column, left = np.zeros((len(words), width), np.int64), np.arange(width), size.copy()
-        owner = row
-        while len(owner):
-            row = np.arange(len(owner))
-            best = rank.argmin(axis=1)
-            over = rank[row, best] == never
-            if over.any():
-                done[owner[over]] = part[over]
-                keep = ~over
-                owner, part, rank, best = owner[keep], part[keep], rank[keep], best[keep]
-                row = np.arange(len(owner))
-                if not len(owner):
-                    break
-            at, _ = places(part[row, best], part[row, best + 1])
-            behind = column >= best[:, None] + 1
-            part = np.where(behind, np.roll(part, -1, axis=1), part)
-            rank = np.where(behind, np.roll(rank, -1, axis=1), rank)
-            part[row, best], rank[:, -1] = results[at], never
-            left[owner] -= 1
-            n = left[owner]
-            rank[row, best] = never
-            for other, ok in ((best, best < n - 1), (best - 1, best > 0)):
-                r, c = row[ok], other[ok]
-                rank[r, c] = places(part[r, c], part[r, c + 1])[1]
-        return done[column < left[:, None]], left
-
     def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many of them each word has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -329,7 +332,7 @@ class Bpe:
                 if marked := [k for k, w in enumerate(group) if w.startswith(_MARK)]:
                     stop = at + marked[0]
                     group = group[: marked[0]]
-                found, n = self._merge_side(group, width)
+                found, n = self.side(group, width)
             ids.append(found)
             counts[order[at:stop]] = n
             at = stop

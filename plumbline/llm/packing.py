@@ -8,79 +8,90 @@ best-fit again, until one round is left with few enough items for one task or st
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from plumbline.llm.shared import cut, map_arrow, shared_path
+from plumbline.llm.lexicon import SideMerger, byte_letters
+from plumbline.llm.shared import cut, map_arrow, shared_path, ship_file
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks whose ids a worker remembers, and as many that it used before; results don't depend on it.
-MEMORY = 450_000
 #: A bin with at most this share of free tokens is written out before the last round.
 SLACK = 1 / 64
 #: Items that one task packs in a merge round.
 GROUP_ITEMS = 200_000
-_RARE_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Texts where a space may stand next to other white space.
+_ODD_SPACE = "  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Letters and punctuation of chunks that are cut further, where the split is beyond doubt.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+[{_MARKS}]*(?:\n[{_LETTERS}]+[{_MARKS}]*)*")
 _UNIT = re.compile(rf" ?[{_LETTERS}]+|[{_MARKS}]+|\n")
-#: Characters of text that are cut up at once.
-BLOCK_CHARS = 8 << 20
-#: By number of ids: what writes them as unsigned 32-bit numbers.
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+_SIMPLE = rf"^(?P<word>[{_LETTERS}]+)(?P<marks>[{_MARKS}]*)$"
+#: Bytes of text that are cut up at once.
+BLOCK_BYTES = 16 << 20
+#: A unit that the tokenizer's split leaves whole.
+_WHOLE = rf"^ ?[{_LETTERS}]+$"
+#: Units up to this many bytes are merged side by side, so many cells of their matrix at a time.
+SIDE_BYTES, SIDE_CELLS = 48, 1 << 17
+
+
+class Encoder:
+    """Ids of units as binary values of unsigned 32-bit numbers."""
+
+    def __init__(self, path: str) -> None:
+        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        self.tokenizer = Tokenizer.from_file(path)
+        letters = byte_letters()
+        self.side = SideMerger(model["vocab"], model["merges"], letters, letters)
+
+    def ids(self, units: pa.Array) -> pa.Array:
+        """Ids of distinct units: whole words are merged side by side, the tokenizer is asked for others."""
+        size = pc.binary_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = pc.match_substring_regex(units, _WHOLE).to_numpy(zero_copy_only=False) & (size <= SIDE_BYTES)
+        others = units.filter(pa.array(~whole)).to_pylist()
+        asked = [np.array(found.ids, "<u4") for found in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        order = np.flatnonzero(whole)
+        order = order[np.argsort(size[order], kind="stable")]
+        _, offsets, data = units.buffers()
+        begin = np.frombuffer(offsets, np.int32)[units.offset : units.offset + len(units)].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        counts, found, at = np.zeros(len(units), np.int64), [], 0
+        while at < len(order):
+            width = -(-int(size[order[at]]) // 4) * 4
+            stop = min(int(np.searchsorted(size[order], width, "right")), at + SIDE_CELLS // width)
+            group = order[at:stop]
+            cells = data[np.minimum(begin[group, None] + np.arange(width), len(data) - 1)]
+            ids, counts[group] = self.side.cells(cells, size[group])
+            found.append(ids.astype("<u4"))
+            at = stop
+        place = np.r_[order, np.flatnonzero(~whole)]
+        counts[~whole] = [len(x) for x in asked]
+        values = np.concatenate([*found, *asked, np.zeros(0, "<u4")])
+        bounds = (4 * np.r_[0, np.cumsum(counts[place])]).astype(np.int32)
+        stored = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(bounds), pa.py_buffer(values)])
+        back = np.empty(len(units), np.int64)
+        back[place] = np.arange(len(units))
+        return stored.take(pa.array(back))
 
 
-class Memory:
-    """Ids of text chunks as bytes of unsigned 32-bit numbers; asks the tokenizer for new ones.
-
-    `spaced` has chunks that follow a space, words and whole chunks alike; `plain` has what stands
-    elsewhere: starts of texts, punctuation, line ends and the words behind them.
-    """
-
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self.spaced: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = found.ids
-            yield _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
-
-    def _recall(self, chunks: set[str]) -> set[str]:
-        """Chunks that neither memory has; those of the older one are taken over."""
-        new = chunks.difference(self.spaced)
-        known = new.intersection(self.before)
-        self.spaced.update({c: self.before[c] for c in known})
-        return new.difference(known)
-
-    def learn(self, starts: list[str], chunks: set[str]) -> None:
-        if len(self.spaced) > MEMORY:
-            self.before, self.spaced, self.plain = self.spaced, {}, {}
-        parts = {c: _units(" " + c) for c in self._recall(chunks)}
-        units = {u for found in parts.values() for u in found}
-        words = list(self._recall({u[1:] for u in units if u.startswith(" ")}))
-        self.spaced.update(zip(words, self._ids([" " + w for w in words])))
-        others = list({u for u in units if not u.startswith(" ")}.union(starts).difference(self.plain))
-        self.plain.update(zip(others, self._ids(others)))
-        spaced, plain = self.spaced, self.plain
-        for chunk, found in parts.items():
-            if len(found) > 1:
-                spaced[chunk] = b"".join([spaced[u[1:]] if u[0] == " " else plain[u] for u in found])
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return Encoder(path)
 
 
 def _units(chunk: str) -> list[str]:
@@ -88,36 +99,73 @@ def _units(chunk: str) -> list[str]:
     return _UNIT.findall(chunk) if _PLAIN.fullmatch(chunk) else [chunk]
 
 
-@lru_cache(maxsize=2)
-def memory_of(path: str) -> Memory:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return Memory(Tokenizer.from_file(path))
-
-
-def _single_spaces(text: str) -> bool:
-    """Whether every space is sure to stand between two other characters, or at an end."""
-    return not ("  " in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text))
-
-
-def token_bytes(texts: list[str], memory: Memory) -> list[bytes]:
-    """Ids of whole texts. A single space between two other characters starts a new word of the
-    byte-level split, so texts can be cut there and equal chunks need encoding only once."""
-    cut_up = [t.split(" ") if _single_spaces(t) else _SPACE_BETWEEN.split(t) for t in texts]
-    memory.learn([c[0] for c in cut_up], set().union(*[c[1:] for c in cut_up]))
-    spaced = memory.spaced.__getitem__
-    return [memory.plain[c[0]] + b"".join(map(spaced, c[1:])) for c in cut_up]
-
-
-def _encoded(texts: list[str | None], memory: Memory) -> Iterator[bytes]:
-    """Ids of each text, in blocks of bounded size."""
-    at = 0
-    while at < len(texts):
-        block, size = [], 0
-        while at < len(texts) and (not block or size + len(texts[at] or "") <= BLOCK_CHARS):
-            block.append(texts[at] or "")
-            size += len(block[-1])
-            at += 1
-        yield from token_bytes(block, memory)
+def _grouped(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Binary values joined by groups of these sizes, without a copy."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    ends = np.ascontiguousarray(at[np.r_[0, np.cumsum(counts)]])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each group of these sizes, one group after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _spaced_ids(chunks: pa.Array, encoder: Encoder) -> pa.Array:
+    """Ids of distinct chunks that follow a space."""
+    found = pc.extract_regex(chunks, _SIMPLE)
+    ok = found.is_valid().to_numpy(zero_copy_only=False)
+    simple = found.drop_null()
+    words, marks = pc.binary_join_element_wise(pa.scalar(" "), simple.field("word"), ""), simple.field("marks")
+    marked = pc.greater(pc.binary_length(marks), 0).to_numpy(zero_copy_only=False)
+    others = [_units(" " + c) for c in chunks.filter(pa.array(~ok)).to_pylist()]
+    counts = np.zeros(len(chunks), np.int64)
+    counts[ok], counts[~ok] = 1 + marked, [len(u) for u in others]
+    begin, rest = np.cumsum(counts) - counts, counts[~ok]
+    order = np.empty(int(counts.sum()), np.int64)
+    order[begin[ok]] = np.arange(len(words))
+    order[begin[ok][marked] + 1] = len(words) + np.flatnonzero(marked)
+    order[np.repeat(begin[~ok], rest) + _within(rest)] = 2 * len(words) + np.arange(int(rest.sum()))
+    flat = pa.array([u for units in others for u in units], pa.string())
+    units = pa.concat_arrays([words, marks, flat]).take(pa.array(order)).dictionary_encode()
+    return _grouped(encoder.ids(units.dictionary).take(units.indices), counts)
+
+
+def token_bytes(texts: pa.Array, encoder: Encoder, end: bytes = b"") -> pa.Array:
+    """Ids of whole texts (no nulls), and `end` behind each, as binary values of one buffer.
+
+    A single space between two other characters starts a new word of the byte-level split, so
+    texts can be cut there and equal chunks need encoding only once.
+    """
+    odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    if odd.any():
+        cut_up = [_SPACE_BETWEEN.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        order = np.empty(len(texts), np.int64)
+        order[np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]] = np.arange(len(texts))
+        lists = pa.concat_arrays([lists, pa.array(cut_up, lists.type)]).take(pa.array(order))
+    n, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+    first = np.cumsum(n) - n
+    spaced = np.ones(len(flat), bool)
+    spaced[first] = False
+    starts, chunks = flat.take(pa.array(first)).dictionary_encode(), flat.filter(pa.array(spaced)).dictionary_encode()
+    known = [encoder.ids(starts.dictionary), _spaced_ids(chunks.dictionary, encoder), pa.array([end], pa.binary())]
+    # every text: its start, its chunks, the end
+    where = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), n)
+    index = np.full(len(flat) + len(texts), len(known[0]) + len(known[1]), np.int64)
+    index[where[~spaced]] = starts.indices.to_numpy()
+    index[where[spaced]] = len(known[0]) + chunks.indices.to_numpy().astype(np.int64)
+    return _grouped(pa.concat_arrays(known).take(pa.array(index)), n + 1)
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Places and slices of about BLOCK_BYTES; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = (np.cumsum(size) - 1).clip(0) // BLOCK_BYTES
+    starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist() if len(texts) else []
+    for start, stop in zip(starts, [*starts[1:], len(texts)]):
+        yield start, pc.fill_null(texts.slice(start, stop - start), "")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,29 +176,31 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
+    tokenizer = ship_file(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = memory_of(tokenizer_path)
+        encoder = encoder_of(SparkFiles.get(tokenizer))
         for batch in batches:
-            owner, number, start, length, ids = [], [], [], [], []
-            for i, data in enumerate(_encoded(batch.column(1).to_pylist(), memory)):
-                data += end
-                at, n = 0, len(data) // 4
-                take = n % capacity or capacity
-                k = 0
-                while at < n:
-                    owner.append(i)
-                    number.append(k)
-                    start.append(at)
-                    length.append(take)
-                    ids.append(data[4 * at : 4 * (at + take)])
-                    at, take, k = at + take, capacity, k + 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"],
-            )
-
-    return map_arrow(rows, 
+            for at, block in _blocks(batch.column(1)):
+                ids = token_bytes(block, encoder, end)
+                _, offsets, data = ids.buffers()
+                bounds = np.frombuffer(offsets, np.int32).astype(np.int64)
+                n = np.diff(bounds) // 4
+                count = -(-n // capacity)
+                owner, number = np.repeat(np.arange(len(n)), count), _within(count)
+                first = (n - (count - 1) * capacity)[owner]
+                start = np.where(number > 0, first + (number - 1) * capacity, 0)
+                length = np.where(number > 0, capacity, first)
+                # pieces lie one after the other in the buffer of the ids
+                cuts = np.append(bounds[owner] + 4 * start, bounds[-1]).astype(np.int32)
+                cut_up = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(cuts), data])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at + owner)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), cut_up],
+                    ["doc_id", "piece", "start", "length", "ids"],
+                )
+
+    return map_arrow(
+        rows,
         run,
         StructType([rows.schema["doc_id"], StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType())]),
     )

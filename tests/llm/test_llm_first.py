@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -58,6 +59,15 @@ def test_packing_places_every_piece_once_and_tightly(spark):
     assert len(bins) <= 1.02 * -(-sum(r.length for r in found) // 1024) + 1
 
 
+def test_token_bytes_equal_the_library():
+    encoder = packing.encoder_of(public_tokenizers.path(queries.BYTE_BPE))
+    texts = ["", " a", "a ", "  ", "a  b", "x\n y", "don't I'll", "é\xa0b", "\n", "a\nb c!\nd", "日本 語", "<|endoftext|> hi", "word" * 3000 + " b", "straße, naïve; Ωmega", "tab\tnew", "x" * 47 + " " + "y" * 48, "1 a1 !a"]
+    found = packing.token_bytes(pa.array(texts), encoder).to_pylist()
+    asked = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == asked
+    assert packing.token_bytes(pa.array(["", ""]), encoder, b"end!").to_pylist() == [b"end!"] * 2
+
+
 def test_packing_merges_residuals_over_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
     items = spark.range(2000).select("id", (F.pmod(F.xxhash64("id"), F.lit(300)) + 1).alias("length"))
