@@ -708,6 +708,17 @@ ORACLES: dict[str, str] = {
     ),
     "name_similarity": _pair_ctes(SYNONYM_NAME, strict=False) + " " + PAIR_REPORT.format(60),
     "candidate_pairs": _pair_ctes() + " " + PAIR_REPORT.format(50),
+    "name_class_links": (
+        f"{_pair_ctes()}, grouped AS (SELECT type_family || '/' || semantic_tag AS grp, table_name, shown AS name FROM named), "
+        "classes AS (SELECT grp, name, count(*) AS n FROM grouped GROUP BY ALL), "
+        "formed AS (SELECT l.grp, least(l.name, r.name) AS name_a, greatest(l.name, r.name) AS name_b, count(*) AS n_pairs "
+        "FROM grouped l JOIN grouped r ON l.grp = r.grp AND l.table_name < r.table_name GROUP BY ALL), "
+        "linked AS (SELECT a.grp, a.name AS name_a, b.name AS name_b, a.n AS columns_a, b.n AS columns_b, "
+        "100 * (1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name))) AS similarity "
+        "FROM classes a JOIN classes b ON a.grp = b.grp AND a.name <= b.name) "
+        "SELECT grp, name_a, name_b, round(similarity, 4) AS similarity, columns_a, columns_b, "
+        "coalesce(n_pairs, 0) AS n_pairs FROM linked LEFT JOIN formed USING (grp, name_a, name_b) WHERE similarity > 50"
+    ),
     "cascade_pairs": _pair_ctes() + " " + PAIR_REPORT.format(85),
     "incremental_versions": (
         _pair_ctes() + " " + PAIR_REPORT.format(85) + " AND (left_table = 'customer' OR right_table = 'customer')"

@@ -52,6 +52,8 @@ from plumbline.operators.kv import (
 from plumbline.operators.name_match import (
     PAIR_KEY,
     candidate_pairs,
+    class_links,
+    name_classes,
     not_yet_evaluated,
     passing_cascade,
 )
@@ -603,6 +605,11 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_report(_pairs(spark, folder, 50.0))
 
 
+def name_class_links(spark: SparkSession, folder: str) -> DataFrame:
+    links = class_links(name_classes(_measured(spark, folder)), 50.0)
+    return _rounded(links, "similarity", digits=4)
+
+
 def cascade_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_report(passing_cascade(_pairs(spark, folder, 50.0), LIMITS.name_similarity))
 
@@ -828,6 +835,7 @@ QUERIES: dict[str, Query] = {
     "semantic_tags": semantic_tags,
     "name_similarity": name_similarity,
     "candidate_pairs": candidates,
+    "name_class_links": name_class_links,
     "cascade_pairs": cascade_pairs,
     "incremental_pairs": incremental_pairs,
     "incremental_versions": incremental_versions,

@@ -113,25 +113,61 @@ def match_group(strict_types: bool, domain_clustering: bool) -> Column:
     )
 
 
-def candidate_pairs(
+def name_classes(
     catalog: DataFrame,
-    threshold: float = 85.0,
     strict_types: bool = True,
     domain_clustering: bool = True,
     synonyms: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Column pairs of different tables whose names are more similar than the threshold.
+    """The catalog with `grp` and `name`: columns that agree in both are one class.
 
-    Pairs are unordered: the left side sorts first. Type families and semantic tags must agree
-    unless switched off. Similarity is the best over the aliases of both columns.
+    A column is in one class for each name that it answers to.
     """
-    named = catalog.withColumns(
+    return catalog.withColumns(
         {
             "grp": match_group(strict_types, domain_clustering),
             "name": F.explode(name_aliases(F.col("column_name"), F.col("table_name"))),
         }
     ).withColumn("name", canonical_name(F.col("name"), synonyms))
-    matches = similar_names(named, threshold)
+
+
+def class_links(members: DataFrame, threshold: float = 85.0) -> DataFrame:
+    """Links between name classes: grp, name_a, name_b, similarity, columns_a, columns_b, n_pairs.
+
+    A class is linked with itself and with classes whose name is more similar than the threshold.
+    n_pairs is the number of pairs of columns of different tables that the link stands for. It is
+    counted per class and table, so a name that very many tables have costs a row for each of them
+    and not one for each pair.
+    """
+    table = ["schema_name", "table_name"]
+    per_table = members.groupBy("grp", "name", *table).agg(F.count("*").alias("n"))
+    sizes = per_table.groupBy("grp", "name").agg(F.sum("n").alias("n"))
+    left = per_table.select("grp", F.col("name").alias("name_a"), *table, F.col("n").alias("n_a"))
+    right = per_table.select("grp", F.col("name").alias("name_b"), *table, F.col("n").alias("n_b"))
+    links = similar_names(sizes, threshold)
+    within = (
+        links.select("grp", "name_a", "name_b")
+        .join(left, ["grp", "name_a"])
+        .join(right, ["grp", "name_b", *table])
+        .groupBy("grp", "name_a", "name_b")
+        .agg(F.sum(F.col("n_a") * F.col("n_b")).alias("within"))
+    )
+    across = F.col("columns_a") * F.col("columns_b") - F.coalesce("within", F.lit(0))
+    return (
+        links.join(sizes.toDF("grp", "name_a", "columns_a"), ["grp", "name_a"])
+        .join(sizes.toDF("grp", "name_b", "columns_b"), ["grp", "name_b"])
+        .join(within, ["grp", "name_a", "name_b"], "left")
+        .withColumn("n_pairs", F.when(F.col("name_a") == F.col("name_b"), across / 2).otherwise(across).cast("long"))
+        .select("grp", "name_a", "name_b", "similarity", "columns_a", "columns_b", "n_pairs")
+    )
+
+
+def expand_links(members: DataFrame, links: DataFrame, key_share: float | None = None) -> DataFrame:
+    """Column pairs of different tables that links between classes stand for; the left side sorts first.
+
+    With `key_share` only pairs are formed of which one side could be a key: its distinct values
+    are at least this share of its rows. Others are left out before any join.
+    """
     both_ways = F.when(
         F.col("name_a") == F.col("name_b"), F.array(F.struct("name_a", "name_b"))
     ).otherwise(
@@ -140,12 +176,11 @@ def candidate_pairs(
             F.struct(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")),
         )
     )
-    oriented = matches.select("grp", "similarity", F.inline(both_ways))
-
-    versioned = "version" in catalog.columns
+    oriented = links.select("grp", "similarity", F.inline(both_ways))
+    versioned = "version" in members.columns
 
-    def side(prefix: str, name: str) -> DataFrame:
-        return named.select(
+    def side(prefix: str, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(
             "grp",
             F.col("name").alias(name),
             *([F.col("version").alias(f"{prefix}_version")] if versioned else []),
@@ -157,23 +192,49 @@ def candidate_pairs(
         )
 
     ordered = F.struct("left_schema", "left_table") < F.struct("right_schema", "right_table")
-    return (
-        side("left", "name_a")
-        .join(oriented, ["grp", "name_a"])
-        .join(side("right", "name_b"), ["grp", "name_b"])
-        .where(ordered)
-        .groupBy(*PAIR_KEY, "grp")
-        .agg(
-            F.max("similarity").alias("name_similarity"),
-            *[
-                F.max(c).alias(c)
-                for c in ("left_rows", "right_rows", "left_estimate", "right_estimate")
-            ],
-            *[F.max(c).alias(c) for c in ("left_version", "right_version") if versioned],
+
+    def formed(lefts: DataFrame, rights: DataFrame) -> DataFrame:
+        return (
+            side("left", "name_a", lefts)
+            .join(oriented, ["grp", "name_a"])
+            .join(side("right", "name_b", rights), ["grp", "name_b"])
+            .where(ordered)
         )
+
+    if key_share is None:
+        pairs = formed(members, members)
+    else:
+        like_key = F.coalesce(F.col("distinct_count") >= F.lit(key_share) * F.col("row_count"), F.lit(False))
+        keys, others = members.where(like_key), members.where(~like_key)
+        pairs = formed(keys, members).unionByName(formed(others, keys))
+    return pairs.groupBy(*PAIR_KEY, "grp").agg(
+        F.max("similarity").alias("name_similarity"),
+        *[
+            F.max(c).alias(c)
+            for c in ("left_rows", "right_rows", "left_estimate", "right_estimate")
+        ],
+        *[F.max(c).alias(c) for c in ("left_version", "right_version") if versioned],
     )
 
 
+def candidate_pairs(
+    catalog: DataFrame,
+    threshold: float = 85.0,
+    strict_types: bool = True,
+    domain_clustering: bool = True,
+    synonyms: Mapping[str, str] | None = None,
+    key_share: float | None = None,
+) -> DataFrame:
+    """Column pairs of different tables whose names are more similar than the threshold.
+
+    Pairs are unordered: the left side sorts first. Type families and semantic tags must agree
+    unless switched off. Similarity is the best over the aliases of both columns. `key_share` asks
+    that one side could be a key, see `expand_links`.
+    """
+    members = name_classes(catalog, strict_types, domain_clustering, synonyms)
+    return expand_links(members, similar_names(members, threshold), key_share)
+
+
 def passing_cascade(pairs: DataFrame, threshold: float = 85.0) -> DataFrame:
     """The pairs worth the costly overlap: name similarity strictly above the threshold."""
     return pairs.where(F.col("name_similarity") > threshold)

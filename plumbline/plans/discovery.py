@@ -25,7 +25,8 @@ class DiscoveryOptions:
 
     A `sample_cap` of None compares all values. Without `cascade` names do not matter: every
     column's values are compared, whole, and pairs that share any are kept. With `content_versions`
-    a table's version is a checksum of its rows instead of their number.
+    a table's version is a checksum of its rows instead of their number. `key_share` forms only
+    pairs of which one side's distinct values are at least this share of its rows.
     """
 
     name_threshold: float = Limits.name_similarity
@@ -36,6 +37,7 @@ class DiscoveryOptions:
     sample_cap: int | None = Limits.overlap_sample
     cascade: bool = True
     content_versions: bool = False
+    key_share: float | None = None
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,7 @@ def discover(
             options.strict_types,
             options.domain_clustering,
             options.synonyms,
+            options.key_share,
         )
     else:
         pairs = shared_value_pairs(

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from plumbline.operators.edges import (
 )
 from plumbline.operators.name_match import (
     candidate_pairs,
+    class_links,
+    name_classes,
     not_yet_evaluated,
     passing_cascade,
     similar_names,
@@ -125,6 +128,49 @@ def test_synonyms_and_switches(spark):
     assert loose["a", "total", "b", "totals"] == pytest.approx(83.3333, abs=1e-3)
 
 
+CATALOG = (
+    "schema_name string, table_name string, column_name string, type_family string, "
+    "semantic_tag string, row_count long, distinct_count long"
+)
+
+
+def test_links_between_classes_count_their_pairs(spark):
+    rng = random.Random(5)
+    names = ["id", "user_id", "users_id", "total", "totals", "note"]
+    rows = sorted({("s", f"t{rng.randrange(12)}", rng.choice(names)) for _ in range(60)})
+    catalog = spark.createDataFrame([(*r, rng.choice(["NUMBER", "STRING"]), None, 10, 3) for r in rows], CATALOG)
+    members = name_classes(catalog)
+    listed = [(r.grp, r.name, r.table_name) for r in members.collect()]
+    expected = Counter()
+    for i, (g, a, t) in enumerate(listed):
+        for h, b, u in listed[i + 1 :]:
+            if g == h and t != u:
+                expected[g, *sorted((a, b))] += 1
+    links = class_links(members, 60.0).collect()
+    assert len(links) == len({(r.grp, r.name_a, r.name_b) for r in links})
+    assert all(r.n_pairs == expected[r.grp, r.name_a, r.name_b] for r in links)
+    own = {(g, a) for g, a, _ in listed}
+    assert {(r.grp, r.name_a) for r in links if r.name_a == r.name_b} == own
+    assert any(r.name_a != r.name_b and r.n_pairs for r in links)
+    assert class_links(members.limit(0), 60.0).count() == 0
+
+
+def test_a_hot_name_is_one_class(spark):
+    catalog = spark.range(10_000).selectExpr(
+        "'s' AS schema_name", "concat('t', id) AS table_name", "'code' AS column_name", "'NUMBER' AS type_family",
+        "CAST(NULL AS string) AS semantic_tag", "10L AS row_count", "IF(id < 2, 10L, 1L) AS distinct_count",
+    )
+    (link,) = class_links(name_classes(catalog), 85.0).collect()
+    assert (link.columns_a, link.n_pairs) == (10_000, 10_000 * 9_999 // 2)
+    assert candidate_pairs(catalog, 85.0, key_share=0.95).count() == 9_999 + 9_998
+
+
+def test_pairs_with_a_key_side(spark):
+    rows = [("s", "a", "code", "NUMBER", None, 10, 10), ("s", "b", "code", "NUMBER", None, 10, 2), ("s", "c", "code", "NUMBER", None, 10, 3), ("s", "d", "code", "NUMBER", None, 0, None)]
+    pairs = candidate_pairs(spark.createDataFrame(rows, CATALOG), 85.0, key_share=0.9)
+    assert set(pair_names(pairs)) == {("a", "code", t, "code") for t in "bcd"}
+
+
 def test_cascade_is_strict(spark):
     pairs = spark.createDataFrame([(85.0,), (85.1,)], "name_similarity double")
     assert [r[0] for r in passing_cascade(pairs, 85.0).collect()] == [85.1]
