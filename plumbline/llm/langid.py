@@ -2,7 +2,8 @@
 
 The network reads UTF-8 bytes in both directions, labels every position with a probability for
 each language, and a document's probabilities are the means over its positions. It is trained in
-numpy by backpropagation through time on a bounded sample of labelled rows.
+numpy by backpropagation through time on a bounded sample of labelled rows. With snippets made
+strange as one more class it also tells positions that are in none of the languages.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SAMPLE_ROWS, SNIPPETS, SNIPPET_CHARS = 300, 4, 60
 EPOCHS, BATCH, RATE = 14, 128, 0.02
 #: Bytes read in one go; the state starts anew after so many. Sequences that run side by side.
 SPAN, SIDE = 128, 2048
+#: First of the 24 letters that are taken of each script into which strange snippets are put.
+_SCRIPTS = (0x3B1, 0x430, 0x5D0, 0x628, 0x905, 0xE01, 0x10D0, 0x3042, 0x4E00, 0xAC00)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -160,11 +163,37 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
+def estranged(snippet: str, kind: int, rng: np.random.Generator) -> str:
+    """A snippet with its spaces, digits and signs, which so speak for nothing, but letters of no language.
+
+    By kind: exchanged by a map of the Latin alphabet drawn anew, put in another order, drawn anew
+    one by one, letters of another script.
+    """
+    at = [i for i, c in enumerate(snippet) if _LETTER.match(c)]
+    chars, old = list(snippet), [snippet[i] for i in at]
+    if kind == 0:
+        lower = "".join(map(chr, range(97, 123)))
+        swap = dict(zip(lower, rng.permutation(list(lower)).tolist()))
+        new = [swap[c] if c in swap else swap[c.lower()].upper() if c.lower() in swap else swap[lower[ord(c) % 26]] for c in old]
+    elif kind == 1:
+        new = [old[i] for i in rng.permutation(len(old))]
+    elif kind == 2:
+        new = [chr(97 + int(c)) for c in rng.integers(0, 26, len(old))]
+    else:
+        script = int(rng.choice(_SCRIPTS))
+        new = [chr(script + int(c)) for c in rng.integers(0, 24, len(old))]
+    for i, c in zip(at, new):
+        chars[i] = c
+    return "".join(chars)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", others: bool = False) -> Network:
     """Train on snippets of up to SAMPLE_ROWS rows of each language, spread by a hash over the table.
 
     Snippets are cut before rows are shuffled, and each task sends at most SAMPLE_ROWS rows of a
-    language on. Rows that are held out or have a null text or label are left out.
+    language on. Rows that are held out or have a null text or label are left out. With `others`
+    the network gets `und` as one more class, taught by as many estranged snippets as a language
+    has on average.
     """
     text = F.col("text")
     size = F.length(text)
@@ -179,7 +208,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = cut_up.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_ROWS)
     rows = chosen.select("lang", "n", "snippets").collect()
     pairs = sorted((r["lang"], r["n"], s) for r in rows for s in r["snippets"] if s)
-    return train([s.encode() for _, _, s in pairs], [lang for lang, _, _ in pairs])
+    texts, labels = [s.encode() for _, _, s in pairs], [lang for lang, _, _ in pairs]
+    if others and texts:
+        rng = np.random.default_rng(7)
+        strange = [estranged(s, i % 4, rng).encode() for i, (_, _, s) in enumerate(pairs[:: len(set(labels))])]
+        texts, labels = texts + strange, labels + [UNKNOWN] * len(strange)
+    return train(texts, labels)
 
 
 def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -233,13 +267,28 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return map_arrow(rows, run, StructType(kinds))
 
 
-def in_known_language(docs: DataFrame, net: Network, least_score: float, text_col: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns, whose text is not `und` and scores at least least_score."""
+def known_shares(net: Network, texts: list[str | None]) -> list[float]:
+    """Of each text, the mean probability that a position is in a language of the network and not `und`.
+
+    Zero if the text is null or has no letter, or if nothing could be learnt.
+    """
+    lettered = [bool(t and net.languages and _LETTER.search(t)) for t in texts]
+    p = document_probabilities(net, [t.encode() if ok else b"" for t, ok in zip(texts, lettered)])
+    known = [i for i, x in enumerate(net.languages) if x != UNKNOWN]
+    return [float(row[known].sum()) if ok else 0.0 for row, ok in zip(p, lettered)]
+
+
+def in_known_language(docs: DataFrame, net: Network, least_share: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, that have a letter and a known share of at least least_share.
+
+    A text in several known languages is as good as one in a single one. What is in none of them can
+    only be told by a network that was taught with `others`.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named, score = judge(net, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(named, score)], pa.bool_()))
+            share = known_shares(net, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x > 0 and x >= least_share for x in share], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -428,6 +428,33 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in single.collect()}
 
 
+def test_pipeline_rejects_what_is_in_no_learnt_language(spark):
+    rng = random.Random(3)
+    parts = {"en": ["th", "er", "an", "re", "tion", "hand", "ing", "wh"], "de": ["sch", "ung", "ein", "ver", "keit", "ä", "ch", "zu"]}
+    prose = {x: lambda n, p=p: " ".join("".join(rng.choices(p, k=rng.randint(1, 4))) for _ in range(n)) + "." for x, p in parts.items()}
+    rows = [(i, prose[lang](60), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    both = [(900, prose["en"](40) + " " + prose["de"](40), None), (901, prose["de"](8), None)]
+    strange = [
+        "A magyar nyelv az uráli nyelvcsalád tagja, a finnugor nyelvek közé tartozó ugor nyelvek egyike. ",
+        "Русский язык является одним из восточнославянских языков. ",
+        "def f(x):\n    return [y**2 for y in range(x) if y % 3 == 0]\n",
+        "sdfkj asdlkfj qwpoeiru zxmcnv lksjdf qpwoeiru mnbzxcv lkjasdf ",
+        "汉语是世界上使用人数最多的语言。",
+        "12345 %%%",
+    ]
+    docs = spark.createDataFrame([*rows, *both, *[(1000 + i, t * 5, None) for i, t in enumerate(strange)], (2000, None, "en")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == {r[0] for r in rows + both}
+
+
+def test_strange_snippets_keep_all_but_letters():
+    text = "Été à la mer, 12 jours!"
+    made = [langid.estranged(text, kind, np.random.default_rng(1)) for kind in range(4)]
+    assert len({text, *made}) == 5
+    assert {re.sub(r"[^\W\d_]", "x", t) for t in made} == {re.sub(r"[^\W\d_]", "x", text)}
+    assert sorted(made[1]) == sorted(text)
+
+
 def test_pipeline_runs_over_a_folder(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = corpus_pipeline.run(spark, SF)
