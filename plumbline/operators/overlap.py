@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.config import NUMERIC, TEMPORAL, type_family
 from plumbline.functions.hashing import bounded_key, trailing_zero_bits
 from plumbline.operators.name_match import PAIR_KEY, match_group
 from plumbline.sources.templates import quoted
 
 # Columns per long of a membership mask; keeps clear of the sign bit.
 WORD_BITS = 62
-
+# What tells values of a group of columns apart; one of the three is set.
+VALUE_KEY = ("number", "moment", "text")
 
 
 def _canonical_number(text: Column) -> Column:
@@ -99,26 +101,64 @@ def _numbered(members: Sequence[Row]) -> list[dict]:
     return numbered
 
 
-def value_index(tables: Mapping[str, DataFrame], members: Sequence[dict]) -> DataFrame:
-    """(group_no, bits, n_values): how many values occur in exactly the columns `bits`, ascending.
+def _number_key(raw: Column, data_type: T.DataType) -> Column:
+    """The double that stands for a number, null where only its text tells it from others.
 
-    An inverted index from value to the numbers of its columns, for any number of columns: a value
-    is a narrow row with one number, equal rows are dropped on the map side, hot values included,
-    and lists are as long as the columns that share a value, not as the columns there are.
+    Doubles below 2**53 in size and their shortest texts tell the same values apart. Whole numbers
+    below it are doubles, and so are floats and decimals of up to 15 digits by their texts.
     """
+    if isinstance(data_type, T.FloatType):
+        number = raw.cast("string").cast("double")
+    else:
+        number = raw.cast("double")
+    exact = F.abs(number) < F.lit(float(2**53))  # NaN is greater than any number
+    if isinstance(data_type, T.DecimalType) and data_type.precision > 15:
+        exact &= _canonical_number(number.cast("string")) == _canonical_number(raw.cast("string"))
+    return F.when(exact, number)
+
+
+def _stacked_values(tables: Mapping[str, DataFrame], members: Sequence[dict], texts: bool = False) -> DataFrame:
+    """(group_no, bit, floor, *VALUE_KEY): a row for each value in play that is not null.
+
+    Columns are stacked by type first, so that one expression serves all of them. Rows of a group
+    are equal in VALUE_KEY where `canonical_value` is, but numbers and points in time are only
+    turned into text if it takes that to compare them: if `texts`, in a group of several type
+    families, and for numbers that no double tells exactly.
+    """
+    families: dict[int, set[str]] = {}
+    for m in members:
+        families.setdefault(m["group_no"], set()).add(type_family(tables[m["table_name"]].schema[m["column_name"]].dataType))
     parts = []
     for table in dict.fromkeys(m["table_name"] for m in members):
         df = tables[table]
-        by_type: dict[T.DataType, list[Column]] = {}
+        by_type: dict[tuple[T.DataType, bool], list[Column]] = {}
         for m in members:
             if m["table_name"] == table:
-                entry = F.struct(F.lit(m["group_no"]).alias("group_no"), F.lit(m["bit"]).alias("bit"), F.col(quoted(m["column_name"])).alias("raw"))
-                by_type.setdefault(df.schema[m["column_name"]].dataType, []).append(entry)
-        for data_type, entries in by_type.items():  # stacked first, so that one expression serves all columns
+                entry = F.struct(*[F.lit(m[c]).alias(c) for c in ("group_no", "bit", "floor")], F.col(quoted(m["column_name"])).alias("raw"))
+                as_text = texts or len(families[m["group_no"]]) > 1
+                by_type.setdefault((df.schema[m["column_name"]].dataType, as_text), []).append(entry)
+        for (data_type, as_text), entries in by_type.items():
             rows = df.select(F.inline(F.array(*entries))).where("raw IS NOT NULL")
-            parts.append(rows.select("group_no", "bit", canonical_value(F.col("raw"), data_type).alias("value")))
-    once = reduce(DataFrame.unionByName, parts).groupBy("group_no", "value", "bit").agg(F.lit(1).alias("one"))
-    lists = once.groupBy("group_no", "value").agg(F.sort_array(F.collect_list("bit")).alias("bits"))
+            raw, text = F.col("raw"), canonical_value(F.col("raw"), data_type)
+            number, moment = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
+            if not as_text and type_family(data_type) == NUMERIC:
+                number = _number_key(raw, data_type)
+                text = F.when(number.isNull(), text)
+            elif not as_text and type_family(data_type) == TEMPORAL:
+                moment, text = raw.cast("timestamp_ntz"), F.lit(None).cast("string")
+            parts.append(rows.select("group_no", "bit", "floor", number.alias("number"), moment.alias("moment"), text.alias("text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def value_index(tables: Mapping[str, DataFrame], members: Sequence[dict]) -> DataFrame:
+    """(group_no, bits, n_values): how many values occur in exactly the columns `bits`, ascending.
+
+    An inverted index from value to the numbers of its columns, for any number of columns: a value
+    is a narrow row with one number, equal rows are dropped on the map side, hot values included,
+    and lists are as long as the columns that share a value, not as the columns there are.
+    """
+    once = _stacked_values(tables, members).groupBy("group_no", *VALUE_KEY, "bit").agg(F.lit(1).alias("one"))
+    lists = once.groupBy("group_no", *VALUE_KEY).agg(F.sort_array(F.collect_list("bit")).alias("bits"))
     return lists.groupBy("group_no", "bits").agg(F.count(F.lit(1)).alias("n_values"))
 
 
@@ -226,36 +266,16 @@ def column_sets(
     with a bit for its column; OR-ing the bits per value dedupes on the map side, hot values
     included, and shuffles every distinct value of a column once. No pair is formed here.
     """
-    words = max(m["bit"] for m in members) // WORD_BITS + 1
-
-    def entry(member: dict, field: T.StructField) -> Column:
-        masks = [
-            F.lit(1 << (member["bit"] % WORD_BITS) if w == member["bit"] // WORD_BITS else 0)
-            .cast("long")
-            .alias(f"w{w}")
-            for w in range(words)
-        ]
-        return F.struct(
-            F.lit(member["group_no"]).alias("group_no"),
-            F.lit(member["floor"]).alias("floor"),
-            *masks,
-            canonical_value(F.col(quoted(field.name)), field.dataType).alias("value"),
-        )
-
-    parts = []
-    for table in dict.fromkeys(m["table_name"] for m in members):
-        df = tables[table]
-        entries = [
-            entry(m, df.schema[m["column_name"]]) for m in members if m["table_name"] == table
-        ]
-        parts.append(df.select(F.inline(F.array(*entries))).where("value IS NOT NULL"))
-    values = reduce(DataFrame.unionByName, parts)
-    word_names = [f"w{w}" for w in range(words)]
+    word_names = [f"w{w}" for w in range(max(m["bit"] for m in members) // WORD_BITS + 1)]
+    values = _stacked_values(tables, members, texts=sampled)  # a value's level is that of its text
     level = F.lit(0)
     if sampled:
-        level = trailing_zero_bits(F.xxhash64("value")).cast("int")
+        level = trailing_zero_bits(F.xxhash64("text")).cast("int")
         values = values.where(level >= F.col("floor"))
-    per_value = values.groupBy("group_no", "value").agg(
+    flag = F.expr(f"shiftleft(1L, bit % {WORD_BITS})")
+    masks = [F.when(F.floor(F.col("bit") / WORD_BITS) == w, flag).otherwise(F.lit(0)).cast("long").alias(name) for w, name in enumerate(word_names)]
+    values = values.select("group_no", *VALUE_KEY, *masks)
+    per_value = values.groupBy("group_no", *VALUE_KEY).agg(
         *[F.bit_or(w).alias(w) for w in word_names]
     )
     return (
@@ -308,18 +328,19 @@ def shared_value_pairs(
     )
     members = _numbered(rows)
     sets = column_sets(tables, members, sampled=False)
+    # Every set has a column. Outer explodes keep Spark from testing that on each value, before sets are counted.
     present = sets.withColumn("bits", _present(max(m["bit"] for m in members)))
     numbers = spark.createDataFrame(members, _NUMBERS_SCHEMA).join(
         catalog.select("schema_name", "table_name", "column_name", "row_count"),
         ["schema_name", "table_name", "column_name"],
     )
     distinct = (
-        present.select("group_no", F.explode("bits").alias("bit"), "n_values")
+        present.select("group_no", F.explode_outer("bits").alias("bit"), "n_values")
         .groupBy("group_no", "bit")
         .agg(F.sum("n_values").alias("distinct"))
     )
     shared = (
-        present.withColumn("left_bit", F.explode("bits"))
+        present.withColumn("left_bit", F.explode_outer("bits"))
         .withColumn("right_bit", F.explode(F.expr("filter(bits, b -> b > left_bit)")))
         .groupBy("group_no", "left_bit", "right_bit")
         .agg(F.sum("n_values").alias("shared"))

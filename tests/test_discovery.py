@@ -1,10 +1,13 @@
+import datetime
 import itertools
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from plumbline.functions.text import name_similarity
 from plumbline.operators.edges import (
     apply_decisions,
@@ -22,7 +25,7 @@ from plumbline.operators.name_match import (
     passing_cascade,
     similar_names,
 )
-from plumbline.operators.overlap import canonical_value, value_overlap, with_direction
+from plumbline.operators.overlap import canonical_value, column_sets, shared_value_pairs, value_overlap, with_direction
 from plumbline.operators.overlap import class_link_counts, column_classes
 from plumbline.plans.discovery import DiscoveryOptions, _tables_to_scan, discover
 from plumbline.sources.catalog import column_catalog, in_scope, table_nodes, without_utility
@@ -391,3 +394,62 @@ def test_many_copies_of_a_key_are_one_class_without_pairs(spark):
     counts = {(r["class_id"], r["table_name"], r["n_links"]): r["count"] for r in class_link_counts(classes, links).groupBy("class_id", "table_name", "n_links").count().collect()}
     assert counts == {("main.one.k0", "one", 101): 100, ("main.one.k0", "two", 101): 100, ("main.three.k0", "three", 200): 1}
     result.release()
+
+
+def members_of(tables, group=lambda name: 0):
+    names = [(t, c) for t, df in tables.items() for c in df.columns]
+    return [{"table_name": t, "column_name": c, "group_no": group(c), "bit": i, "floor": 0} for i, (t, c) in enumerate(names)]
+
+
+def test_values_are_equal_where_their_canonical_texts_are(spark):
+    nan, inf, big = float("nan"), float("inf"), 2**53
+    numbers = {
+        "bigint": [0, 1, -5, 7, big - 1, big, big + 1, -big - 1, 2**63 - 1, None],
+        "int": [0, 1, -5, 100, None],
+        "double": [0.0, -0.0, 1.0, 0.1, 0.5, nan, inf, -inf, float(big), 1e20, 1e-7, 123456.789, float(2**63), None],
+        "float": [-0.0, 0.1, 0.5, 16777216.0, nan, inf, 1e20, None],
+        "decimal(9,2)": [Decimal("0.10"), Decimal("1.00"), Decimal("-5.00"), None],
+        "decimal(38,10)": [Decimal(x) for x in ("0.1", "0.1000000001", "100", "123456.789", "9007199254740993", "0.3000000000", "9007199254740991.5", "12345678.1234567891")],
+    }
+    moments = {
+        "date": [datetime.date(2024, 3, 31), datetime.date(1969, 1, 1), None],
+        "timestamp": [datetime.datetime(2024, 3, 31, 0, 0), datetime.datetime(2024, 3, 31, 2, 30, 0, 1)],
+        "timestamp_ntz": [datetime.datetime(2024, 3, 31, 0, 0), datetime.datetime(2024, 3, 31, 2, 30, 0, 1), datetime.datetime(1969, 1, 1)],
+    }
+    others = {"string": ["0", "5e1", "-5e1", "2024-03-31 00:00:00", "true", "x" * 99, "", None], "boolean": [True, None]}
+
+    def frames(kinds, tag):
+        return {f"{tag}{i}": spark.createDataFrame([(v,) for v in values], f"`{tag}_{i}` {kind}") for i, (kind, values) in enumerate(kinds.items())}
+
+    apart = {**frames(numbers, "n"), **frames(moments, "m"), **frames({"string": others["string"]}, "s")}
+    mixed = frames({**numbers, **moments, **others}, "a")
+    for tables, group in ((apart, lambda name: "nms".index(name[0])), (mixed, lambda name: 0)):
+        members = members_of(tables, group)
+        holders = {}
+        for m in members:
+            field = tables[m["table_name"]].schema[0]
+            for r in tables[m["table_name"]].select(canonical_value(F.col(field.name), field.dataType).alias("v")).collect():
+                if r.v is not None:
+                    holders.setdefault((m["group_no"], r.v), set()).add(m["bit"])
+        expected = Counter((g, sum(1 << b for b in bits)) for (g, _), bits in holders.items())
+        for sampled in (False, True):
+            found = Counter()
+            for r in column_sets(tables, members, sampled).collect():
+                found[r.group_no, r.words[0]] += r.n_values
+            assert found == expected
+
+
+def test_one_expression_serves_all_columns(spark):
+    def casts(n):
+        tables = {"t": spark.range(3).select(*[(F.col("id") / 3).alias(f"c{i}") for i in range(n)])}
+        return plan_of(column_sets(tables, members_of(tables), False)).lower().count("as string")
+
+    assert casts(6) == casts(2)
+
+
+def test_sets_of_columns_are_not_taken_apart_for_each_value(spark):
+    tables = {t: spark.range(9).withColumnRenamed("id", "shop_id") for t in ("a", "b")}
+    catalog = column_catalog(tables, measure=True).persist()
+    pairs = shared_value_pairs(tables, catalog)
+    assert [(r.left_distinct, r.left_shared) for r in pairs.collect()] == [(9, 9)]
+    assert not [line for line in plan_of(pairs).splitlines() if "Filter" in line and "sequence(" in line]
