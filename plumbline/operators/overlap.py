@@ -389,7 +389,7 @@ def value_overlap(
         return pairs.withColumns({c: F.lit(0).cast("long") for c in counted}).limit(0)
     sets = column_sets(tables, members, sample_cap is not None)
     present = _present(max(m["bit"] for m in members))
-    by_column = sets.withColumn("probe", F.explode(present))
+    by_column = sets.withColumn("probe", F.explode_outer(present))  # outer for the reason in shared_value_pairs
 
     numbers = spark.createDataFrame(members, _NUMBERS_SCHEMA)
 

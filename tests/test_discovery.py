@@ -453,3 +453,10 @@ def test_sets_of_columns_are_not_taken_apart_for_each_value(spark):
     pairs = shared_value_pairs(tables, catalog)
     assert [(r.left_distinct, r.left_shared) for r in pairs.collect()] == [(9, 9)]
     assert not [line for line in plan_of(pairs).splitlines() if "Filter" in line and "sequence(" in line]
+
+
+def test_overlap_takes_sets_apart_once_counted(spark):
+    tables = {t: spark.range(9).withColumnRenamed("id", "shop_id") for t in ("a", "b")}
+    overlaps = value_overlap(tables, candidate_pairs(column_catalog(tables, measure=True).persist(), 85.0))
+    assert [(r.left_distinct, r.left_shared) for r in overlaps.collect()] == [(9, 9)]
+    assert not [line for line in plan_of(overlaps).splitlines() if "Filter" in line and "sequence(" in line]
